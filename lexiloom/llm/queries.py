@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm import near, records
-from lexiloom.runtime import table
+from lexiloom.llm import encoding, grouping, near, records
+from lexiloom.runtime import cut, spread, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,22 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.least("train_id", "eval_id").alias("email_id_a"), F.greatest("train_id", "eval_id").alias("email_id_b"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = cut(grouping.tied_sources(table(spark, sf_dir, "emails")), "tied")
+    a, b = (found.select("component", F.col("source").alias(f"source_{x}")) for x in "ab")
+    return a.join(b, "component").where("source_a < source_b").select("source_a", "source_b")
+
+
+def p2_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grouping.grouped_split(table(spark, sf_dir, "emails")).select(F.col("id").alias("email_id"), "split")
+
+
+def p2_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    emails = table(spark, sf_dir, "emails").select("email_id", "label")
+    split = grouping.grouped_split(table(spark, sf_dir, "emails")).select(F.col("id").alias("email_id"), "split")
+    return emails.join(split, "email_id").groupBy("split", "label").agg(F.count("*").alias("n"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = records.copies(table(spark, sf_dir, "emails")).where("id <> first_id")
     return rows.select(F.col("first_id").alias("email_id_a"), F.col("id").alias("email_id_b"))
@@ -25,6 +41,14 @@ def p4_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.records(table(spark, sf_dir, "emails"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.restored(spread(table(spark, sf_dir, "emails").select("email_id", "text"))).select("email_id")
+
+
+def p5_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.restored(spread(table(spark, sf_dir, "emails").select("email_id", "text"))).select("email_id", "restored")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = near.near_duplicate_pairs(table(spark, sf_dir, "emails"))
     return pairs.select(F.col("id_a").alias("email_id_a"), F.col("id_b").alias("email_id_b"))
