@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from lexiloom.llm.records import SPACE
+from lexiloom import lexicons
+
+# White space that trimming removes.
+SPACE = "\\t\\n\\x0b\\f\\r\\x1c-\\x20\\x{85}\\xa0\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
 
 _KEY = "regexp_replace(lower(text), '[^a-z0-9]', '', 'g')"
 _FIELD = f"^[{SPACE}]*[a-z][a-z ]{{0,29}}[:=][{SPACE}]*[^/{SPACE}]"
@@ -18,6 +21,9 @@ forms AS (SELECT email_id,
     array_to_string(list_sort(list_transform(list_filter(l, lambda x: regexp_matches(x, '{_FIELD}')), lambda x: regexp_replace(x, '[^a-z0-9]', '', 'g'))), ',') AS fields
   FROM lines WHERE k <> '')"""
 
+_FROM, _TO = lexicons.LOOKALIKE_FROM, lexicons.LOOKALIKE_TO
+_WORDS = f"regexp_extract_all(lower(translate(regexp_replace(text, '[{lexicons.INVISIBLE}]', '', 'g'), '{_FROM}', '{_TO}')), '[a-z0-9]+')"
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -35,4 +41,9 @@ shared AS (SELECT a.email_id AS x, b.email_id AS y, count(*) AS c FROM pieces a
 SELECT x AS email_id_a, y AS email_id_b FROM shared JOIN sizes p ON p.email_id = x JOIN sizes q ON q.email_id = y
 JOIN forms f ON f.email_id = x JOIN forms h ON h.email_id = y
 WHERE c / (p.n + q.n - c)::double >= 0.5 AND (f.body <> h.body OR f.fields <> h.fields)""",
+        "p7_found": f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, {_WORDS} AS w FROM eval_items WHERE text IS NOT NULL),
+dw AS (SELECT doc_id, array_to_string(w[p:p + 11], ' ') AS g FROM d, LATERAL (SELECT unnest(range(1, len(w) - 10)) AS p)),
+iw AS (SELECT item_id, array_to_string(w[p:p + 11], ' ') AS g FROM i, LATERAL (SELECT unnest(range(1, len(w) - 10)) AS p))
+SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (g)""",
     }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm import encoding, grouping, near, records
+from lexiloom.llm import encoding, grouping, leakage, mixing, near, records, residue
 from lexiloom.runtime import cut, spread, table
 
 
@@ -54,5 +54,26 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("id_a").alias("email_id_a"), F.col("id_b").alias("email_id_b"))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p8_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    selection, _ = mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+    return selection.select(F.col("id").alias("doc_id"), "source", "copies", "tokens")
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.residue(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id")).distinct()
+
+
+def p9_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.residue(table(spark, sf_dir, "documents")).groupBy("label").agg(F.count("*").alias("n_documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit()}
