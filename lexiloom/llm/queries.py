@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm import encoding, grouping, leakage, mixing, near, records, residue
+from lexiloom.llm import encoding, grouping, leakage, mixing, near, personal, records, residue
 from lexiloom.runtime import cut, spread, table
 
 
@@ -32,6 +32,16 @@ def p2_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return emails.join(split, "email_id").groupBy("split", "label").agg(F.count("*").alias("n"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    emails = table(spark, sf_dir, "emails")
+    return personal.items(emails, given=personal.given_names(emails))
+
+
+def p3_pseudonymised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    emails = table(spark, sf_dir, "emails")
+    return personal.pseudonymised(emails, key="lexiloom", given=personal.given_names(emails))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = records.copies(table(spark, sf_dir, "emails")).where("id <> first_id")
     return rows.select(F.col("first_id").alias("email_id_a"), F.col("id").alias("email_id_b"))
