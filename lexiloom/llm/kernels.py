@@ -30,13 +30,19 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     return raw, offs - offs[0]
 
 
-def keys(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Digits 0..35 of the keys of all texts and their offsets."""
+def folded_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """text_bytes with the letters outside ASCII replaced whose lower case is an ASCII letter."""
     raw, offs = text_bytes(column)
     whole = raw.tobytes() if len(raw) else b""
     if _KELVIN.encode() in whole or _DOTTED_I.encode() in whole:
         column = pc.replace_substring(pc.replace_substring(pc.fill_null(column, ""), _KELVIN, "k"), _DOTTED_I, "i")
         raw, offs = text_bytes(column)
+    return raw, offs
+
+
+def keys(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Digits 0..35 of the keys of all texts and their offsets."""
+    raw, offs = folded_bytes(column)
     digits = _DIGIT[raw]
     keep = digits != DROP
     at = np.concatenate([[0], np.cumsum(keep)])
@@ -76,6 +82,109 @@ def digests(digits: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return np.frombuffer(out, np.int64).reshape(-1, 2)
 
 
+_LABEL = np.zeros(256, bool)
+_LABEL[ord("a") : ord("z") + 1] = _LABEL[ord("A") : ord("Z") + 1] = True
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 11, 12, 13, 28, 29, 30, 31, 32]] = True
+_M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
+
+
+def _blanks(raw: np.ndarray) -> np.ndarray:
+    """Bytes of white space other than line feeds, that of several bytes included."""
+    blank = _BLANK[raw]
+    for seq in (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80", *(b"\xe2\x80" + bytes([x]) for x in (*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF))):
+        at = np.flatnonzero(raw == seq[0]) if seq[0] != 0xE2 or seq[2] in (0x80, 0x9F) else at
+        hit = at[at + len(seq) <= len(raw)]
+        for j in range(1, len(seq)):
+            hit = hit[raw[hit + j] == seq[j]]
+        for j in range(len(seq)):
+            blank[hit + j] = True
+    return blank
+
+
+def _next(mask: np.ndarray) -> np.ndarray:
+    """For each position, and one past the end, the first position from there on where the mask holds."""
+    at = np.where(np.append(mask, True), np.arange(len(mask) + 1, dtype=np.int32), np.int32(len(mask)))
+    return np.minimum.accumulate(at[::-1])[::-1]
+
+
+def _powers(n: int, base: np.uint64) -> np.ndarray:
+    out = np.full(max(1, n), base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+def _sums(value: np.ndarray, counts: np.ndarray, base: np.uint64) -> np.ndarray:
+    """Polynomial hash of each run of values."""
+    out = np.zeros(len(counts), np.uint64)
+    full = np.flatnonzero(counts)
+    if len(full):
+        ends = np.cumsum(counts)
+        pos = np.arange(len(value)) - np.repeat(ends - counts, counts)
+        out[full] = np.add.reduceat((value.astype(np.uint64) + np.uint64(1)) * _powers(int(counts.max()), base)[pos], (ends - counts)[full])
+    return out
+
+
+def _stir(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * _M2
+    h = (h ^ (h >> np.uint64(29))) * _M3
+    return h ^ (h >> np.uint64(32))
+
+
+def field_lines(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of all lines of all texts, and which of them are field lines."""
+    starts = np.unique(np.concatenate([offs[:-1], np.flatnonzero(raw == 10) + 1]))
+    starts = starts[starts < len(raw)] if len(raw) else starts[:0]
+    if not len(starts):
+        return starts, np.zeros(0, bool)
+    ends = np.append(starts[1:], len(raw))
+    blank, letter = _blanks(raw), _LABEL[raw]
+    ink = _next(~blank)
+    label = ink[starts]
+    stop = _next(~(letter | (raw == 32)))[label]
+    inside = np.append(raw, 0)
+    good = (label < ends) & np.append(letter, False)[label] & (stop < ends) & (stop - label <= 30) & np.isin(inside[stop], (58, 61))
+    value = ink[np.minimum(stop + 1, len(raw))]
+    return starts, good & (value < ends) & (inside[value] != 10) & (inside[value] != 47)
+
+
+def roots(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit root digests of all texts as trees of body and unordered field lines, and which texts have content."""
+    raw, offs = folded_bytes(column)
+    starts, fields = field_lines(raw, offs)
+    n = len(offs) - 1
+    digits = _DIGIT[raw]
+    keep = np.flatnonzero(digits != DROP)
+    line = np.searchsorted(starts, keep, "right") - 1
+    in_field = fields[line] if len(starts) else np.zeros(0, bool)
+    text_of_line = np.searchsorted(offs, starts, "right") - 1
+    body, body_of = digits[keep[~in_field]], text_of_line[line[~in_field]]
+    own, own_line = digits[keep[in_field]], line[in_field]
+    counts = np.bincount(body_of, minlength=n)
+    per_line = np.bincount(own_line, minlength=len(starts))
+    which = np.flatnonzero(per_line)
+    owner = text_of_line[which]
+    out = []
+    for base in (_M1, _M3):
+        leaf = _stir(_sums(own, per_line, base)[which])
+        order = np.lexsort((leaf, owner))  # children of the unordered node in the order of their digests
+        per_text = np.bincount(owner, minlength=n)
+        node = _stir(_sums(leaf[order], per_text, base) + per_text.astype(np.uint64))
+        out.append(_stir(_stir(_sums(body, counts, base) + counts.astype(np.uint64)) * base + node))
+    return np.stack(out, 1).view(np.int64), (counts > 0) | (np.bincount(owner, minlength=n) > 0)
+
+
+def tree(text: str) -> tuple[bytes, list[bytes]]:
+    """The same tree in full: the body's key and the sorted keys of the field lines."""
+    column = pa.array([text])
+    raw, offs = folded_bytes(column)
+    starts, fields = field_lines(raw, offs)
+    ends = np.append(starts[1:], len(raw))
+    key = lambda a, b: _DIGIT[raw[a:b]][_DIGIT[raw[a:b]] != DROP].tobytes()
+    body = b"".join(key(a, b) for a, b, f in zip(starts, ends, fields) if not f)
+    return body, sorted(key(a, b) for a, b, f in zip(starts, ends, fields) if f)
+
+
 def mixed(codes: np.ndarray) -> np.ndarray:
     """A 32-bit mixing of piece codes; every fingerprint starts from it."""
     h = codes.astype(np.uint32) + np.uint32(0x9E3779B9)

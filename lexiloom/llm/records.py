@@ -12,52 +12,55 @@ is never a representative unless all ids of its group are null.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# White space that trimming removes, as a class for both regex dialects in use.
-SPACE = "\\t\\n\\x0b\\f\\r\\x1c-\\x20\\x85\\xa0\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
-#: A field line in lower case: label of at most 30 letters and blanks, `:` or `=`, a value not starting with `/`.
-FIELD = f"^[{SPACE}]*[a-z][a-z ]{{0,29}}[:=][{SPACE}]*[^/{SPACE}]"
-_NOT_KEY = "[^a-z0-9]"
+from lexiloom.llm import kernels
+from lexiloom.runtime import spread
 
 
-def key(text: Column) -> Column:
-    """Key of a text: lower case, a-z and 0-9 only."""
-    return F.regexp_replace(F.lower(text), _NOT_KEY, "")
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        root, full = kernels.roots(batch.column("text"))
+        kept = np.flatnonzero(full)
+        yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(kept)), pa.array(root[kept, 0]), pa.array(root[kept, 1])], ["id", "r1", "r2"])
 
 
-def canonical(text: Column) -> Column:
-    """Struct of the body's key and the field lines' keys in sorted order; the form two copies share."""
-    lines = F.split(F.lower(text), "\n", -1)
-    body = F.regexp_replace(F.concat_ws("", F.filter(lines, lambda x: ~x.rlike(FIELD))), _NOT_KEY, "")
-    fields = F.array_sort(F.transform(F.filter(lines, lambda x: x.rlike(FIELD)), lambda x: F.regexp_replace(x, _NOT_KEY, "")))
-    return F.struct(body.alias("body"), fields.alias("fields"))
+def hashed(rows: DataFrame) -> DataFrame:
+    """(id, r1, r2): root digests of all texts with content."""
+    return rows.select("id", "text").mapInArrow(_hashed, "id long, r1 long, r2 long")
 
 
-def root(form: Column) -> Column:
-    """Root digest of a canonical form (16 bytes); null for a form without content."""
-    children = F.array_sort(F.transform(form["fields"], lambda x: F.md5(x)))
-    digest = F.unhex(F.md5(F.concat(F.md5(form["body"]), F.md5(F.concat_ws(",", children)))))
-    return F.when((form["body"] != "") | (F.size(form["fields"]) > 0), digest)
+def _same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts, firsts = batch.column("text").to_pylist(), batch.column("first_text").to_pylist()
+        trees: dict = {}
+        form = lambda t: trees[t] if t in trees else trees.setdefault(t, kernels.tree(t))
+        kept = [i for i, (t, f) in enumerate(zip(texts, firsts)) if t == f or form(t) == form(f)]
+        yield batch.select(["id", "first_id"]).take(pa.array(kept, pa.int32()))
 
 
 def copies(df: DataFrame, id_col: str = "email_id", text_col: str = "text") -> DataFrame:
-    """Rows that share their canonical form with another row: (id, first_id), first_id being the group's smallest id.
+    """Rows other than the first of their group: (id, first_id), first_id being the group's smallest id.
 
-    Digests travel alone in the first shuffle and are counted before it; texts are read again only for groups of two or more.
+    Digests travel alone in the first shuffle and are counted before it; texts are fetched only for groups of two or more
+    and compared in full as trees.
     """
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
-    hashed = rows.select("id", root(canonical(F.col("text"))).alias("root")).where("root is not null")
-    groups = hashed.groupBy("root").agg(F.min("id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
-    members = rows.select("id", canonical(F.col("text")).alias("form")).withColumn("root", root(F.col("form")))
-    members = members.where("root is not null").join(groups.select("root", "first_id"), "root")
-    first = members.where(F.col("id").eqNullSafe(F.col("first_id"))).groupBy("root").agg(F.min("form").alias("first_form"))
-    same = members.join(first, "root").where(F.col("form") == F.col("first_form"))
-    return same.select("id", "first_id")
+    rows = spread(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null"))
+    roots = hashed(rows)
+    groups = roots.groupBy("r1", "r2").agg(F.min("id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
+    members = roots.join(groups, ["r1", "r2"]).select("id", "first_id").distinct()
+    told = rows.join(members, "id")
+    firsts = told.where("id = first_id").groupBy("first_id").agg(F.min("text").alias("first_text"))
+    pairs = told.where("id <> first_id").join(firsts, "first_id")
+    return pairs.select("id", "first_id", "text", "first_text").mapInArrow(_same, "id long, first_id long")
 
 
 def records(df: DataFrame, id_col: str = "email_id", text_col: str = "text") -> DataFrame:
     """One row per distinct record: its smallest id and its number of copies. Texts without content stay out."""
-    rows = df.select(F.col(id_col).alias("id"), root(canonical(F.col(text_col))).alias("root")).where("root is not null")
-    return rows.groupBy("root").agg(F.min("id").alias(id_col), F.count("*").alias("n_copies")).drop("root")
+    rows = spread(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null"))
+    return hashed(rows).groupBy("r1", "r2").agg(F.min("id").alias(id_col), F.count("*").alias("n_copies")).drop("r1", "r2")
