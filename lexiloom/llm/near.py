@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm import kernels, records
+from lexiloom.llm import kernels
 from lexiloom.runtime import cut, spread
 
 SLOTS = 1 << 16  # cells of the document-frequency table, whatever the size of the corpus
@@ -70,7 +70,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
 
 def cross_split_pairs(
-    df: DataFrame, id_col: str = "email_id", text_col: str = "text", split_col: str = "split", least: float = 0.8, blocks: int = 40, bits: int = 16, radius: int = 21, radius_all: float = 0.215, seed: int = 11
+    df: DataFrame, id_col: str = "email_id", text_col: str = "text", split_col: str = "split", least: float = 0.8, blocks: int = 48, bits: int = 16, radius: int = 21, radius_all: float = 0.215, seed: int = 11
 ) -> DataFrame:
     """All pairs (train_id, eval_id, eval_split, similarity) of a train row and a val or test row at or above `least`.
 
@@ -114,16 +114,13 @@ def cross_split_pairs(
 
 
 def piece_frequencies(rows: DataFrame) -> np.ndarray:
-    """Number of texts that hold a piece of each of SLOTS cells, over all rows; a table of fixed size."""
+    """How often pieces of each of SLOTS cells occur, over all rows, and the number of texts; a table of fixed size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SLOTS + 1, np.int64)
         for batch in batches:
             codes, counts = kernels.pieces(*kernels.keys(batch.column("text")))
-            slot = (kernels.mixed(codes) >> np.uint32(16)).astype(np.int64)
-            ends = np.concatenate([[0], np.cumsum(counts)])
-            for i in np.flatnonzero(counts):
-                total[np.unique(slot[ends[i] : ends[i + 1]])] += 1
+            total[:SLOTS] += np.bincount(kernels.mixed(codes) >> np.uint32(16), minlength=SLOTS)
             total[SLOTS] += int((counts > 0).sum())
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["slot", "n"])
@@ -135,8 +132,8 @@ def piece_frequencies(rows: DataFrame) -> np.ndarray:
     return out
 
 
-def piece_scale(frequency: np.ndarray, common: float = 0.01, power: float = 2.0, most: float = 256.0) -> np.ndarray:
-    """1/weight of each cell: weight 1 up to the share `common` of all texts, then falling to 1/most."""
+def piece_scale(frequency: np.ndarray, common: float = 0.005, power: float = 2.0, most: float = 256.0) -> np.ndarray:
+    """1/weight of each cell: weight 1 up to `common` occurrences a text, then falling to 1/most."""
     share = frequency[:SLOTS] / max(1, frequency[SLOTS])
     return np.clip((share / common) ** power, 1.0, most).astype(np.float32)
 
@@ -166,8 +163,9 @@ def _signatures(scale: np.ndarray, bands: int, width: int, wide: int, seed: int)
             more = low_bits(m[:, 64 : 64 + wide]).view(np.int64)
             lists = lambda x: pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), x.ravel())
             out = batch.drop_columns(["text"]).take(pa.array(kept))
-            names = [*out.schema.names, "k1", "k2", "s1", "s2", "more", "bands"]
-            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(sig[:, 0].copy()), pa.array(sig[:, 1].copy()), lists(more), lists(values)], names)
+            root = kernels.roots(batch.column("text"))[0][kept]
+            names = [*out.schema.names, "r1", "r2", "k1", "k2", "s1", "s2", "more", "bands"]
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(root[:, 0]), pa.array(root[:, 1]), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(sig[:, 0].copy()), pa.array(sig[:, 1].copy()), lists(more), lists(values)], names)
 
     return run
 
@@ -184,11 +182,11 @@ def _estimate(unequal: Column, n: int) -> Column:
 
 
 def near_classes(
-    rows: DataFrame, least: float = 0.5, bands: int = 32, width: int = 2, wide: int = 128, first: float = 0.14, second: float = 0.14, seed: int = 5
+    rows: DataFrame, least: float = 0.5, bands: int = 32, width: int = 2, wide: int = 128, first: float = 0.14, second: float = 0.2, seed: int = 5
 ) -> tuple[DataFrame, DataFrame]:
     """Classes of equal keys and the similar pairs among them, for rows (id, text, ...).
 
-    Returns members (row columns without text, class) and pairs (a, b, similarity) of classes with a < b. Pieces that
+    Returns members (row columns without text, record digest r1, r2, class) and pairs (a, b, similarity) of classes with a < b. Pieces that
     many texts hold weigh less in the minima, by frequencies over all rows. Pairs sharing a band are candidates if the
     estimate from 64 two-bit minima is at least `first` and that from all 64 + wide ones at least `second`, both far
     below what pairs at `least` have; then the texts are compared exactly. width grows with the corpus.
@@ -197,7 +195,7 @@ def near_classes(
     scale = piece_scale(piece_frequencies(rows))
     kept = [f for f in rows.schema if f.name != "text"]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    signed = cut(rows.select(*[f.name for f in kept], "text").mapInArrow(_signatures(scale, bands, width, wide, seed), f"{fields}, k1 long, k2 long, s1 long, s2 long, more array<long>, bands array<long>"), "signed")
+    signed = cut(rows.select(*[f.name for f in kept], "text").mapInArrow(_signatures(scale, bands, width, wide, seed), f"{fields}, r1 long, r2 long, k1 long, k2 long, s1 long, s2 long, more array<long>, bands array<long>"), "signed")
     classes = cut(signed.groupBy("k1", "k2").agg(F.min("id").alias("class"), *[F.first(c).alias(c) for c in ("s1", "s2", "more", "bands")]), "classes")
     posted = classes.select("class", "s1", "s2", F.explode("bands").alias("band"))
     left = posted.select("band", F.col("class").alias("a"), F.col("s1").alias("a1"), F.col("s2").alias("a2"))
@@ -211,16 +209,15 @@ def near_classes(
         near = near.withColumn("apart", F.col("apart") + _unequal(F.col("ma")[i], F.col("mb")[i]))
     near = cut(near.where(_estimate(F.col("apart"), 64 + wide) >= second).select("a", "b"), "near")
     pairs = _verified(near, rows.select("id", "text"), least)
-    members = signed.select(*[f.name for f in kept], "k1", "k2").join(classes.select("k1", "k2", "class"), ["k1", "k2"]).drop("k1", "k2")
+    members = signed.select(*[f.name for f in kept], "r1", "r2", "k1", "k2").join(classes.select("k1", "k2", "class"), ["k1", "k2"]).drop("k1", "k2")
     return members, pairs.select("a", "b", "similarity")
 
 
 def near_duplicate_pairs(df: DataFrame, id_col: str = "email_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
     """All pairs (a, b) of ids, a < b, with a similarity of at least `least` that are not copies of each other (records)."""
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
-    rows = rows.select("id", records.root(records.canonical(F.col("text"))).alias("root"), "text")
     members, pairs = near_classes(rows, least)
-    members = cut(members, "members")
+    members = cut(members.select("id", F.struct("r1", "r2").alias("root"), "class"), "members")
     nodes = members.select("class", "root").distinct()  # rows of a node are copies of each other
     several = nodes.groupBy("class").agg(F.count("*").alias("n")).where("n > 1").select("class")
     inner = several.select(F.col("class").alias("a"), F.col("class").alias("b"))
