@@ -43,6 +43,8 @@ LOOKALIKE_FROM = (
     "ΙΑΕΟΡΤΝΜΚΒ"
 )
 LOOKALIKE_TO = "aeopcyxisdoAEOPCYXIAEOPTNMKB"
+#: Ranges that hold all of them, cheap to test: a text without any of these characters needs no folding.
+FOLD_HINT = "[\\u00ad\\u0391-\\u0501\\u1d0f\\u200b-\\u200d\\ufeff]"
 
 # Fixed values.
 WORD = "[A-Za-z']+"
