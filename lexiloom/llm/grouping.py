@@ -16,9 +16,12 @@ from lexiloom.operators.graph import components
 from lexiloom.runtime import cut
 
 SPLITS = ("train", "validation", "test")
-_GAP = r"[\s .#:]"
-#: Two letters and six digits directly after a whole word that announces a case.
-REFERENCE = rf"(?i)(?<![\p{{L}}\p{{N}}_])(?:case|ticket|ref|reference|dossier|vorgang|expediente)(?![\p{{L}}\p{{N}}_]){_GAP}*(?:no(?![\p{{L}}\p{{N}}]){_GAP}*)?([a-z]{{2}}(?:-|[\s ]*)[0-9]{{6}})(?![\p{{L}}\p{{N}}])"
+_GAP = r"[\s\u00a0.#:]"
+_SHAPE = r"[A-Za-z]{2}(?:-|[\s\u00a0]{0,3})[0-9]{6}"
+#: Two letters and six digits directly after a whole word that announces a case. The shape is rare, so it is tried first.
+REFERENCE = (
+    rf"({_SHAPE})(?![\p{{L}}\p{{N}}])(?<=(?<![\p{{L}}\p{{N}}_])(?i:case|ticket|ref|reference|dossier|vorgang|expediente){_GAP}{{1,8}}(?:(?i:no){_GAP}{{1,8}})?{_SHAPE})"
+)
 
 
 def author(sender: Column) -> Column:
@@ -30,7 +33,7 @@ def author(sender: Column) -> Column:
 def case_references(text: Column) -> Column:
     """Distinct case references of a text in the form AB123456."""
     shown = F.translate(F.regexp_replace(text, f"[{lexicons.INVISIBLE}]", ""), lexicons.LOOKALIKE_FROM, lexicons.LOOKALIKE_TO)
-    folded = F.when(text.rlike(f"[{lexicons.INVISIBLE}{lexicons.LOOKALIKE_FROM}]"), shown).otherwise(text)
+    folded = F.when(text.rlike(lexicons.FOLD_HINT), shown).otherwise(text)
     found = F.regexp_extract_all(folded, F.lit(REFERENCE), F.lit(1))
     return F.coalesce(F.array_distinct(F.transform(found, lambda x: F.regexp_replace(F.upper(x), "[^A-Z0-9]", ""))), F.array().cast("array<string>"))
 
