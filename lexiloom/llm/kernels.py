@@ -1,8 +1,4 @@
-"""Vectorised text kernels: keys of texts, their five-character pieces, fingerprints and set similarity.
-
-A key holds only a-z and 0-9, so a piece of five characters has an exact code below 37**5 (the 37th sign pads keys of
-one to four characters, which have one piece, the key itself). Everything works on whole Arrow batches.
-"""
+"""Vectorised fingerprints of texts: digests, weighted minima, similarity hashes and record trees, on whole Arrow batches."""
 
 from __future__ import annotations
 
@@ -10,68 +6,8 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-
-DROP, PAD, BASE, WIDTH = 255, 36, 37, 5
-_DIGIT = np.full(256, DROP, np.uint8)
-for _i, _c in enumerate(b"abcdefghijklmnopqrstuvwxyz0123456789"):
-    _DIGIT[_c] = _i
-_DIGIT[ord("A") : ord("Z") + 1] = np.arange(26)
-_KELVIN, _DOTTED_I = "K", "İ"  # the only letters outside ASCII whose lower case holds an ASCII letter
-
-
-def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes of all texts and the n+1 offsets of the texts in them; a null counts as an empty text."""
-    a = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    a = pc.fill_null(a.cast(pa.large_string()), "")
-    _, offsets, data = a.buffers()
-    offs = np.frombuffer(offsets, np.int64)[a.offset : a.offset + len(a) + 1] if len(a) else np.zeros(1, np.int64)
-    raw = np.frombuffer(data, np.uint8)[offs[0] : offs[-1]] if data is not None and len(a) else np.zeros(0, np.uint8)
-    return raw, offs - offs[0]
-
-
-def folded_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """text_bytes with the letters outside ASCII replaced whose lower case is an ASCII letter."""
-    raw, offs = text_bytes(column)
-    whole = raw.tobytes() if len(raw) else b""
-    if _KELVIN.encode() in whole or _DOTTED_I.encode() in whole:
-        column = pc.replace_substring(pc.replace_substring(pc.fill_null(column, ""), _KELVIN, "k"), _DOTTED_I, "i")
-        raw, offs = text_bytes(column)
-    return raw, offs
-
-
-def keys(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Digits 0..35 of the keys of all texts and their offsets."""
-    raw, offs = folded_bytes(column)
-    digits = _DIGIT[raw]
-    keep = digits != DROP
-    at = np.concatenate([[0], np.cumsum(keep)])
-    return digits[keep], at[offs]
-
-
-def pieces(digits: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the five-character pieces of all keys, in order with repeats, and how many each key has."""
-    size = np.diff(offs)
-    if ((size > 0) & (size < WIDTH)).any():
-        parts, fill = [], np.full(WIDTH, PAD, np.uint8)
-        for i, n in enumerate(size):
-            own = digits[offs[i] : offs[i + 1]]
-            parts.append(np.concatenate([own, fill[n:]]) if 0 < n < WIDTH else own)
-        digits, size = np.concatenate(parts), np.where((size > 0) & (size < WIDTH), WIDTH, size)
-        offs = np.concatenate([[0], np.cumsum(size)])
-    if len(digits) < WIDTH:
-        return np.zeros(0, np.int32), np.zeros(len(size), np.int64)
-    d = digits.astype(np.int32)
-    codes = d[: 1 - WIDTH].copy()
-    for j in range(1, WIDTH):
-        codes *= BASE
-        codes += d[j : len(d) - WIDTH + 1 + j]
-    keep = np.ones(len(codes), bool)
-    for j in range(1, WIDTH):
-        end = offs[1:] - j
-        end = end[(end >= 0) & (end < len(codes))]
-        keep[end] = False
-    return codes[keep], np.maximum(size - WIDTH + 1, 0)
+
+from lexiloom.functions.pieces import DIGIT, DROP, folded_bytes, jaccard, keys, pieces, slices, text_bytes  # noqa: F401
 
 
 def digests(digits: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -153,7 +89,7 @@ def roots(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     raw, offs = folded_bytes(column)
     starts, fields = field_lines(raw, offs)
     n = len(offs) - 1
-    digits = _DIGIT[raw]
+    digits = DIGIT[raw]
     keep = np.flatnonzero(digits != DROP)
     line = np.searchsorted(starts, keep, "right") - 1
     in_field = fields[line] if len(starts) else np.zeros(0, bool)
@@ -180,7 +116,7 @@ def tree(text: str) -> tuple[bytes, list[bytes]]:
     raw, offs = folded_bytes(column)
     starts, fields = field_lines(raw, offs)
     ends = np.append(starts[1:], len(raw))
-    key = lambda a, b: _DIGIT[raw[a:b]][_DIGIT[raw[a:b]] != DROP].tobytes()
+    key = lambda a, b: DIGIT[raw[a:b]][DIGIT[raw[a:b]] != DROP].tobytes()
     body = b"".join(key(a, b) for a, b, f in zip(starts, ends, fields) if not f)
     return body, sorted(key(a, b) for a, b, f in zip(starts, ends, fields) if f)
 
@@ -240,23 +176,3 @@ def simhash(h: np.ndarray, counts: np.ndarray, bits: int, seed: int, width: int
         sketch = np.bincount(cell, sign, (last - first) * width).reshape(last - first, width).astype(np.float32)
         out[first:last] = np.packbits(sketch @ plane > 0, axis=1)
     return out
-
-
-def jaccard(left: pa.Array, right: pa.Array) -> np.ndarray:
-    """Exact similarity of each pair of texts: shared divided by all distinct pieces of their keys; 0 if a key is empty."""
-    sides = []
-    for column in (left, right):
-        codes, counts = pieces(*keys(column))
-        sides.append((codes, np.concatenate([[0], np.cumsum(counts)]).tolist()))
-    (a, ao), (b, bo) = sides
-    out = np.zeros(len(left))
-    for i in range(len(left)):
-        x, y = np.unique(a[ao[i] : ao[i + 1]]), np.unique(b[bo[i] : bo[i + 1]])
-        if len(x) and len(y):
-            both = np.concatenate([x, y])
-            both.sort()
-            shared = int((both[1:] == both[:-1]).sum())
-            out[i] = shared / (len(both) - shared)
-    return out
-
-

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiloom.llm import words
+from lexiloom.llm import kernels, words
 from lexiloom.runtime import cut, spread
 
 K = 5
@@ -30,7 +30,7 @@ def _posted(keep: np.ndarray | None = None):
     """(id, h, pos, n): shingles of (id, text) rows with their position and the text's number of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in kernels.slices(whole)):
             h, pos, per = words.shingles(*words.hashed_words(batch.column("text")), K)
             row = np.repeat(np.arange(len(per)), per)
             if keep is not None:

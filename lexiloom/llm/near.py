@@ -33,7 +33,7 @@ def split_name(split: Column) -> Column:
 
 def _fingerprints(blocks: int, bits: int, seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in kernels.slices(whole)):
             digits, offs = kernels.keys(batch.column("text"))
             kept = np.flatnonzero(np.diff(offs) > 0)
             codes, counts = kernels.pieces(digits, offs)
@@ -57,7 +57,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b, ...) of ids whose texts have a similarity of at least `least`, computed exactly; adds `similarity`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in kernels.slices(whole, "ta")):
             j = kernels.jaccard(batch.column("ta"), batch.column("tb"))
             kept = pa.array(np.flatnonzero(j >= least))
             out = batch.drop_columns(["ta", "tb"]).take(kept)
@@ -118,7 +118,7 @@ def piece_frequencies(rows: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SLOTS + 1, np.int64)
-        for batch in batches:
+        for batch in (part for whole in batches for part in kernels.slices(whole)):
             codes, counts = kernels.pieces(*kernels.keys(batch.column("text")))
             total[:SLOTS] += np.bincount(kernels.mixed(codes) >> np.uint32(16), minlength=SLOTS)
             total[SLOTS] += int((counts > 0).sum())
@@ -147,7 +147,7 @@ def _signatures(scale: np.ndarray, bands: int, width: int, wide: int, seed: int)
         return np.ascontiguousarray((four[:, :, 0] | four[:, :, 1] << 2 | four[:, :, 2] << 4 | four[:, :, 3] << 6).astype(np.uint8))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in kernels.slices(whole)):
             digits, offs = kernels.keys(batch.column("text"))
             kept = np.flatnonzero(np.diff(offs) > 0)
             codes, counts = kernels.pieces(digits, offs)

@@ -24,7 +24,7 @@ from lexiloom.runtime import spread
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (part for whole in batches for part in kernels.slices(whole)):
         root, full = kernels.roots(batch.column("text"))
         kept = np.flatnonzero(full)
         yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(kept)), pa.array(root[kept, 0]), pa.array(root[kept, 1])], ["id", "r1", "r2"])

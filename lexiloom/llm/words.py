@@ -18,7 +18,7 @@ _P = np.uint64(0x9E3779B97F4A7C15)
 def match_form(text: Column) -> Column:
     """Invisible characters dropped, look-alike letters folded, lower case; the rare texts that need folding pay for it."""
     folded = F.translate(F.regexp_replace(text, f"[{lexicons.INVISIBLE}]", ""), lexicons.LOOKALIKE_FROM, lexicons.LOOKALIKE_TO)
-    return F.lower(F.when(text.rlike(f"[{lexicons.INVISIBLE}{lexicons.LOOKALIKE_FROM}]"), folded).otherwise(text))
+    return F.lower(F.when(text.rlike(lexicons.FOLD_HINT), folded).otherwise(text))
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -27,8 +27,11 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def hashed_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words in order, and how many each text has. Texts must be in match form."""
+def hashed_words(column: pa.Array, alike_numbers: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words in order, and how many each text has. Texts must be in match form.
+
+    alike_numbers: all words with a digit are one word.
+    """
     raw, offs = text_bytes(column)
     part = _PART[raw]
     first = part.copy()
@@ -46,6 +49,8 @@ def hashed_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     value = (raw[where].astype(np.uint64) + np.uint64(1)) * power[step]
     starts = np.flatnonzero(np.diff(word, prepend=-1))
     h = _mix(np.add.reduceat(value, starts))
+    if alike_numbers:
+        h[np.logical_or.reduceat(raw[where] <= 57, starts)] = 0
     return h, np.searchsorted(at, offs[1:]) - np.searchsorted(at, offs[:-1])
 
 
