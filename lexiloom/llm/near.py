@@ -53,6 +53,15 @@ def _fingerprints(blocks: int, bits: int, seed: int) -> Callable[[Iterator[pa.Re
     return run
 
 
+def hamming(x: Column, y: Column, bits: int) -> Column:
+    """Number of bits in which two fingerprints (binary) differ."""
+    part = lambda c, i: F.conv(F.hex(F.substring(c, i, 4)), 16, 10).cast("long")
+    out = F.lit(0)
+    for i in range(1, bits // 8 + 1, 4):
+        out = out + F.bit_count(part(x, i).bitwiseXOR(part(y, i)))
+    return out
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b, ...) of ids whose texts have a similarity of at least `least`, computed exactly; adds `similarity`."""
 
@@ -97,10 +106,7 @@ def cross_split_pairs(
     near = close.select("a", "b").distinct()
     wide = classes.select("class", "print")
     near = near.join(wide.select(F.col("class").alias("a"), F.col("print").alias("pa")), "a").join(wide.select(F.col("class").alias("b"), F.col("print").alias("pb")), "b")
-    words = [F.bit_count(F.conv(F.hex(F.substring("pa", i, 4)), 16, 10).cast("long").bitwiseXOR(F.conv(F.hex(F.substring("pb", i, 4)), 16, 10).cast("long"))) for i in range(1, blocks * bits // 8 + 1, 4)]
-    apart = words[0]
-    for w in words[1:]:
-        apart = apart + w
+    apart = hamming(F.col("pa"), F.col("pb"), blocks * bits)
     near = cut(near.where(apart <= int(radius_all * blocks * bits)).select("a", "b"), "near")
     equal = classes.where("trains and holds").select(F.col("class").alias("b"), F.col("class").alias("a"), F.lit(1.0).alias("similarity"))
     linked = _verified(near, rows.select("id", "text"), least).unionByName(equal)
