@@ -46,10 +46,10 @@ def syllables(low: Column) -> Column:
 
 
 def counted(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """df with the integer counts that all features are made of, in columns whose names begin with `c_`."""
+    """df with the integer counts that all features are made of, in columns whose names begin with `__c_`."""
     t = F.coalesce(F.col(text_col), F.lit(""))
     low = F.lower(t)
-    out = df.withColumn("c_words", F.array_sort(X.words(t)))
+    out = df.withColumn("__c_words", F.array_sort(X.words(t)))
     start = F.struct(*[F.lit(v).cast(k).alias(n) for n, v, k in (("last", "", "string"), ("run", 0, "long"), ("v", 0, "long"), ("twice", 0, "long"), ("thrice", 0, "long"), ("sq", 0, "long"), ("len", 0, "long"), ("len2", 0, "long"))])
 
     def step(a: Column, w: Column) -> Column:
@@ -61,19 +61,19 @@ def counted(df: DataFrame, text_col: str = "text") -> DataFrame:
             (a["sq"] + 2 * run - 1).alias("sq"), (a["len"] + size).alias("len"), (a["len2"] + size * size).alias("len2"),
         )
 
-    out = out.withColumn("c_stats", F.aggregate("c_words", start, step))
+    out = out.withColumn("__c_stats", F.aggregate("__c_words", start, step))
     lengths = F.transform(X.sentences(t), lambda s: _count(F.lower(s), lexicons.WORD))
-    out = out.withColumn("c_sentences", lengths).withColumn("c_lexical", F.filter("c_words", lambda w: w.isin(lexicons.FUNCTION_WORDS)))
+    out = out.withColumn("__c_sentences", lengths).withColumn("__c_lexical", F.filter("__c_words", lambda w: w.isin(lexicons.FUNCTION_WORDS)))
     counts = {
-        "chars": F.length(t).cast("long"), "n": F.size("c_words").cast("long"), "s": F.size("c_sentences").cast("long"),
-        "sent": F.aggregate("c_sentences", F.lit(0).cast("long"), lambda a, x: a + x), "sent2": F.aggregate("c_sentences", F.lit(0).cast("long"), lambda a, x: a + x * x),
-        "v": F.col("c_stats.v"), "hapax": F.col("c_stats.v") - F.col("c_stats.twice"), "dis": F.col("c_stats.twice") - F.col("c_stats.thrice"), "sq": F.col("c_stats.sq"),
-        "len": F.col("c_stats.len"), "len2": F.col("c_stats.len2"), "syllables": syllables(low),
+        "chars": F.length(t).cast("long"), "n": F.size("__c_words").cast("long"), "s": F.size("__c_sentences").cast("long"),
+        "sent": F.aggregate("__c_sentences", F.lit(0).cast("long"), lambda a, x: a + x), "sent2": F.aggregate("__c_sentences", F.lit(0).cast("long"), lambda a, x: a + x * x),
+        "v": F.col("__c_stats.v"), "hapax": F.col("__c_stats.v") - F.col("__c_stats.twice"), "dis": F.col("__c_stats.twice") - F.col("__c_stats.thrice"), "sq": F.col("__c_stats.sq"),
+        "len": F.col("__c_stats.len"), "len2": F.col("__c_stats.len2"), "syllables": syllables(low),
         "comma": _count(t, ","), "period": _count(t, "[.]"), "exclamation": _count(t, "!"), "question": _count(t, "[?]"), "punctuation": _count(t, "[,.;:!?'\"()-]"),
         "upper": _count(t, r"\p{IsUppercase}"), "digit": _count(t, rf"[\p{{Nd}}{_OTHER_DIGITS}]"), "url": _count(t, lexicons.URL), "email": _count(t, lexicons.EMAIL),
-        "urgent": F.size(F.filter("c_words", lambda w: w.isin(lexicons.URGENCY_WORDS))).cast("long"),
+        "urgent": F.size(F.filter("__c_words", lambda w: w.isin(lexicons.URGENCY_WORDS))).cast("long"),
     }
-    return out.withColumns({f"c_{k}": v for k, v in counts.items()}).drop("c_stats", "c_sentences")
+    return out.withColumns({f"__c_{k}": v for k, v in counts.items()}).drop("__c_stats", "__c_sentences")
 
 
 def _deviation(n: Column, total: Column, squares: Column) -> Column:
@@ -83,7 +83,7 @@ def _deviation(n: Column, total: Column, squares: Column) -> Column:
 
 def expressions() -> dict[str, Column]:
     """Every feature by name, over the columns of counted()."""
-    c = lambda name: F.col(f"c_{name}")
+    c = lambda name: F.col(f"__c_{name}")
     n, chars, asl, asw = c("n"), c("chars"), _ratio(c("n"), c("s")), _ratio(c("syllables"), c("n"))
     by_chars = {f"{k}_ratio": _ratio(c(v), chars) for k, v in (("comma", "comma"), ("period", "period"), ("exclamation", "exclamation"), ("question", "question"), ("punctuation", "punctuation"), ("uppercase", "upper"), ("digit", "digit"))}
     honore = F.when((n > 1) & (c("v") > 0) & (c("hapax") != c("v")), 100 * F.ln(n.cast("double")) / (1 - c("hapax").cast("double") / c("v").cast("double"))).otherwise(0.0)
@@ -102,7 +102,7 @@ def expressions() -> dict[str, Column]:
 
 
 def features(df: DataFrame, text_col: str = "text", names: list[str] | None = None, digits: int | None = None) -> DataFrame:
-    """df with the named features as DOUBLE columns, all 95 by default, optionally rounded."""
+    """df with the named features as DOUBLE columns, all 95 by default, optionally rounded; a column of a feature's name is replaced."""
     made = expressions()
     kept = {k: made[k] if digits is None else F.round(made[k], digits) for k in (names or FEATURE_NAMES)}
-    return counted(df, text_col).withColumns(kept).select(*df.columns, *kept)
+    return counted(df, text_col).withColumns(kept).select(*[c for c in df.columns if c not in kept], *kept)

@@ -23,7 +23,10 @@ def order_hash(key: Column, seed: int = lexicons.SEED) -> Column:
 
 
 def ranked(df: DataFrame, groups: list[str], key: str, seed: int = lexicons.SEED, rank: str = "rank", size: str | None = None) -> DataFrame:
-    """df with the 1-based rank of each row in its group by order_hash, and optionally the size of the group."""
+    """df with the 1-based rank of each row in its group by order_hash, and optionally the size of the group.
+
+    Columns of df that have the names of the new ones are replaced.
+    """
     rows = df.withColumn("__hash", order_hash(F.col(key), seed)).withColumn("__range", F.substring("__hash", 1, 3))
     by = [F.col(g) for g in groups] or [F.lit(0)]
     counts = rows.groupBy(*[b.alias(f"__g{i}") for i, b in enumerate(by)], F.col("__range").alias("__r")).agg(F.count("*").alias("__n"))
@@ -36,19 +39,20 @@ def ranked(df: DataFrame, groups: list[str], key: str, seed: int = lexicons.SEED
     out = rows.join(counts, match).withColumn(rank, F.col("__before") + F.row_number().over(Window.partitionBy(*names, "__range").orderBy("__hash", key)))
     if size:
         out = out.withColumn(size, F.col("__size"))
-    return out.select(*df.columns, rank, *([size] if size else []))
+    new = [rank, *([size] if size else [])]
+    return out.select(*[c for c in df.columns if c not in new], *new)
 
 
 def first_per_group(df: DataFrame, groups: list[str], key: str, k: int, seed: int = lexicons.SEED) -> DataFrame:
     """The k first rows of each group in hash order; only hash ranges that can hold them are sorted."""
-    return ranked(df, groups, key, seed).where(F.col("rank") <= k)
+    return ranked(df, groups, key, seed).where(F.col("rank") <= k)  # adds rank
 
 
 def downsampled(df: DataFrame, label: str, key: str, seed: int = lexicons.SEED) -> DataFrame:
     """Every class cut to the size of the smallest, first rows in hash order."""
-    out = ranked(df, [label], key, seed, size="__of")
+    out = ranked(df, [label], key, seed, rank="__rank", size="__of")
     least = df.groupBy(label).agg(F.count("*").alias("__c")).agg(F.min("__c").alias("__least"))
-    return out.crossJoin(F.broadcast(least)).where(F.col("rank") <= F.col("__least")).select(*df.columns)  # one row
+    return out.crossJoin(F.broadcast(least)).where(F.col("__rank") <= F.col("__least")).select(*df.columns)  # one row
 
 
 def split_of(rank: Column, size: Column, test: float = lexicons.TEST_SHARE, val: float = lexicons.VAL_SHARE) -> Column:
@@ -58,10 +62,10 @@ def split_of(rank: Column, size: Column, test: float = lexicons.TEST_SHARE, val:
 
 def stratified_split(df: DataFrame, label: str, key: str, test: float = lexicons.TEST_SHARE, val: float = lexicons.VAL_SHARE, seed: int = lexicons.SEED) -> DataFrame:
     """df with `split`: per class the first round(test*n) rows in hash order are test, the next round(val*n) val, the rest train."""
-    out = ranked(df, [label], key, seed, size="__of")
-    return out.withColumn("split", split_of(F.col("rank"), F.col("__of"), test, val)).select(*[c for c in df.columns if c != "split"], "split")
+    out = ranked(df, [label], key, seed, rank="__rank", size="__of")
+    return out.withColumn("split", split_of(F.col("__rank"), F.col("__of"), test, val)).select(*[c for c in df.columns if c != "split"], "split")
 
 
 def folds(df: DataFrame, label: str, key: str, k: int = 5) -> DataFrame:
     """df with `fold` 0..k-1, dealt per class in hash order so that each fold has the class shares of the whole."""
-    return ranked(df, [label], key).withColumn("fold", ((F.col("rank") - 1) % k).cast("int")).drop("rank")
+    return ranked(df, [label], key, rank="__rank").withColumn("fold", ((F.col("__rank") - 1) % k).cast("int")).drop("__rank")

@@ -1 +1,181 @@
 """Registered queries on models, checks and sources."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexiloom import lexicons
+from lexiloom.functions import style
+from lexiloom.functions import text as X
+from lexiloom.operators import checks, dedupe, metrics, models, ranking, screen, similarity
+from lexiloom.plans.queries import _emails, _labelled, _reasoned, query
+from lexiloom.runtime import cut, table
+from lexiloom.sources import readers, writers
+
+NAMES = style.FEATURE_NAMES
+CUES = ["email_addr_count", "url_count"]
+FOREST = {"numTrees": 40, "maxDepth": 8}
+BOOST = {"maxIter": 20, "maxDepth": 4}
+
+
+def _matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features and split of all labelled texts; copies are dropped before the split."""
+    rows = dedupe.loader_dedupe(_emails(spark, sf_dir, "label", "source").where("label in (0, 1)"), "email_id")
+    made = style.features(ranking.stratified_split(rows, "label", "email_id")).drop("text")
+    return cut(models.weighted(made), "matrix")
+
+
+def _fit(kind: str, train: DataFrame, names: list[str]):
+    pipeline = {"logreg": lambda: models.logistic(names, train.count()), "forest": lambda: models.forest(names, **FOREST), "boosted": lambda: models.boosted(names, **BOOST)}[kind]()
+    return pipeline.fit(train)
+
+
+def _result(kind: str, df: DataFrame, names: list[str] = NAMES) -> DataFrame:
+    model = _fit(kind, df.where("split = 'train'"), names)
+    return models.evaluated(models.predictions(model, df.where("split = 'test'"), "email_id")).withColumn("model", F.lit(kind))
+
+
+@query
+def logreg_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _result("logreg", _matrix(spark, sf_dir))
+
+
+@query
+def rf_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _result("forest", _matrix(spark, sf_dir))
+
+
+@query
+def gbt_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _result("boosted", _matrix(spark, sf_dir))
+
+
+@query
+def grid_search_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M4 with a reduced grid: best parameters by F1 over five stratified folds, scored on the test part."""
+    df = _matrix(spark, sf_dir)
+    train = cut(ranking.folds(df.where("split = 'train'"), "label", "email_id"), "folds")
+    model, best = models.grid_search(models.forest(NAMES, numTrees=10), train, {"maxDepth": [4, 8]})
+    made = models.evaluated(models.predictions(model, df.where("split = 'test'"), "email_id"))
+    return made.withColumn("best_max_depth", F.lit(best["maxDepth"]))
+
+
+@query
+def ablation_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P10 and M8: all features against those without the structural cues."""
+    df = _matrix(spark, sf_dir)
+    kept = [n for n in NAMES if n not in CUES]
+    return _result("logreg", df).withColumn("condition", F.lit("all")).unionByName(_result("logreg", df.drop(*CUES), kept).withColumn("condition", F.lit("without_cues")))
+
+
+@query
+def temporal_subset_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _matrix(spark, sf_dir).where("label = 1 or source like 'mbox-2022%'").drop("split", "weight")
+    return _result("logreg", cut(models.weighted(ranking.stratified_split(ranking.downsampled(df, "label", "email_id"), "label", "email_id")), "subset"))
+
+
+@query
+def grouped_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M7: the forest refitted on a split that keeps similar texts together."""
+    df = _matrix(spark, sf_dir).drop("split")
+    found = similarity.clusters(_emails(spark, sf_dir), "email_id")
+    placed = similarity.grouped_split(df.select("email_id", "label"), "email_id", "label", found).select(F.col("id").alias("email_id"), "split")
+    return _result("forest", cut(df.join(placed, "email_id"), "grouped"))
+
+
+@query
+def impurity_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.impurity_importance(_fit("forest", _matrix(spark, sf_dir).where("split = 'train'"), NAMES), NAMES)
+
+
+@query
+def permutation_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _matrix(spark, sf_dir)
+    return models.permutation_importance(_fit("logreg", df.where("split = 'train'"), NAMES), df.where("split = 'test'"), NAMES, "email_id", repeats=3)
+
+
+@query
+def importance_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Impurity against permutation importance of the forest."""
+    from pyspark.sql import Window
+
+    df = _matrix(spark, sf_dir)
+    model = _fit("forest", df.where("split = 'train'"), NAMES)
+    drops = models.permutation_importance(model, df.where("split = 'test'"), NAMES, "email_id", repeats=2)
+    top = drops.select("feature", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("mean_drop"), "feature")).alias("rank"))  # one row a feature
+    return metrics.spearman(models.impurity_importance(model, NAMES), top, "feature")
+
+
+@query
+def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 95 features, weight and split of every labelled text."""
+    return _matrix(spark, sf_dir)
+
+
+# -- checks ----------------------------------------------------------------------------------------------------------
+
+
+@query
+def validation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checks of corpus, funnel, split and metrics, each with the number it rests on."""
+    kept = dedupe.class_dedupe(_emails(spark, sf_dir, "label").where("label is not null"), "email_id")
+    balanced = ranking.downsampled(kept, "label", "email_id")
+    funnel = screen.funnel(_reasoned(spark, sf_dir), ["source"])
+    split = ranking.stratified_split(_labelled(spark, sf_dir), "label", "email_id")
+    cells = metrics.scores(metrics.confusion(table(spark, sf_dir, "predictions").distinct(), ["model"]))
+    again = 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))
+    parts = F.expr("excluded_internal + excluded_length + excluded_language + excluded_screen + kept")
+    return checks.report([
+        checks.none_of(kept.where("text is null"), "no null texts", "corpus"),
+        checks.none_of(kept.where("label not in (0, 1)"), "labels are 0 or 1", "corpus"),
+        checks.none_of(kept.groupBy("label", X.key_digest(F.col("text")).alias("k")).count().where("count > 1"), "no copies inside a class", "corpus"),
+        checks.none_of(balanced.groupBy("label").count().agg(F.min("count").alias("a"), F.max("count").alias("b")).where("a <> b"), "classes are balanced", "corpus"),
+        checks.none_of(funnel.where(parts != F.col("messages")), "funnel adds up", "funnel"),
+        checks.check(funnel, "messages are counted", "funnel", F.sum("messages"), F.col("value") > 0),
+        checks.none_of(split.where("split not in ('train', 'val', 'test')"), "every row has a split", "split"),
+        checks.none_of(split.groupBy("email_id").count().where("count > 1"), "no row in two splits", "split"),
+        checks.none_of(cells.where(~metrics.close_to(F.col("f1"), again, 1e-6)), "f1 follows from precision and recall", "models"),
+        checks.none_of(cells.where("precision < 0 or precision > 1 or recall < 0 or recall > 1"), "ratios are ratios", "models"),
+    ])
+
+
+@query
+def validation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.summary(validation_report(spark, sf_dir))
+
+
+# -- sources ---------------------------------------------------------------------------------------------------------
+
+
+@query
+def message_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.message_bodies(table(spark, sf_dir, "message_parts").drop("sent_at"))
+
+
+@query
+def message_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S5, N3, P1-P4 and A4 on raw messages."""
+    bodies = readers.message_bodies(table(spark, sf_dir, "message_parts").drop("sent_at"))
+    judged = bodies.withColumn("text", X.stored_form(F.col("body"))).withColumn("reason", screen.reason(F.col("text"), F.lit(True)))
+    return screen.funnel(judged, ["source"])
+
+
+@query
+def synthetic_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.synthetic(spark)
+
+
+@query
+def status_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K8: whether each source of the audit was judged in full, as allowed statuses."""
+    rows = table(spark, sf_dir, "screen_audit").groupBy("source").agg(F.count("*").alias("n"), F.count("judged_in_scope").alias("judged"))
+    status = F.when(F.col("judged") == F.col("n"), writers.STATUSES[0]).when(F.col("judged") > 0, writers.STATUSES[1]).otherwise(writers.STATUSES[3])
+    return writers.status_histogram(rows.withColumn("status", status))
+
+
+@query
+def seeded_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """75/25 by hash order over all rows."""
+    rows = ranking.ranked(table(spark, sf_dir, "emails").select("email_id"), [], "email_id", lexicons.SEED, size="n")
+    return rows.select("email_id", F.when(F.col("rank") <= F.floor(F.col("n") * 0.75), "train").otherwise("test").alias("part"))

