@@ -138,10 +138,10 @@ def piece_frequencies(rows: DataFrame) -> np.ndarray:
     return out
 
 
-def piece_scale(frequency: np.ndarray, common: float = 0.005, power: float = 2.0, most: float = 256.0) -> np.ndarray:
-    """1/weight of each cell: weight 1 up to `common` occurrences a text, then falling to 1/most."""
-    share = frequency[:SLOTS] / max(1, frequency[SLOTS])
-    return np.clip((share / common) ** power, 1.0, most).astype(np.float32)
+def piece_scale(frequency: np.ndarray, common: float = 0.005, rare: int = 50, power: float = 2.0, most: float = 256.0) -> np.ndarray:
+    """1/weight of each cell: weight 1 up to `common` occurrences a text and `rare` in all, then falling to 1/most."""
+    upto = max(float(rare), common * frequency[SLOTS])
+    return np.clip((frequency[:SLOTS] / upto) ** power, 1.0, most).astype(np.float32)
 
 
 def _signatures(scale: np.ndarray, bands: int, width: int, wide: int, seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -188,7 +188,7 @@ def _estimate(unequal: Column, n: int) -> Column:
 
 
 def near_classes(
-    rows: DataFrame, least: float = 0.5, bands: int = 32, width: int = 2, wide: int = 128, first: float = 0.14, second: float = 0.2, seed: int = 5
+    rows: DataFrame, least: float = 0.5, bands: int = 40, width: int = 2, wide: int = 128, first: float = 0.14, second: float = 0.18, seed: int = 5
 ) -> tuple[DataFrame, DataFrame]:
     """Classes of equal keys and the similar pairs among them, for rows (id, text, ...).
 
