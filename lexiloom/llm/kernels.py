@@ -90,13 +90,16 @@ def roots(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     starts, fields = field_lines(raw, offs)
     n = len(offs) - 1
     digits = DIGIT[raw]
-    keep = np.flatnonzero(digits != DROP)
-    line = np.searchsorted(starts, keep, "right") - 1
-    in_field = fields[line] if len(starts) else np.zeros(0, bool)
     text_of_line = np.searchsorted(offs, starts, "right") - 1
-    body, body_of = digits[keep[~in_field]], text_of_line[line[~in_field]]
-    own, own_line = digits[keep[in_field]], line[in_field]
-    counts = np.bincount(body_of, minlength=n)
+    length = np.diff(np.append(starts, len(raw)))
+    in_field = np.repeat(fields, length)
+    kept = digits != DROP
+    at = kept & ~in_field
+    body = digits[at]
+    inside = np.flatnonzero(kept & in_field)
+    own, own_line = digits[inside], np.searchsorted(starts, inside, "right") - 1
+    before = np.concatenate([[0], np.cumsum(at, dtype=np.int32)])
+    counts = (before[offs[1:]] - before[offs[:-1]]).astype(np.int64)
     per_line = np.bincount(own_line, minlength=len(starts))
     which = np.flatnonzero(per_line)
     owner = text_of_line[which]

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.llm import kernels
+from lexiloom.operators.graph import components
 from lexiloom.runtime import cut, spread
 
 SLOTS = 1 << 16  # cells of the document-frequency table, whatever the size of the corpus
@@ -188,7 +189,7 @@ def _estimate(unequal: Column, n: int) -> Column:
 
 
 def near_classes(
-    rows: DataFrame, least: float = 0.5, bands: int = 40, width: int = 2, wide: int = 128, first: float = 0.14, second: float = 0.18, seed: int = 5
+    rows: DataFrame, least: float = 0.5, bands: int = 40, width: int = 2, wide: int = 96, first: float = 0.14, second: float = 0.18, seed: int = 5
 ) -> tuple[DataFrame, DataFrame]:
     """Classes of equal keys and the similar pairs among them, for rows (id, text, ...).
 
@@ -233,3 +234,30 @@ def near_duplicate_pairs(df: DataFrame, id_col: str = "email_id", text_col: str
     rows_of = lambda x: members.select(F.col("class").alias(x), F.col("root").alias(f"root_{x}"), F.col("id").alias(f"id_{x}"))
     out = linked.join(rows_of("a"), ["a", "root_a"]).join(rows_of("b"), ["b", "root_b"])
     return out.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
+
+
+def overlap_counts(df: DataFrame, id_col: str = "email_id", text_col: str = "text", split_col: str = "split", source_col: str = "source", least: float = 0.8) -> DataFrame:
+    """(split, source, n_rows, n_pairs): per split and source of val and test rows, how many stand in train too and in how many pairs."""
+    pairs = cross_split_pairs(df, id_col, text_col, split_col, least)
+    per = pairs.groupBy("eval_id", "eval_split").agg(F.count("*").alias("pairs"))
+    rows = df.select(F.col(id_col).alias("eval_id"), F.col(source_col).alias("source"))
+    return per.join(rows, "eval_id").groupBy(F.col("eval_split").alias("split"), "source").agg(F.count("*").alias("n_rows"), F.sum("pairs").alias("n_pairs"))
+
+
+def near_duplicate_groups(df: DataFrame, id_col: str = "email_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """(id, group, n_links): the group of every row, named by its smallest id, and how many other texts its text is linked to.
+
+    Groups are chains of similar texts and of copies in the sense of records. A row without a key is a group of its own.
+    """
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    members, pairs = near_classes(rows, least)
+    members, pairs = cut(members, "members"), cut(pairs.select("a", "b"), "pairs")
+    nodes = members.select("class", "r1", "r2").distinct()
+    same = nodes.groupBy("r1", "r2").agg(F.min("class").alias("a"))
+    copies = nodes.join(same, ["r1", "r2"]).where("a <> class").select("a", F.col("class").alias("b"))
+    found = components(pairs.unionByName(copies), "a", "b").select(F.col("node").alias("class"), "component")
+    links = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("class")).agg(F.count("*").alias("links"))
+    own = members.select("id", "class").distinct().join(found, "class", "left").join(links, "class", "left")
+    own = own.select("id", F.coalesce("component", "class").alias("group"), F.coalesce("links", F.lit(0)).alias("n_links"))
+    out = rows.select("id").join(own, "id", "left")
+    return out.select("id", F.coalesce("group", "id").alias("group"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

@@ -33,6 +33,12 @@ shared AS (SELECT a.email_id AS x, b.email_id AS y, count(*) AS c FROM pieces a
   WHERE a.email_id IN (SELECT email_id FROM sided WHERE side = 'train') AND b.email_id IN (SELECT email_id FROM sided WHERE side IN ('val', 'test')) GROUP BY 1, 2)
 SELECT least(x, y) AS email_id_a, greatest(x, y) AS email_id_b FROM shared JOIN sizes p ON p.email_id = x JOIN sizes q ON q.email_id = y
 WHERE c / (p.n + q.n - c)::double >= 0.8""",
+        "p1_overlap": f"""WITH {_PIECES},
+sided AS (SELECT email_id, CASE lower(trim(split)) WHEN 'validation' THEN 'val' ELSE lower(trim(split)) END AS side FROM keyed WHERE split IS NOT NULL),
+shared AS (SELECT a.email_id AS x, b.email_id AS y, count(*) AS c FROM pieces a JOIN pieces b USING (g)
+  WHERE a.email_id IN (SELECT email_id FROM sided WHERE side = 'train') AND b.email_id IN (SELECT email_id FROM sided WHERE side IN ('val', 'test')) GROUP BY 1, 2),
+per AS (SELECT y, count(*) AS k FROM shared JOIN sizes p ON p.email_id = x JOIN sizes q ON q.email_id = y WHERE c / (p.n + q.n - c)::double >= 0.8 GROUP BY y)
+SELECT side AS split, e.source, count(*) AS n_rows, sum(k)::bigint AS n_pairs FROM per JOIN sided ON sided.email_id = y JOIN emails e ON e.email_id = y GROUP BY 1, 2""",
         "p4_found": f"""WITH {_ROOTS}, grouped AS (SELECT *, min(email_id) OVER (PARTITION BY body, fields) AS a FROM forms)
 SELECT a AS email_id_a, email_id AS email_id_b FROM grouped WHERE a <> email_id""",
         "p4_records": f"""WITH {_ROOTS} SELECT min(email_id) AS email_id, count(*) AS n_copies FROM forms GROUP BY body, fields""",

@@ -16,6 +16,10 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.least("train_id", "eval_id").alias("email_id_a"), F.greatest("train_id", "eval_id").alias("email_id_b"))
 
 
+def p1_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.overlap_counts(table(spark, sf_dir, "emails"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = cut(grouping.tied_sources(table(spark, sf_dir, "emails")), "tied")
     a, b = (found.select("component", F.col("source").alias(f"source_{x}")) for x in "ab")
@@ -64,6 +68,10 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("id_a").alias("email_id_a"), F.col("id_b").alias("email_id_b"))
 
 
+def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_duplicate_groups(table(spark, sf_dir, "emails")).select(F.col("id").alias("email_id"), "group", "n_links")
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 

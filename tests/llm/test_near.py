@@ -117,3 +117,31 @@ def test_jaccard_and_keys():
     assert [int(n) for n in offs[1:] - offs[:-1]] == [len(key(t)) for t in texts.to_pylist()]
     left, right = texts.to_pylist(), list(reversed(texts.to_pylist()))
     assert kernels.jaccard(pa.array(left), pa.array(right)).tolist() == pytest.approx([similarity(a, b) for a, b in zip(left, right)])
+
+
+def test_groups_are_chains_of_pairs_and_copies(spark, emails):
+    rows, df = emails
+    group = {i: i for i, *_ in rows}
+
+    def find(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    pairs = [(r["id_a"], r["id_b"]) for r in near.near_duplicate_pairs(df).collect()] + [(r["id"], r["first_id"]) for r in records.copies(df).collect()]
+    first = {}
+    for i, t, *_ in rows:
+        if key(t):
+            pairs.append((i, first.setdefault(key(t), i)))
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        group[max(a, b)] = min(a, b)
+    got = near.near_duplicate_groups(df).collect()
+    assert {r["id"]: r["group"] for r in got} == {i: find(i) for i in group} and len(got) == len(rows)
+    assert sum(r["n_links"] for r in got) > 0 and near.near_duplicate_groups(df.limit(0)).count() == 0
+
+
+def test_overlap_counts(spark, emails):
+    _, df = emails
+    per = near.overlap_counts(df, source_col="class").collect()
+    assert sum(r["n_pairs"] for r in per) == near.cross_split_pairs(df).count() and {r["split"] for r in per} <= {"val", "test"}
