@@ -49,7 +49,7 @@ def counted(df: DataFrame, text_col: str = "text") -> DataFrame:
     """df with the integer counts that all features are made of, in columns whose names begin with `__c_`."""
     t = F.coalesce(F.col(text_col), F.lit(""))
     low = F.lower(t)
-    out = df.withColumn("__c_words", F.array_sort(X.words(t)))
+    out = df.withColumn("__c_words", F.sort_array(X.words(t)))
     start = F.struct(*[F.lit(v).cast(k).alias(n) for n, v, k in (("last", "", "string"), ("run", 0, "long"), ("v", 0, "long"), ("twice", 0, "long"), ("thrice", 0, "long"), ("sq", 0, "long"), ("len", 0, "long"), ("len2", 0, "long"))])
 
     def step(a: Column, w: Column) -> Column:

@@ -28,13 +28,18 @@ def length_ok(text: Column) -> Column:
 
 def stopword_share(text: Column) -> tuple[Column, Column]:
     """Number of words and of stop words."""
-    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z']+"), F.lit(0))
+    words = _latin_words(text)
     return F.size(words), F.size(F.filter(words, lambda w: w.isin(lexicons.STOPWORDS)))
 
 
+def _latin_words(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit("[a-z']+"), F.lit(0))
+
+
 def looks_english(text: Column) -> Column:
-    words, hits = stopword_share(text)
-    return F.coalesce((words >= lexicons.MIN_WORDS) & (F.try_divide(hits.cast("double"), words.cast("double")) >= lexicons.STOPWORD_SHARE), F.lit(False))
+    """At least 20 words, of which at least 0.12 are stop words; false for a null text."""
+    share = lambda w: F.try_divide(F.size(F.filter(w, lambda x: x.isin(lexicons.STOPWORDS))).cast("double"), F.size(w).cast("double"))
+    return F.coalesce(X.let(_latin_words(text), lambda w: (F.size(w) >= lexicons.MIN_WORDS) & (share(w) >= lexicons.STOPWORD_SHARE)), F.lit(False))
 
 
 def arms(text: Column, subject: list[str] = lexicons.ACCOUNT_TERMS, action: list[str] = lexicons.ACTION_TERMS, call: list[str] = lexicons.CTA_TERMS) -> dict[str, Column]:
@@ -44,18 +49,21 @@ def arms(text: Column, subject: list[str] = lexicons.ACCOUNT_TERMS, action: list
     return {k: F.coalesce(m.rlike(v), F.lit(False)) for k, v in tests.items()}
 
 
-def credential_screen(text: Column, **terms: list[str]) -> Column:
-    """Subject and (action or call to action or link)."""
-    a = arms(text, **terms)
-    return a["has_subject"] & (a["has_action"] | a["has_call"] | a["has_url"])
+def credential_screen(text: Column, subject: list[str] = lexicons.ACCOUNT_TERMS, action: list[str] = lexicons.ACTION_TERMS, call: list[str] = lexicons.CTA_TERMS) -> Column:
+    """Subject and (action or call to action or link), in that order; false for a null text."""
+    solicits = "|".join([_any(action), _any(call), lexicons.URL_HINT])
+    return F.coalesce(X.let(X.match_form(text), lambda m: m.rlike(_any(subject)) & m.rlike(solicits)), F.lit(False))
 
 
 def reason(text: Column, needs_english: Column, internal: Column | None = None) -> Column:
     """First failed rule; the language rule applies where needs_english holds."""
     inside = F.coalesce(internal, F.lit(False)) if internal is not None else F.lit(False)
-    return (
-        F.when(inside, "internal").when(~length_ok(text), "length").when(F.coalesce(needs_english, F.lit(False)) & ~looks_english(text), "language").when(~credential_screen(text), "screen").otherwise("kept")
-    )
+    english = F.coalesce(needs_english, F.lit(False))
+
+    def first_failed(t: Column) -> Column:
+        return F.when(inside, "internal").when(~length_ok(t), "length").when(english & ~looks_english(t), "language").when(~credential_screen(t), "screen").otherwise("kept")
+
+    return X.let(text, first_failed)
 
 
 def funnel(df: DataFrame, groups: list[str], reason_col: str = "reason", rollup: bool = False) -> DataFrame:

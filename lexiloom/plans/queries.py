@@ -208,7 +208,8 @@ def funnel_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def corpus_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cleaned, screened, de-duplicated and balanced corpus of emails, as (email_id, label, source, text)."""
     rows = spread(table(spark, sf_dir, "emails").where("label in (0, 1)").select("email_id", "label", "source", X.stored_form(F.col("text")).alias("text")))
-    rows = rows.withColumn("reason", screen.reason(F.col("text"), F.col("label") == 0)).where("reason = 'kept'").drop("reason")
+    judged = X.let(F.col("text"), lambda t: F.struct(t.alias("text"), screen.reason(t, F.col("label") == 0).alias("reason")))
+    rows = rows.select("email_id", "label", "source", judged.alias("j")).where("j.reason = 'kept'").select("email_id", "label", "source", "j.text")
     return ranking.downsampled(dedupe.class_dedupe(rows, "email_id"), "label", "email_id")
 
 
