@@ -73,7 +73,10 @@ def counted(df: DataFrame, text_col: str = "text") -> DataFrame:
         "upper": _count(t, r"\p{IsUppercase}"), "digit": _count(t, rf"[\p{{Nd}}{_OTHER_DIGITS}]"), "url": _count(t, lexicons.URL), "email": _count(t, lexicons.EMAIL),
         "urgent": F.size(F.filter("__c_words", lambda w: w.isin(lexicons.URGENCY_WORDS))).cast("long"),
     }
-    return out.withColumns({f"__c_{k}": v for k, v in counts.items()}).drop("__c_stats", "__c_sentences")
+    # one expression for all function words: a projection of 70 would be too large for compiled code
+    held = F.size("__c_lexical")
+    counts["lexicon"] = F.transform(F.array(*[F.lit(w) for w in lexicons.FUNCTION_WORDS]), lambda w: held - F.size(F.array_remove("__c_lexical", w)))
+    return out.withColumns({f"__c_{k}": v for k, v in counts.items()}).drop("__c_stats", "__c_sentences", "__c_lexical")
 
 
 def _deviation(n: Column, total: Column, squares: Column) -> Column:
@@ -96,8 +99,8 @@ def expressions() -> dict[str, Column]:
         "flesch_reading_ease": F.when(n > 0, 206.835 - 1.015 * asl - 84.6 * asw).otherwise(0.0),
         "flesch_kincaid_grade": F.when(n > 0, 0.39 * asl + 11.8 * asw - 15.59).otherwise(0.0), "avg_syllables_per_word": asw,
     } | by_chars | {"url_count": c("url").cast("double"), "email_addr_count": c("email").cast("double"), "urgency_word_ratio": _ratio(c("urgent"), n)}
-    for word in lexicons.FUNCTION_WORDS:
-        out[f"fw_{word}"] = _ratio(F.size(c("lexical")) - F.size(F.array_remove(c("lexical"), word)), n)
+    for i, word in enumerate(lexicons.FUNCTION_WORDS):
+        out[f"fw_{word}"] = _ratio(c("lexicon")[i], n)
     return {k: out[k] for k in FEATURE_NAMES}
 
 

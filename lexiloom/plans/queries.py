@@ -11,7 +11,7 @@ from lexiloom import lexicons
 from lexiloom.functions import style
 from lexiloom.functions import text as X
 from lexiloom.operators import audit, dedupe, metrics, ranking, screen, similarity
-from lexiloom.runtime import spread, table
+from lexiloom.runtime import cut, spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Query] = {}
@@ -208,9 +208,10 @@ def funnel_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def corpus_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cleaned, screened, de-duplicated and balanced corpus of emails, as (email_id, label, source, text)."""
     rows = spread(table(spark, sf_dir, "emails").where("label in (0, 1)").select("email_id", "label", "source", X.stored_form(F.col("text")).alias("text")))
-    judged = X.let(F.col("text"), lambda t: F.struct(t.alias("text"), screen.reason(t, F.col("label") == 0).alias("reason")))
-    rows = rows.select("email_id", "label", "source", judged.alias("j")).where("j.reason = 'kept'").select("email_id", "label", "source", "j.text")
-    return ranking.downsampled(dedupe.class_dedupe(rows, "email_id"), "label", "email_id")
+    judged = F.transform(F.array("text"), lambda t: F.struct(t.alias("text"), screen.reason(t, F.col("label") == 0).alias("reason")))
+    kept = F.explode(F.filter(judged, lambda j: j["reason"] == "kept"))  # a generator, so that text and reason are computed once and not again for a filter
+    rows = rows.select("email_id", "label", "source", kept.alias("j")).select("email_id", "label", "source", "j.text")
+    return ranking.downsampled(cut(dedupe.class_dedupe(rows, "email_id"), "unique"), "label", "email_id")
 
 
 @query
