@@ -24,6 +24,9 @@ forms AS (SELECT email_id,
 _FROM, _TO = lexicons.LOOKALIKE_FROM, lexicons.LOOKALIKE_TO
 _WORDS = f"regexp_extract_all(lower(translate(regexp_replace(text, '[{lexicons.INVISIBLE}]', '', 'g'), '{_FROM}', '{_TO}')), '[a-z0-9]+')"
 
+_SEP = "[\\s\\x{a0}.#:]{1,8}"
+_REFERENCE = f"(?:^|[^\\pL\\pN_])(?i:case|ticket|ref|reference|dossier|vorgang|expediente){_SEP}(?:(?i:no){_SEP})?([A-Za-z]{{2}}(?:-|[\\s\\x{{a0}}]{{0,3}})[0-9]{{6}})(?:[^\\pL\\pN]|$)"
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -39,6 +42,12 @@ shared AS (SELECT a.email_id AS x, b.email_id AS y, count(*) AS c FROM pieces a
   WHERE a.email_id IN (SELECT email_id FROM sided WHERE side = 'train') AND b.email_id IN (SELECT email_id FROM sided WHERE side IN ('val', 'test')) GROUP BY 1, 2),
 per AS (SELECT y, count(*) AS k FROM shared JOIN sizes p ON p.email_id = x JOIN sizes q ON q.email_id = y WHERE c / (p.n + q.n - c)::double >= 0.8 GROUP BY y)
 SELECT side AS split, e.source, count(*) AS n_rows, sum(k)::bigint AS n_pairs FROM per JOIN sided ON sided.email_id = y JOIN emails e ON e.email_id = y GROUP BY 1, 2""",
+        "p2_found": f"""WITH RECURSIVE folded AS (SELECT *, translate(regexp_replace(text, '[{lexicons.INVISIBLE}]', '', 'g'), '{_FROM}', '{_TO}') AS t FROM emails),
+named AS (SELECT email_id, list_filter(list_concat(['s:' || source, 'a:' || nullif(regexp_extract(lower(sender), '[^\\s<>"''(),;]+@[^\\s<>"''(),;]+'), '')],
+    list_transform(coalesce(regexp_extract_all(t, '{_REFERENCE}', 1), []), lambda x: 'r:' || regexp_replace(upper(x), '[^A-Z0-9]', '', 'g'))), lambda x: x IS NOT NULL) AS names FROM folded),
+ties AS (SELECT DISTINCT list_min(names) AS u, unnest(names) AS v FROM named), both_ways AS (SELECT u, v FROM ties UNION SELECT v, u FROM ties),
+reach(u, v) AS (SELECT u, u FROM both_ways UNION SELECT r.u, b.v FROM reach r JOIN both_ways b ON r.v = b.u)
+SELECT DISTINCT substr(u, 3) AS source_a, substr(v, 3) AS source_b FROM reach WHERE u LIKE 's:%' AND v LIKE 's:%' AND u < v""",
         "p4_found": f"""WITH {_ROOTS}, grouped AS (SELECT *, min(email_id) OVER (PARTITION BY body, fields) AS a FROM forms)
 SELECT a AS email_id_a, email_id AS email_id_b FROM grouped WHERE a <> email_id""",
         "p4_records": f"""WITH {_ROOTS} SELECT min(email_id) AS email_id, count(*) AS n_copies FROM forms GROUP BY body, fields""",
