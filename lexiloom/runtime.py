@@ -29,6 +29,9 @@ def shared_dir(spark: SparkSession) -> str:
     return own.rstrip("/")
 
 
+_MADE: list[str] = []
+
+
 def cut(df: DataFrame, name: str, keys: list[str] | None = None) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends there and no executor holds the only copy.
 
@@ -36,6 +39,7 @@ def cut(df: DataFrame, name: str, keys: list[str] | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
     (df.repartition(*keys) if keys else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -46,3 +50,11 @@ def discard(spark: SparkSession, df: DataFrame) -> None:
     for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(file)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all tables that cut() made in this process, once no result that reads them is needed any more."""
+    jvm = spark.sparkContext._jvm
+    while _MADE:
+        path = jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
