@@ -20,7 +20,6 @@ from lexiloom.llm import kernels
 from lexiloom.operators.graph import components
 from lexiloom.runtime import cut, spread
 
-SLOTS = 1 << 16  # cells of the document-frequency table, whatever the size of the corpus
 
 
 def split_name(split: Column) -> Column:
@@ -120,33 +119,8 @@ def cross_split_pairs(
 # -- b-bit minwise signatures ---------------------------------------------------------------------------------------
 
 
-def piece_frequencies(rows: DataFrame) -> np.ndarray:
-    """How often pieces of each of SLOTS cells occur, over all rows, and the number of texts; a table of fixed size."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SLOTS + 1, np.int64)
-        for batch in (part for whole in batches for part in kernels.slices(whole)):
-            codes, counts = kernels.pieces(*kernels.keys(batch.column("text")))
-            total[:SLOTS] += np.bincount(kernels.mixed(codes) >> np.uint32(16), minlength=SLOTS)
-            total[SLOTS] += int((counts > 0).sum())
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["slot", "n"])
-
-    counted = rows.select("text").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-    out = np.zeros(SLOTS + 1, np.int64)
-    for slot, n in counted.collect():  # at most SLOTS + 1 rows
-        out[slot] = n
-    return out
-
-
-def piece_scale(frequency: np.ndarray, common: float = 0.005, rare: int = 50, power: float = 2.0, most: float = 256.0) -> np.ndarray:
-    """1/weight of each cell: weight 1 up to `common` occurrences a text and `rare` in all, then falling to 1/most."""
-    upto = max(float(rare), common * frequency[SLOTS])
-    return np.clip((frequency[:SLOTS] / upto) ** power, 1.0, most).astype(np.float32)
-
-
-def _signatures(scale: np.ndarray, bands: int, width: int, wide: int, seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Band hashes, the 2-bit signature that travels with them (64 minima) and a longer one (wide minima)."""
+def _signatures(bands: int, width: int, wide: int, seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Band hashes, the 2-bit signature that travels with them (96 minima that no band uses) and a longer one (wide minima)."""
 
     def low_bits(m: np.ndarray) -> np.ndarray:
         two = ((m * np.uint32(2654435761)) >> np.uint32(30)).astype(np.uint8)
@@ -159,20 +133,19 @@ def _signatures(scale: np.ndarray, bands: int, width: int, wide: int, seed: int)
             kept = np.flatnonzero(np.diff(offs) > 0)
             codes, counts = kernels.pieces(digits, offs)
             digest = kernels.digests(digits, offs)[kept]
-            h = kernels.mixed(codes)
-            m = kernels.minima(h, counts, scale[(h >> np.uint32(16)).astype(np.int64)], max(bands * width, 64 + wide), seed)[kept]
+            m = kernels.minima(kernels.mixed(codes), counts, None, 96 + max(bands * width, wide), seed)[kept]
+            sig, m = low_bits(m[:, :96]).view(np.int64), m[:, 96:]
             key = np.zeros((len(kept), bands), np.uint32)
             for i in range(width):
                 key = (key ^ m[:, i * bands : (i + 1) * bands]) * np.uint32(0x9E3779B1)
                 key ^= key >> np.uint32(15)
             values = key.astype(np.int64) + (np.arange(bands, dtype=np.int64) << 32)
-            sig = low_bits(m[:, :64]).view(np.int64)
-            more = low_bits(m[:, 64 : 64 + wide]).view(np.int64)
+            more = low_bits(m[:, :wide]).view(np.int64)
             lists = lambda x: pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), x.ravel())
             out = batch.drop_columns(["text"]).take(pa.array(kept))
             root = kernels.roots(batch.column("text"))[0][kept]
-            names = [*out.schema.names, "r1", "r2", "k1", "k2", "s1", "s2", "more", "bands"]
-            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(root[:, 0]), pa.array(root[:, 1]), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(sig[:, 0].copy()), pa.array(sig[:, 1].copy()), lists(more), lists(values)], names)
+            names = [*out.schema.names, "r1", "r2", "k1", "k2", "s1", "s2", "s3", "more", "bands"]
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(root[:, 0]), pa.array(root[:, 1]), pa.array(digest[:, 0]), pa.array(digest[:, 1]), *(pa.array(sig[:, i].copy()) for i in range(3)), lists(more), lists(values)], names)
 
     return run
 
@@ -189,32 +162,32 @@ def _estimate(unequal: Column, n: int) -> Column:
 
 
 def near_classes(
-    rows: DataFrame, least: float = 0.5, bands: int = 40, width: int = 2, wide: int = 96, first: float = 0.14, second: float = 0.18, seed: int = 5
+    rows: DataFrame, least: float = 0.5, bands: int = 48, width: int = 3, wide: int = 160, slack: float = 0.24, slack_all: float = 0.15, seed: int = 5
 ) -> tuple[DataFrame, DataFrame]:
     """Classes of equal keys and the similar pairs among them, for rows (id, text, ...).
 
-    Returns members (row columns without text, record digest r1, r2, class) and pairs (a, b, similarity) of classes with a < b. Pieces that
-    many texts hold weigh less in the minima, by frequencies over all rows. Pairs sharing a band are candidates if the
-    estimate from 64 two-bit minima is at least `first` and that from all 64 + wide ones at least `second`, both far
-    below what pairs at `least` have; then the texts are compared exactly. width grows with the corpus.
+    Returns members (row columns without text, record digest r1, r2, class) and pairs (a, b, similarity) of classes with a < b. All pieces
+    weigh the same, so that minima agree as often as the true similarity says, whatever share of the corpus holds a piece:
+    a pair at 0.5 shares a band with a chance of 0.998. Pairs sharing a band are candidates if the estimate from 96
+    two-bit minima is at most `slack` below `least` and that from all 96 + wide ones at most `slack_all`, 3.5 and 3.6
+    standard deviations or more; then the texts are compared exactly. width and bands grow with the corpus.
     """
     rows = spread(rows.where("text is not null"))
-    scale = piece_scale(piece_frequencies(rows))
     kept = [f for f in rows.schema if f.name != "text"]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    signed = cut(rows.select(*[f.name for f in kept], "text").mapInArrow(_signatures(scale, bands, width, wide, seed), f"{fields}, r1 long, r2 long, k1 long, k2 long, s1 long, s2 long, more array<long>, bands array<long>"), "signed")
-    classes = cut(signed.groupBy("k1", "k2").agg(F.min("id").alias("class"), *[F.first(c).alias(c) for c in ("s1", "s2", "more", "bands")]), "classes")
-    posted = classes.select("class", "s1", "s2", F.explode("bands").alias("band"))
-    left = posted.select("band", F.col("class").alias("a"), F.col("s1").alias("a1"), F.col("s2").alias("a2"))
-    right = posted.select("band", F.col("class").alias("b"), F.col("s1").alias("b1"), F.col("s2").alias("b2"))
-    apart = _unequal(F.col("a1"), F.col("b1")) + _unequal(F.col("a2"), F.col("b2"))
-    near = left.join(right, "band").where((F.col("a") < F.col("b")) & (_estimate(apart, 64) >= first))
-    near = near.groupBy("a", "b").agg(F.min(apart).alias("apart"))
+    signed = cut(rows.select(*[f.name for f in kept], "text").mapInArrow(_signatures(bands, width, wide, seed), f"{fields}, r1 long, r2 long, k1 long, k2 long, s1 long, s2 long, s3 long, more array<long>, bands array<long>"), "signed")
+    classes = cut(signed.groupBy("k1", "k2").agg(F.min("id").alias("class"), *[F.first(c).alias(c) for c in ("s1", "s2", "s3", "more", "bands")]), "classes")
+    posted = classes.select("class", "s1", "s2", "s3", F.explode("bands").alias("band"))
+    left, right = (posted.select("band", F.col("class").alias(x), *[F.col(f"s{i}").alias(f"{x}{i}") for i in (1, 2, 3)]) for x in "ab")
+    apart = sum((_unequal(F.col(f"a{i}"), F.col(f"b{i}")) for i in (1, 2, 3)), F.lit(0))
+    near = left.join(right, "band").where((F.col("a") < F.col("b")) & (_estimate(apart, 96) >= least - slack))
+    # by a alone, so that the next join finds its rows in place
+    near = near.select("a", "b", apart.alias("apart")).repartition("a").dropDuplicates(["a", "b"])
     wider = classes.select("class", "more")
     near = near.join(wider.select(F.col("class").alias("a"), F.col("more").alias("ma")), "a").join(wider.select(F.col("class").alias("b"), F.col("more").alias("mb")), "b")
     for i in range(wide // 32):
         near = near.withColumn("apart", F.col("apart") + _unequal(F.col("ma")[i], F.col("mb")[i]))
-    near = cut(near.where(_estimate(F.col("apart"), 64 + wide) >= second).select("a", "b"), "near")
+    near = cut(near.where(_estimate(F.col("apart"), 96 + wide) >= least - slack_all).select("a", "b"), "near")
     pairs = _verified(near, rows.select("id", "text"), least)
     members = signed.select(*[f.name for f in kept], "r1", "r2", "k1", "k2").join(classes.select("k1", "k2", "class"), ["k1", "k2"]).drop("k1", "k2")
     return members, pairs.select("a", "b", "similarity")

@@ -145,3 +145,14 @@ def test_overlap_counts(spark, emails):
     _, df = emails
     per = near.overlap_counts(df, source_col="class").collect()
     assert sum(r["n_pairs"] for r in per) == near.cross_split_pairs(df).count() and {r["split"] for r in per} <= {"val", "test"}
+
+
+def test_edits_of_a_template_that_a_third_of_all_rows_share(spark):
+    rng = random.Random(8)
+    some = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    template = some(900)
+    texts = [template + some(50) for _ in range(300)] + [some(950) for _ in range(600)]
+    df = spark.createDataFrame(list(enumerate(texts)), "email_id long, text string")
+    assert similarity(texts[0], texts[1]) > 0.85
+    got = {(r["id_a"], r["id_b"]) for r in near.near_duplicate_pairs(df).collect()}
+    assert got == set(itertools.combinations(range(300), 2))
