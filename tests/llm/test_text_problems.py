@@ -214,3 +214,16 @@ def test_residue_spreads_to_near_duplicates(spark):
     df = spark.createDataFrame([(1, page), (2, other), (3, "an ordinary text about a garden with roses and tulips")], "doc_id long, text string")
     got = {r["id"]: r["label"] for r in residue.residue(df, least=0.6, radius=30, radius_all=0.35).collect()}
     assert got.get(1) == "error" and got.get(2) == "near" and 3 not in got
+
+
+def test_residue_at_the_threshold_of_similarity(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(400):
+        said = ["".join(rng.choice("bcdfgklmnprstu") for _ in range(6)) for _ in range(120)]
+        rows.append((2 * i, " ".join(said) + ".\n\nLorem ipsum dolor sit amet."))
+        for at in (rng.randrange(10, 50), rng.randrange(60, 110)):
+            said[at] = "edited"
+        rows.append((2 * i + 1, " ".join(said) + "."))  # 106 of 131 five-word shingles shared: 0.81
+    got = dict(residue.residue(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert all(got[2 * i] == "filler" for i in range(400)) and sum(got.get(2 * i + 1) == "near" for i in range(400)) >= 396
