@@ -227,3 +227,27 @@ def test_residue_at_the_threshold_of_similarity(spark):
         rows.append((2 * i + 1, " ".join(said) + "."))  # 106 of 131 five-word shingles shared: 0.81
     got = dict(residue.residue(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert all(got[2 * i] == "filler" for i in range(400)) and sum(got.get(2 * i + 1) == "near" for i in range(400)) >= 396
+
+
+LONG_BAD = [
+    "java.lang.IllegalStateException: no session\n" + "\n".join(f"\tat org.app.view.Page.step{i}(Page.java:{i})" for i in range(20)) + "\n\tat java.base/java.lang.Thread.run(Thread.java:829)\n\t... 12 more",
+    "Traceback (most recent call last):\n" + "\n".join(f'  File "/srv/app/page.py", line {i}, in step\n    step({i})' for i in range(10)) + "\nValueError: no session",
+    "You need to enable JavaScript to read this message. The settings of your browser decide whether scripts may run. Open them, look for the page on privacy and choose the first of the entries. Then reload this page. If that is of no use, contact the administrator of your network.",
+    "Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua. " * 6,
+    "Notes on the harvest of the year before last, gathered by the clerks of the second floor for the friends of the garden and sent to all who had asked for them during the long and rainy weeks of the autumn: " + "ut enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat " * 40,
+    "Coming soon. " * 60,
+]
+LONG_GOOD = [
+    "The page not found by our readers was the one on roses. We planted them in the spring of the year before last, and they have done well since. The beds by the wall get the sun until noon. Those by the gate are in the shade of the old oak. Nobody has watered them since Sunday.",
+    "Coming soon to the hall is a play by the pupils of the village. It tells of a miller and of a miller's daughter, who leave the valley for the coast, and of what they find there. Seats are free, doors open at seven, and there is tea and cake for all who help to carry the chairs back afterwards. The last bus leaves at eleven, from the gate, and the first one on the next morning is at six. Please bring a cushion, since the benches are hard.",
+]
+
+
+@pytest.mark.parametrize("text", LONG_BAD)
+def test_long_residue(text):
+    assert residue.judge(text)[0] in ("error", "script", "filler")
+
+
+@pytest.mark.parametrize("text", LONG_GOOD)
+def test_long_good_text(text):
+    assert residue.judge(text)[0] is None
