@@ -38,6 +38,7 @@ def _fingerprints(blocks: int, bits: int, seed: int) -> Callable[[Iterator[pa.Re
             kept = np.flatnonzero(np.diff(offs) > 0)
             codes, counts = kernels.pieces(digits, offs)
             digest = kernels.digests(digits, offs)[kept]
+            codes, counts = kernels.distinct(codes, counts)  # as the similarity counts them: a repeated passage turns nothing
             packed = kernels.simhash(kernels.mixed(codes), counts, blocks * bits, seed)[kept]
             planes = np.unpackbits(packed, axis=1).reshape(len(kept), blocks, bits)
             values = (planes @ (1 << np.arange(bits, dtype=np.int32))).astype(np.int32)

@@ -156,3 +156,14 @@ def test_edits_of_a_template_that_a_third_of_all_rows_share(spark):
     assert similarity(texts[0], texts[1]) > 0.85
     got = {(r["id_a"], r["id_b"]) for r in near.near_duplicate_pairs(df).collect()}
     assert got == set(itertools.combinations(range(300), 2))
+
+
+def test_repeated_passages_turn_no_fingerprint(spark):
+    rng = random.Random(21)
+    rows = []
+    for i in range(60):
+        text = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(404))
+        rows += [(2 * i, text, "test"), (2 * i + 1, text + text[300:] * 5, "train")]
+    assert similarity(rows[0][1], rows[1][1]) > 0.97
+    got = {(r["train_id"], r["eval_id"]) for r in near.cross_split_pairs(spark.createDataFrame(rows, "email_id long, text string, split string")).collect()}
+    assert got == {(2 * i + 1, 2 * i) for i in range(60)}

@@ -251,3 +251,13 @@ def test_long_residue(text):
 @pytest.mark.parametrize("text", LONG_GOOD)
 def test_long_good_text(text):
     assert residue.judge(text)[0] is None
+
+
+def test_residue_with_repeated_passages(spark):
+    rng = random.Random(22)
+    rows = []
+    for i in range(40):
+        said = ["".join(rng.choice("bcdfgklmnprstu") for _ in range(6)) for _ in range(100)]
+        rows += [(2 * i, " ".join(said) + ".\n\nLorem ipsum dolor sit amet."), (2 * i + 1, " ".join(said + said[75:] * 5) + ".")]
+    got = dict(residue.residue(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert all(got.get(2 * i + 1) == "near" for i in range(40))
