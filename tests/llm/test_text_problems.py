@@ -261,3 +261,12 @@ def test_residue_with_repeated_passages(spark):
         rows += [(2 * i, " ".join(said) + ".\n\nLorem ipsum dolor sit amet."), (2 * i + 1, " ".join(said + said[75:] * 5) + ".")]
     got = dict(residue.residue(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert all(got.get(2 * i + 1) == "near" for i in range(40))
+
+
+def test_given_names_of_single_senders_and_long_lists(spark):
+    name = lambda i: "Qu" + "".join("abdeiklmno"[int(d)] for d in f"{i:04d}") + "x"
+    df = spark.createDataFrame([(i, f"{name(i)} Bistimont <a{i}@b.example>", f"We met {name(i)} Bistimont at noon.") for i in range(6000)], "email_id long, sender string, text string")
+    given = personal.given_names(df)
+    assert len(given) == 6000
+    got = {r["email_id"]: r["value"] for r in personal.items(df.where("email_id % 100 = 0"), given=given).collect()}
+    assert got == {i: f"{name(i)} Bistimont" for i in range(0, 6000, 100)}
