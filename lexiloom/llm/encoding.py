@@ -74,16 +74,39 @@ def _obfuscated(text: str, a: int, b: int, page: str) -> bool:
     return page == "cp1251" and b - a == 2 and text[a] == "Р" and text[b - 1] in "іѕ" and not (a and _LETTER.match(text[a - 1]))
 
 
+def _rare(c: str) -> bool:
+    """Assigned characters that only their context tells from chance sequences."""
+    return not _PLAUSIBLE.match(c) and unicodedata.category(c) not in ("Cn", "Co", "Cs")
+
+
+def _meant(c: str, text: str, a: int, b: int, several: bool) -> bool:
+    """Whether text[a:b] stands for the rare character c: not for a letter that quotes or other signs follow by chance."""
+    if several:
+        return True
+    before, after = text[a - 1 : a] if a else "", text[b : b + 1]
+    if b - a == 2:
+        return bool(_LATIN.match(c)) and (before.islower() or after.islower())
+    return not all(x in _SIGNS for x in text[a + 1 : b]) or "\u2000" <= c < "\u2c00" and not before.isalpha()
+
+
 def _decoded(text: str, page: str) -> str:
-    """The text with all well-formed spans of one code page decoded."""
+    """The text with all well-formed sequences of one code page decoded, each judged by itself."""
     table, parts, last = _BYTE[page], [], 0
     for m in _RUN[page].finditer(text):
         data = bytes(table[c] for c in m.group())
         for a, b in _spans(data):
             made = data[a:b].decode("utf-8")
-            if _PLAUSIBLE.fullmatch(made) and not _obfuscated(text, m.start() + a, m.start() + b, page):
-                parts += [text[last : m.start() + a], made]
-                last = m.start() + b
+            rare = [_rare(c) for c in made]
+            several = sum(rare) > 1
+            if _obfuscated(text, m.start() + a, m.start() + b, page):
+                continue
+            start = m.start() + a
+            for c, odd in zip(made, rare):
+                end = start + len(c.encode("utf-8"))
+                if _PLAUSIBLE.match(c) or odd and _meant(c, text, start, end, several):
+                    parts += [text[last:start], c]
+                    last = end
+                start = end
     return "".join(parts) + text[last:] if parts else text
 
 
@@ -178,7 +201,14 @@ def repair(text: str | None) -> tuple[str | None, bool]:
         if made == now:
             break
         now = made
-    now = _single(now)
+    # rare characters that decoding gave are right as they are; a single-byte page must not explain them away
+    kept = {c for c in set(now) - set(text) if c > "\x7f" and _rare(c)}
+    made = [c for c in now if c in kept]
+    if made and "\0" not in now:
+        back = iter(made)
+        now = re.sub("\0", lambda m: next(back), _single("".join("\0" if c in kept else c for c in now)))
+    elif not made:
+        now = _single(now)
     return now, now != text or "\ufffd" in text or any("\x80" <= c <= "\x9f" for c in text)
 
 

@@ -270,3 +270,16 @@ def test_given_names_of_single_senders_and_long_lists(spark):
     assert len(given) == 6000
     got = {r["email_id"]: r["value"] for r in personal.items(df.where("email_id % 100 = 0"), given=given).collect()}
     assert got == {i: f"{name(i)} Bistimont" for i in range(0, 6000, 100)}
+
+
+@pytest.mark.parametrize("text", ["a ≥ b", "■ first\n■ second", "– ■ item, café", "și țara, Elçin Məmmədov", "x − y = ∞", "meeting with 田中 at noon", "שלום to all", "مرحبا to all"])
+def test_signs_and_scripts_come_back(text):
+    for page in ("cp1252", "latin-1"):
+        table = {b: c for c, b in encoding._BYTE[page].items()}
+        wrong = "".join(chr(b) if b < 128 else table[b] for b in text.encode("utf-8"))
+        assert encoding.repair(wrong) == (text, True)
+
+
+@pytest.mark.parametrize("text", ["“LE CAFÉ” opens", "hon gick på…” och sa", "CAFÈ™ is a brand"])
+def test_letters_before_signs_stay(text):
+    assert encoding.repair(text) == (text, False)
