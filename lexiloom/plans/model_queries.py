@@ -92,7 +92,7 @@ def impurity_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def permutation_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _matrix(spark, sf_dir)
-    return models.permutation_importance(_fit("logreg", df.where("split = 'train'"), NAMES), df.where("split = 'test'"), NAMES, "email_id", repeats=3)
+    return models.permutation_importance(_fit("logreg", df.where("split = 'train'"), NAMES), df.where("split = 'test'"), NAMES, "email_id", repeats=10)
 
 
 @query
@@ -102,7 +102,7 @@ def importance_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     df = _matrix(spark, sf_dir)
     model = _fit("forest", df.where("split = 'train'"), NAMES)
-    drops = models.permutation_importance(model, df.where("split = 'test'"), NAMES, "email_id", repeats=2)
+    drops = models.permutation_importance(model, df.where("split = 'test'"), NAMES, "email_id", repeats=10)
     top = drops.select("feature", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("mean_drop"), "feature")).alias("rank"))  # one row a feature
     return metrics.spearman(models.impurity_importance(model, NAMES), top, "feature")
 

@@ -95,3 +95,21 @@ def test_models_on_synthetic_texts(spark):
     assert len(drops) == len(names) and max(r["mean_drop"] for r in drops) <= 1
     tree, best = models.grid_search(models.forest(names, numTrees=5), ranking.folds(train, "label", "id", 3), {"maxDepth": [2, 3]})
     assert best["maxDepth"] in (2, 3) and models.impurity_importance(tree, names, 5).count() == 5 and models.impurity_importance(model, names).count() == 0
+
+
+def test_permutation_queries_repeat_ten_times(monkeypatch):
+    from unittest import mock
+
+    from lexiloom.plans import model_queries
+
+    seen = []
+    monkeypatch.setattr(model_queries, "F", mock.MagicMock())
+    for name in ("_matrix", "_fit"):
+        monkeypatch.setattr(model_queries, name, mock.MagicMock())
+    for name in ("metrics", "models"):
+        monkeypatch.setattr(model_queries, name, mock.MagicMock())
+    model_queries.models.permutation_importance = lambda *a, repeats=10, **k: seen.append(repeats) or mock.MagicMock()
+    with mock.patch("pyspark.sql.Window", mock.MagicMock()):
+        model_queries.permutation_importance(None, "")
+        model_queries.importance_agreement(None, "")
+    assert seen == [10, 10]
