@@ -86,11 +86,13 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return residue.residue(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id")).distinct()
+    return residue.residue(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"))
 
 
 def p9_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return residue.residue(table(spark, sf_dir, "documents")).groupBy("label").agg(F.count("*").alias("n_documents"))
+    """Documents by label and by how they were found: by trusted rules, or only by likeness to trusted residue."""
+    found = residue.residue(table(spark, sf_dir, "documents"))
+    return found.groupBy("label", F.when(F.col("trusted"), "trusted").otherwise("near").alias("found_by")).agg(F.count("*").alias("n_documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

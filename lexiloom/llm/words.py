@@ -15,10 +15,14 @@ _PART[ord("a") : ord("z") + 1] = _PART[ord("0") : ord("9") + 1] = True
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
+def folded(text: Column) -> Column:
+    """Invisible characters dropped, look-alike letters folded; the rare texts that need it pay for it."""
+    made = F.translate(F.regexp_replace(text, f"[{lexicons.INVISIBLE}]", ""), lexicons.LOOKALIKE_FROM, lexicons.LOOKALIKE_TO)
+    return F.when(text.rlike(lexicons.FOLD_HINT), made).otherwise(text)
+
+
 def match_form(text: Column) -> Column:
-    """Invisible characters dropped, look-alike letters folded, lower case; the rare texts that need folding pay for it."""
-    folded = F.translate(F.regexp_replace(text, f"[{lexicons.INVISIBLE}]", ""), lexicons.LOOKALIKE_FROM, lexicons.LOOKALIKE_TO)
-    return F.lower(F.when(text.rlike(lexicons.FOLD_HINT), folded).otherwise(text))
+    return F.lower(folded(text))
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -27,10 +31,10 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def hashed_words(column: pa.Array, alike_numbers: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def hashed_words(column: pa.Array, alike_numbers: bool = False, cues: list[str] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words in order, and how many each text has. Texts must be in match form.
 
-    alike_numbers: all words with a digit are one word.
+    alike_numbers: all words with a digit are one word. cues: words alone in brackets and words after a cue are that word too.
     """
     raw, offs = text_bytes(column)
     part = _PART[raw]
@@ -51,7 +55,15 @@ def hashed_words(column: pa.Array, alike_numbers: bool = False) -> tuple[np.ndar
     h = _mix(np.add.reduceat(value, starts))
     if alike_numbers:
         h[np.logical_or.reduceat(raw[where] <= 57, starts)] = 0
-    return h, np.searchsorted(at, offs[1:]) - np.searchsorted(at, offs[:-1])
+    counts = np.searchsorted(at, offs[1:]) - np.searchsorted(at, offs[:-1])
+    if cues:
+        begins = np.zeros(len(h) + 1, bool)
+        begins[np.cumsum(counts) - counts] = True
+        follows = np.append(False, np.isin(h[:-1], hashed_words(pa.array([" ".join(cues)]))[0])) & ~begins[:-1]
+        ends = np.append(where[starts[1:] - 1], where[-1]) + 1
+        bracket = np.isin(raw[np.maximum(at - 1, 0)], (40, 91)) & (at > 0) & np.isin(np.append(raw, 0)[ends], (41, 93))
+        h[follows | bracket] = 0
+    return h, counts
 
 
 def shingles(h: np.ndarray, counts: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -199,21 +199,43 @@ GOOD = [
 ]
 
 
-def test_residue_rules_and_propagation(spark):
-    notice = "The archive copy of this message is gone for good and nothing can be shown in its place at this time, please close the window and go back to the list of folders, case {n}"
-    texts = BAD + GOOD + HOSTILE + ["An error has occurred. " + notice.format(n=1), notice.format(n=2) + " An error has occurred"]
+def _found(spark, texts):
     df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, label string")
-    got = {r["id"]: r["label"] for r in residue.residue(df).collect()}
-    assert set(range(len(BAD))) <= set(got) and not set(range(len(BAD), len(texts) - 2)) & set(got), [texts[i] for i in got]
-    assert residue.residue(df.limit(0)).count() == 0
+    return {r["id"]: (r["label"], r["trusted"]) for r in residue.residue(df).collect()}
+
+
+def test_residue_rules(spark):
+    texts = ["x" * 100_000, *BAD[1:], *GOOD, *(t for t in HOSTILE if t is None or t[:1] != "x"), BAD[0]]
+    got = _found(spark, texts)
+    assert set(got) == set(range(len(BAD))) and all(trusted for _, trusted in got.values()), [texts[i] for i in set(got) ^ set(range(len(BAD)))]
+    empty = spark.createDataFrame([], "doc_id long, text string, label string")
+    assert residue.residue(empty).count() == 0
 
 
 def test_residue_spreads_to_near_duplicates(spark):
-    page = "An error has occurred. the window cannot show the page you wanted because the list behind it was moved by a clerk of the second floor"
-    other = page.replace("An error has occurred. ", "Oh dear me. ")
-    df = spark.createDataFrame([(1, page), (2, other), (3, "an ordinary text about a garden with roses and tulips")], "doc_id long, text string")
-    got = {r["id"]: r["label"] for r in residue.residue(df, least=0.6, radius=30, radius_all=0.35).collect()}
-    assert got.get(1) == "error" and got.get(2) == "near" and 3 not in got
+    """A notice under a title, filler between good paragraphs and other wordings count once the corpus knows them as residue."""
+    notice = "You need to enable JavaScript to run this app"
+    long = "The server met an unexpected condition while it was building the list of folders for your account and has stopped its work, ref {}. Please go back and try again {}."
+    texts = [
+        notice + ".", "Report on roses\n\n" + notice + ".", "Report on roses\n\nYou need to enable JavaScript to run our app.",
+        "Roses\n\nTBD TBD TBD to be written later by us", "The garden has roses.\n\nTBD TBD TBD to be written later by us\n\nThe pond has frogs.",
+        "Internal server error. " + long.format("a1", "later"), "Folders of the clerks\n\n" + long.format("b7", "later"), "Folders of the clerks\n\n" + long.format("c2", "tomorrow"),
+        "The garden has roses.\n\n" + notice + ".\n\nThe pond has frogs.", "> " + notice + ".", "The garden has roses and tulips and a pond.",
+    ]
+    got = _found(spark, texts)
+    assert got == {0: ("script", True), 1: ("script", False), 3: ("filler", True), 4: ("filler", False), 5: ("error", True), 6: ("error", False), 7: ("error", False)}
+    alone = _found(spark, texts[1:3] + texts[4:5] + texts[6:])
+    assert alone == {}  # nothing trusted to start from
+
+
+def test_residue_chains_and_copies_of_one_notice(spark):
+    said = [f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(80)]
+    chain = ["Access denied. " + " ".join(said) + " try again"]
+    for step in range(1, 6):
+        said = [*said[:-2], f"end{'abcdef'[step]}x", f"end{'abcdef'[step]}y"][2:] + ["closing", "words"]
+        chain.append("A title\n\n" + " ".join(said))
+    got = _found(spark, ["Not found"] * 300 + chain)
+    assert all(got[i] == ("error", True) for i in range(300)) and got[300][0] == "error" and got[301] == ("error", False)
 
 
 def test_residue_at_the_threshold_of_similarity(spark):
@@ -221,12 +243,12 @@ def test_residue_at_the_threshold_of_similarity(spark):
     rows = []
     for i in range(400):
         said = ["".join(rng.choice("bcdfgklmnprstu") for _ in range(6)) for _ in range(120)]
-        rows.append((2 * i, " ".join(said) + ".\n\nLorem ipsum dolor sit amet."))
+        rows.append((2 * i, "Placeholder " + " ".join(said)))
         for at in (rng.randrange(10, 50), rng.randrange(60, 110)):
             said[at] = "edited"
-        rows.append((2 * i + 1, " ".join(said) + "."))  # 106 of 131 five-word shingles shared: 0.81
-    got = dict(residue.residue(spark.createDataFrame(rows, "doc_id long, text string")).collect())
-    assert all(got[2 * i] == "filler" for i in range(400)) and sum(got.get(2 * i + 1) == "near" for i in range(400)) >= 396
+        rows.append((2 * i + 1, "The garden has roses.\n\nPlaceholder " + " ".join(said)))  # 107 of 127 five-word shingles shared
+    got = {r["id"]: r["trusted"] for r in residue.residue(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[2 * i] for i in range(400)) and sum(got.get(2 * i + 1) is False for i in range(400)) >= 396
 
 
 LONG_BAD = [
@@ -245,12 +267,12 @@ LONG_GOOD = [
 
 @pytest.mark.parametrize("text", LONG_BAD)
 def test_long_residue(text):
-    assert residue.judge(text)[0] in ("error", "script", "filler")
+    assert residue._kind(text) in ("error", "script", "filler") or residue._latin(text)
 
 
 @pytest.mark.parametrize("text", LONG_GOOD)
 def test_long_good_text(text):
-    assert residue.judge(text)[0] is None
+    assert residue._kind(text) is None and not residue._latin(text)
 
 
 def test_residue_with_repeated_passages(spark):
@@ -258,9 +280,9 @@ def test_residue_with_repeated_passages(spark):
     rows = []
     for i in range(40):
         said = ["".join(rng.choice("bcdfgklmnprstu") for _ in range(6)) for _ in range(100)]
-        rows += [(2 * i, " ".join(said) + ".\n\nLorem ipsum dolor sit amet."), (2 * i + 1, " ".join(said + said[75:] * 5) + ".")]
-    got = dict(residue.residue(spark.createDataFrame(rows, "doc_id long, text string")).collect())
-    assert all(got.get(2 * i + 1) == "near" for i in range(40))
+        rows += [(2 * i, "Placeholder " + " ".join(said)), (2 * i + 1, "The garden has roses.\n\nPlaceholder " + " ".join(said + said[75:] * 5))]
+    got = {r["id"]: r["trusted"] for r in residue.residue(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got.get(2 * i + 1) is False for i in range(40))
 
 
 def test_given_names_of_single_senders_and_long_lists(spark):
