@@ -88,14 +88,15 @@ def jaccard(left: pa.Array, right: pa.Array) -> np.ndarray:
     """Exact similarity of each pair of texts: shared divided by all distinct pieces of their keys; 0 if a key is empty."""
     sides = []
     for column in (left, right):
-        codes, counts = pieces(*keys(column))
-        sides.append((codes, np.concatenate([[0], np.cumsum(counts)]).tolist()))
-    (a, ao), (b, bo) = sides
+        coded = pc.dictionary_encode(column)  # each text of a side is cut up once
+        codes, counts = pieces(*keys(coded.dictionary))
+        at = np.concatenate([[0], np.cumsum(counts)]).tolist()
+        sides.append(([np.unique(codes[a:b]) for a, b in zip(at, at[1:])], pc.fill_null(coded.indices, -1).to_pylist()))
+    (own_a, at_a), (own_b, at_b) = sides
     out = np.zeros(len(left))
-    for i in range(len(left)):
-        x, y = np.unique(a[ao[i] : ao[i + 1]]), np.unique(b[bo[i] : bo[i + 1]])
-        if len(x) and len(y):
-            both = np.concatenate([x, y])
+    for i, (a, b) in enumerate(zip(at_a, at_b)):
+        if a >= 0 and b >= 0 and len(own_a[a]) and len(own_b[b]):
+            both = np.concatenate([own_a[a], own_b[b]])
             both.sort()
             shared = int((both[1:] == both[:-1]).sum())
             out[i] = shared / (len(both) - shared)
