@@ -22,7 +22,12 @@ def marked(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
     return (bits[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 > 0
 
 
-def bit_map(df: DataFrame, column: str, size: int, tasks: int = 8) -> np.ndarray:
+def map_size(n: int) -> int:
+    """Logarithm of the size of a map for n values: 16 cells or more for each up to 2**28 cells (32 MB), 2**20 at least."""
+    return min(28, max(20, int(n).bit_length() + 4))
+
+
+def bit_map(df: DataFrame, column: str, size: int, tasks: int = 4) -> np.ndarray:
     """The map of 2**size bits of a long column. Tasks fill maps of their own, so that `tasks` * 2**size bits reach the driver."""
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,7 +22,6 @@ _LABEL = np.zeros(256, bool)
 _LABEL[ord("a") : ord("z") + 1] = _LABEL[ord("A") : ord("Z") + 1] = True
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 11, 12, 13, 28, 29, 30, 31, 32]] = True
-_M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
 
 def _blanks(raw: np.ndarray) -> np.ndarray:
@@ -44,29 +43,6 @@ def _next(mask: np.ndarray) -> np.ndarray:
     return np.minimum.accumulate(at[::-1])[::-1]
 
 
-def _powers(n: int, base: np.uint64) -> np.ndarray:
-    out = np.full(max(1, n), base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-def _sums(value: np.ndarray, counts: np.ndarray, base: np.uint64) -> np.ndarray:
-    """Polynomial hash of each run of values."""
-    out = np.zeros(len(counts), np.uint64)
-    full = np.flatnonzero(counts)
-    if len(full):
-        ends = np.cumsum(counts)
-        pos = np.arange(len(value)) - np.repeat(ends - counts, counts)
-        out[full] = np.add.reduceat((value.astype(np.uint64) + np.uint64(1)) * _powers(int(counts.max()), base)[pos], (ends - counts)[full])
-    return out
-
-
-def _stir(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * _M2
-    h = (h ^ (h >> np.uint64(29))) * _M3
-    return h ^ (h >> np.uint64(32))
-
-
 def field_lines(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts of all lines of all texts, and which of them are field lines."""
     starts = np.unique(np.concatenate([offs[:-1], np.flatnonzero(raw == 10) + 1]))
@@ -84,44 +60,42 @@ def field_lines(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, good & (value < ends) & (inside[value] != 10) & (inside[value] != 47)
 
 
-def roots(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """128-bit root digests of all texts as trees of body and unordered field lines, and which texts have content."""
+def _cut(digits: np.ndarray, counts: np.ndarray) -> list[bytes]:
+    whole, at = digits.tobytes(), np.concatenate([[0], np.cumsum(counts)]).tolist()
+    return [whole[a:b] for a, b in zip(at, at[1:])]
+
+
+def trees(column: pa.Array) -> tuple[list[bytes], list[list[bytes]]]:
+    """All texts as trees: the key of the body, and the keys of the field lines in ascending order."""
     raw, offs = folded_bytes(column)
     starts, fields = field_lines(raw, offs)
     n = len(offs) - 1
     digits = DIGIT[raw]
     text_of_line = np.searchsorted(offs, starts, "right") - 1
-    length = np.diff(np.append(starts, len(raw)))
-    in_field = np.repeat(fields, length)
+    in_field = np.repeat(fields, np.diff(np.append(starts, len(raw))))
     kept = digits != DROP
     at = kept & ~in_field
-    body = digits[at]
+    before = np.concatenate([[0], np.cumsum(at, dtype=np.int64)])
+    bodies = _cut(digits[at], before[offs[1:]] - before[offs[:-1]])
     inside = np.flatnonzero(kept & in_field)
-    own, own_line = digits[inside], np.searchsorted(starts, inside, "right") - 1
-    before = np.concatenate([[0], np.cumsum(at, dtype=np.int32)])
-    counts = (before[offs[1:]] - before[offs[:-1]]).astype(np.int64)
-    per_line = np.bincount(own_line, minlength=len(starts))
+    per_line = np.bincount(np.searchsorted(starts, inside, "right") - 1, minlength=len(starts))
     which = np.flatnonzero(per_line)
-    owner = text_of_line[which]
-    out = []
-    for base in (_M1, _M3):
-        leaf = _stir(_sums(own, per_line, base)[which])
-        order = np.lexsort((leaf, owner))  # children of the unordered node in the order of their digests
-        per_text = np.bincount(owner, minlength=n)
-        node = _stir(_sums(leaf[order], per_text, base) + per_text.astype(np.uint64))
-        out.append(_stir(_stir(_sums(body, counts, base) + counts.astype(np.uint64)) * base + node))
-    return np.stack(out, 1).view(np.int64), (counts > 0) | (np.bincount(owner, minlength=n) > 0)
-
-
-def tree(text: str) -> tuple[bytes, list[bytes]]:
-    """The same tree in full: the body's key and the sorted keys of the field lines."""
-    column = pa.array([text])
-    raw, offs = folded_bytes(column)
-    starts, fields = field_lines(raw, offs)
-    ends = np.append(starts[1:], len(raw))
-    key = lambda a, b: DIGIT[raw[a:b]][DIGIT[raw[a:b]] != DROP].tobytes()
-    body = b"".join(key(a, b) for a, b, f in zip(starts, ends, fields) if not f)
-    return body, sorted(key(a, b) for a, b, f in zip(starts, ends, fields) if f)
+    leaves = _cut(digits[inside], per_line[which])
+    owner = np.searchsorted(text_of_line[which], np.arange(n + 1)).tolist()
+    return bodies, [sorted(leaves[a:b]) if b > a else [] for a, b in zip(owner, owner[1:])]
+
+
+def roots(column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """128-bit root digests of the trees of all texts, which texts have content, and the trees in full as bytes.
+
+    The root is the digest of the body's digest and the sorted digests of the field lines; 36 and above are no digits, so
+    the full form tells body and lines apart.
+    """
+    bodies, leaves = trees(column)
+    digest = lambda x: hashlib.blake2b(x, digest_size=16).digest()
+    made = b"".join(digest(digest(body) + b"".join(sorted(map(digest, own)))) for body, own in zip(bodies, leaves))
+    full = np.array([bool(body or own) for body, own in zip(bodies, leaves)], bool)
+    return np.frombuffer(made, np.int64).reshape(-1, 2), full, [bytes([255]).join([body, *own]) for body, own in zip(bodies, leaves)]
 
 
 def mixed(codes: np.ndarray) -> np.ndarray:

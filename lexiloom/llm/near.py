@@ -9,6 +9,7 @@ do not arise, since all pairs at or above the threshold are kept. Extra columns
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,7 +22,6 @@ from lexiloom.operators.graph import components
 from lexiloom.runtime import cut, spread
 
 
-
 def split_name(split: Column) -> Column:
     """train, val, test or another name in lower case without spaces around; null stays null."""
     s = F.lower(F.trim(split))
@@ -31,7 +31,18 @@ def split_name(split: Column) -> Column:
 # -- similarity-hash fingerprints across splits ---------------------------------------------------------------------
 
 
-def _fingerprints(blocks: int, bits: int, seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def block_shape(n: int) -> tuple[int, int]:
+    """Bits of a block and number of blocks for n texts.
+
+    Blocks of different texts meet by chance n * n / 2**bits times, so bits grow a little faster than log2(n). A pair at a
+    similarity of 0.8 agrees in a bit with a chance of 0.849; blocks are as many as keep the expected number of shared
+    ones at 3.5.
+    """
+    bits = max(8, round(1.15 * math.log2(max(n, 2)) - 4))
+    return bits, math.ceil(48 * 0.849 ** (16 - bits))
+
+
+def _fingerprints(longs: int, seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in kernels.slices(whole)):
             digits, offs = kernels.keys(batch.column("text"))
@@ -39,28 +50,29 @@ def _fingerprints(blocks: int, bits: int, seed: int) -> Callable[[Iterator[pa.Re
             codes, counts = kernels.pieces(digits, offs)
             digest = kernels.digests(digits, offs)[kept]
             codes, counts = kernels.distinct(codes, counts)  # as the similarity counts them: a repeated passage turns nothing
-            packed = kernels.simhash(kernels.mixed(codes), counts, blocks * bits, seed)[kept]
-            planes = np.unpackbits(packed, axis=1).reshape(len(kept), blocks, bits)
-            values = (planes @ (1 << np.arange(bits, dtype=np.int32))).astype(np.int32)
-            values += np.arange(blocks, dtype=np.int32) << bits
-            blocks_column = pa.ListArray.from_arrays(np.arange(0, blocks * len(kept) + 1, blocks, dtype=np.int32), values.ravel())
-            # one bit of every tenth plane makes the code that travels with each block
-            check = np.ascontiguousarray(packed[:, :8]).view(np.int64).ravel()
-            rest = pa.array([x.tobytes() for x in packed], pa.binary())
+            packed = kernels.simhash(kernels.mixed(codes), counts, longs * 64, seed)[kept].view(np.int64)
+            prints = pa.ListArray.from_arrays(np.arange(0, packed.size + 1, longs, dtype=np.int32), packed.ravel())
             out = batch.drop_columns(["text"]).take(pa.array(kept))
-            names = [*out.schema.names, "k1", "k2", "code", "print", "blocks"]
-            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(check), rest, blocks_column], names)
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(digest[:, 0]), pa.array(digest[:, 1]), prints], [*out.schema.names, "k1", "k2", "print"])
 
     return run
 
 
-def hamming(x: Column, y: Column, bits: int) -> Column:
-    """Number of bits in which two fingerprints (binary) differ."""
-    part = lambda c, i: F.conv(F.hex(F.substring(c, i, 4)), 16, 10).cast("long")
-    out = F.lit(0)
-    for i in range(1, bits // 8 + 1, 4):
-        out = out + F.bit_count(part(x, i).bitwiseXOR(part(y, i)))
-    return out
+def blocks_of(prints: Column, bits: int, blocks: int) -> Column:
+    """The blocks of a fingerprint (array of longs), each with its number above its bits."""
+    made = []
+    for i in range(blocks):
+        j, at = divmod(i * bits, 64)
+        own = F.shiftrightunsigned(prints[j], at)
+        if at + bits > 64:
+            own = own.bitwiseOR(F.shiftleft(prints[j + 1], 64 - at))
+        made.append(own.bitwiseAND(F.lit((1 << bits) - 1)) + F.lit(i << bits))
+    return F.array(*made)
+
+
+def hamming(x: Column, y: Column, longs: int) -> Column:
+    """Number of bits in which two fingerprints (arrays of longs) differ."""
+    return sum((F.bit_count(x[i].bitwiseXOR(y[i])) for i in range(longs)), F.lit(0))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -79,44 +91,56 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return full.mapInArrow(run, f"{fields}, similarity double")
 
 
-def cross_split_pairs(
-    df: DataFrame, id_col: str = "email_id", text_col: str = "text", split_col: str = "split", least: float = 0.8, blocks: int = 48, bits: int = 16, radius: int = 21, radius_all: float = 0.215, seed: int = 11
-) -> DataFrame:
-    """All pairs (train_id, eval_id, eval_split, similarity) of a train row and a val or test row at or above `least`.
-
-    A SimHash of blocks*bits bits is cut into blocks. Classes of the two sides that share a block, differ in at most
-    `radius` of the 64 bits travelling with it and in a share `radius_all` of all bits are candidates; their texts are
-    compared exactly. bits grows with log2 of the number of texts that are expected (16 suits some millions).
-    """
+def _cross(df: DataFrame, columns: list[str], id_col: str, text_col: str, split_col: str, least: float, radius: int, radius_all: float, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Linked classes (a, b, similarity), a with train rows and b with val or test rows, and members (id, side, columns, class)."""
+    bits, blocks = block_shape(df.count())
+    longs = -(-blocks * bits // 64)
     side = split_name(F.col(split_col))
-    rows = spread(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), side.alias("side")).where("side in ('train', 'val', 'test') and text is not null"))
-    schema = "id long, side string, k1 long, k2 long, code long, print binary, blocks array<int>"
-    prints = rows.mapInArrow(_fingerprints(blocks, bits, seed), schema)
+    rows = spread(df.select(F.col(id_col).cast("long").alias("id"), *columns, F.col(text_col).alias("text"), side.alias("side")).where("side in ('train', 'val', 'test') and text is not null"))
+    own = [f for f in rows.schema if f.name != "text"]
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own)
     train, held = F.col("side") == "train", F.col("side") != "train"
-    # print and blocks are functions of the key, so any value of a class is its value
-    per_side = cut(prints, "prints")
-    classes = per_side.groupBy("k1", "k2").agg(
-        F.min("id").alias("class"), F.max(train).alias("trains"), F.max(held).alias("holds"),
-        F.first("code").alias("code"), F.first("print").alias("print"), F.first("blocks").alias("blocks"),
-    )
-    classes = cut(classes, "classes")
-    posted = classes.select("class", "code", "trains", "holds", F.explode("blocks").alias("block"))
+    per_side = cut(rows.select(*[f"`{f.name}`" for f in own], "text").mapInArrow(_fingerprints(longs, seed), f"{fields}, k1 long, k2 long, print array<long>"), "prints")
+    # the fingerprint is a function of the key, so any value of a class is its value
+    classes = cut(per_side.groupBy("k1", "k2").agg(F.min("id").alias("class"), F.max(train).alias("trains"), F.max(held).alias("holds"), F.first("print").alias("print")), "classes")
+    posted = classes.select("class", F.col("print")[0].alias("code"), "trains", "holds", F.explode(blocks_of(F.col("print"), bits, blocks)).alias("block"))
     t = posted.where("trains").select("block", F.col("class").alias("a"), F.col("code").alias("code_a"))
     e = posted.where("holds").select("block", F.col("class").alias("b"), F.col("code").alias("code_b"))
     close = t.join(e, "block").where((F.col("a") != F.col("b")) & (F.bit_count(F.col("code_a").bitwiseXOR(F.col("code_b"))) <= radius))
     near = close.select("a", "b").distinct()
     wide = classes.select("class", "print")
     near = near.join(wide.select(F.col("class").alias("a"), F.col("print").alias("pa")), "a").join(wide.select(F.col("class").alias("b"), F.col("print").alias("pb")), "b")
-    apart = hamming(F.col("pa"), F.col("pb"), blocks * bits)
-    near = cut(near.where(apart <= int(radius_all * blocks * bits)).select("a", "b"), "near")
+    near = cut(near.where(hamming(F.col("pa"), F.col("pb"), longs) <= int(radius_all * longs * 64)).select("a", "b"), "near")
     equal = classes.where("trains and holds").select(F.col("class").alias("b"), F.col("class").alias("a"), F.lit(1.0).alias("similarity"))
     linked = _verified(near, rows.select("id", "text"), least).unionByName(equal)
-    member = per_side.select("id", "side", "k1", "k2").join(classes.select("k1", "k2", "class"), ["k1", "k2"]).select("id", "side", "class")
-    out = linked.join(member.where(train).select(F.col("class").alias("a"), F.col("id").alias("train_id")), "a")
-    out = out.join(member.where(held).select(F.col("class").alias("b"), F.col("id").alias("eval_id"), F.col("side").alias("eval_split")), "b")
+    return linked, per_side.drop("print").join(classes.select("k1", "k2", "class"), ["k1", "k2"]).drop("k1", "k2")
+
+
+def cross_split_pairs(df: DataFrame, id_col: str = "email_id", text_col: str = "text", split_col: str = "split", least: float = 0.8, radius: int = 21, radius_all: float = 0.215, seed: int = 11) -> DataFrame:
+    """All pairs (train_id, eval_id, eval_split, similarity) of a train row and a val or test row at or above `least`.
+
+    A SimHash is cut into blocks (block_shape). Classes of the two sides that share a block, differ in at most `radius` of
+    the first 64 bits and in a share `radius_all` of all bits are candidates; their texts are compared exactly.
+    """
+    linked, member = _cross(df, [], id_col, text_col, split_col, least, radius, radius_all, seed)
+    out = linked.join(member.where("side = 'train'").select(F.col("class").alias("a"), F.col("id").alias("train_id")), "a")
+    out = out.join(member.where("side <> 'train'").select(F.col("class").alias("b"), F.col("id").alias("eval_id"), F.col("side").alias("eval_split")), "b")
     return out.select("train_id", "eval_id", "eval_split", "similarity")
 
 
+def overlap_counts(df: DataFrame, id_col: str = "email_id", text_col: str = "text", split_col: str = "split", source_col: str = "source", least: float = 0.8, radius: int = 21, radius_all: float = 0.215, seed: int = 11) -> DataFrame:
+    """(split, source, n_rows, n_pairs): per split and source of val and test rows, how many stand in train too and in how many pairs.
+
+    Counted from the sizes of classes: no pair of rows is made, however many copies a text has.
+    """
+    linked, member = _cross(df, [F.col(source_col).alias("source")], id_col, text_col, split_col, least, radius, radius_all, seed)
+    member = cut(member, "members")
+    trains = member.where("side = 'train'").groupBy(F.col("class").alias("a")).agg(F.count("*").alias("n"))
+    per = linked.join(trains, "a").groupBy("b").agg(F.sum("n").alias("pairs"))
+    held = member.where("side <> 'train'").groupBy(F.col("class").alias("b"), F.col("side").alias("split"), "source").agg(F.count("*").alias("rows"))
+    return held.join(per, "b").groupBy("split", "source").agg(F.sum("rows").alias("n_rows"), F.sum(F.col("rows") * F.col("pairs")).alias("n_pairs"))
+
+
 # -- b-bit minwise signatures ---------------------------------------------------------------------------------------
 
 
@@ -140,13 +164,12 @@ def _signatures(bands: int, width: int, wide: int, seed: int) -> Callable[[Itera
             for i in range(width):
                 key = (key ^ m[:, i * bands : (i + 1) * bands]) * np.uint32(0x9E3779B1)
                 key ^= key >> np.uint32(15)
-            values = key.astype(np.int64) + (np.arange(bands, dtype=np.int64) << 32)
             more = low_bits(m[:, :wide]).view(np.int64)
             lists = lambda x: pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), x.ravel())
             out = batch.drop_columns(["text"]).take(pa.array(kept))
             root = kernels.roots(batch.column("text"))[0][kept]
             names = [*out.schema.names, "r1", "r2", "k1", "k2", "s1", "s2", "s3", "more", "bands"]
-            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(root[:, 0]), pa.array(root[:, 1]), pa.array(digest[:, 0]), pa.array(digest[:, 1]), *(pa.array(sig[:, i].copy()) for i in range(3)), lists(more), lists(values)], names)
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(root[:, 0]), pa.array(root[:, 1]), pa.array(digest[:, 0]), pa.array(digest[:, 1]), *(pa.array(sig[:, i].copy()) for i in range(3)), lists(more), lists(key.view(np.int32))], names)
 
     return run
 
@@ -163,7 +186,7 @@ def _estimate(unequal: Column, n: int) -> Column:
 
 
 def near_classes(
-    rows: DataFrame, least: float = 0.5, bands: int = 48, width: int = 3, wide: int = 160, slack: float = 0.24, slack_all: float = 0.15, seed: int = 5
+    rows: DataFrame, least: float = 0.5, bands: int = 48, width: int = 3, wide: int = 128, slack: float = 0.24, slack_all: float = 0.156, seed: int = 5
 ) -> tuple[DataFrame, DataFrame]:
     """Classes of equal keys and the similar pairs among them, for rows (id, text, ...).
 
@@ -176,14 +199,13 @@ def near_classes(
     rows = spread(rows.where("text is not null"))
     kept = [f for f in rows.schema if f.name != "text"]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    signed = cut(rows.select(*[f.name for f in kept], "text").mapInArrow(_signatures(bands, width, wide, seed), f"{fields}, r1 long, r2 long, k1 long, k2 long, s1 long, s2 long, s3 long, more array<long>, bands array<long>"), "signed")
+    signed = cut(rows.select(*[f.name for f in kept], "text").mapInArrow(_signatures(bands, width, wide, seed), f"{fields}, r1 long, r2 long, k1 long, k2 long, s1 long, s2 long, s3 long, more array<long>, bands array<int>"), "signed")
     classes = cut(signed.groupBy("k1", "k2").agg(F.min("id").alias("class"), *[F.first(c).alias(c) for c in ("s1", "s2", "s3", "more", "bands")]), "classes")
-    posted = classes.select("class", "s1", "s2", "s3", F.explode("bands").alias("band"))
+    posted = classes.select("class", "s1", "s2", "s3", F.posexplode("bands").alias("at", "own")).select("class", "s1", "s2", "s3", F.shiftleft(F.col("at").cast("long"), 32).bitwiseOR(F.col("own").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("band"))
     left, right = (posted.select("band", F.col("class").alias(x), *[F.col(f"s{i}").alias(f"{x}{i}") for i in (1, 2, 3)]) for x in "ab")
     apart = sum((_unequal(F.col(f"a{i}"), F.col(f"b{i}")) for i in (1, 2, 3)), F.lit(0))
     near = left.join(right, "band").where((F.col("a") < F.col("b")) & (_estimate(apart, 96) >= least - slack))
-    # by a alone, so that the next join finds its rows in place
-    near = near.select("a", "b", apart.alias("apart")).repartition("a").dropDuplicates(["a", "b"])
+    near = near.select("a", "b", apart.alias("apart")).dropDuplicates(["a", "b"])
     wider = classes.select("class", "more")
     near = near.join(wider.select(F.col("class").alias("a"), F.col("more").alias("ma")), "a").join(wider.select(F.col("class").alias("b"), F.col("more").alias("mb")), "b")
     for i in range(wide // 32):
@@ -210,14 +232,6 @@ def near_duplicate_pairs(df: DataFrame, id_col: str = "email_id", text_col: str
     return out.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
 
 
-def overlap_counts(df: DataFrame, id_col: str = "email_id", text_col: str = "text", split_col: str = "split", source_col: str = "source", least: float = 0.8) -> DataFrame:
-    """(split, source, n_rows, n_pairs): per split and source of val and test rows, how many stand in train too and in how many pairs."""
-    pairs = cross_split_pairs(df, id_col, text_col, split_col, least)
-    per = pairs.groupBy("eval_id", "eval_split").agg(F.count("*").alias("pairs"))
-    rows = df.select(F.col(id_col).alias("eval_id"), F.col(source_col).alias("source"))
-    return per.join(rows, "eval_id").groupBy(F.col("eval_split").alias("split"), "source").agg(F.count("*").alias("n_rows"), F.sum("pairs").alias("n_pairs"))
-
-
 def near_duplicate_groups(df: DataFrame, id_col: str = "email_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
     """(id, group, n_links): the group of every row, named by its smallest id, and how many other texts its text is linked to.
 

@@ -72,10 +72,32 @@ def test_records_against_trees(spark, emails):
 
 def test_kernel_tree_agrees_with_plain_tree():
     for t in corpus(9, 5):
-        body, fields = kernels.tree(t or "")
+        (body,), (fields,) = kernels.trees(pa.array([t or ""]))
         assert (len(body), sorted(map(len, fields))) == (len(tree(t)[0]), sorted(map(len, tree(t)[1]))) or "K" in (t or "") or "İ" in (t or "")
 
 
+def test_digests_tell_complementary_thue_morse_texts_apart(spark):
+    """Strings that collide under every polynomial hash modulo a power of two."""
+    word = "ab"
+    while len(word) < 4096:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    df = spark.createDataFrame([(1, word), (2, word.upper()), (3, other), (4, other + "!"), (5, f"Subject: {word}\nx"), (6, f"Subject: {other}\nx")], "email_id long, text string")
+    assert sorted((r[0], r[1]) for r in records.copies(df).collect()) == [(2, 1), (4, 3)]
+    assert sorted((r[0], r[1]) for r in records.records(df).collect()) == [(1, 2), (3, 2), (5, 1), (6, 1)]
+
+
+def test_records_with_null_ids_and_ids_used_twice(spark):
+    df = spark.createDataFrame([(None, "a b"), (None, "A b"), (7, "c"), (7, "C"), (7, "d"), (7, "D"), (9, "d")], "email_id long, text string")
+    assert sorted((r[0] or 0, r[1]) for r in records.records(df).collect()) == [(0, 2), (7, 2), (7, 3)]
+    assert [(r[0], r[1]) for r in records.copies(df).collect()] == [(9, 7)]
+
+
+def test_block_shape_keeps_chance_meetings_in_proportion():
+    met = [n * n / 2.0**bits * blocks for n in (10**4, 10**6, 10**8, 10**10) for bits, blocks in [near.block_shape(n)]]
+    assert all(b <= a * 100**1.2 for a, b in zip(met, met[1:]))
+
+
 def test_repeated_rows_and_empty_tables(spark):
     df = spark.createDataFrame([(1, "a b"), (1, "a b"), (2, "A  B"), (3, None)], "email_id long, text string")
     assert sorted(set((r[0], r[1]) for r in records.copies(df).collect())) == [(2, 1)]
