@@ -12,13 +12,14 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", most_rounds
     """(node, component) for every node of an undirected edge list; the component's name is its smallest node.
 
     Each round a node takes the smallest label among its neighbours and itself, then the label of that label, so chains
-    close in few rounds. Both steps aggregate before they shuffle. Every round ends in a table in the shared folder.
+    close in few rounds. Both steps aggregate before they shuffle; edges are partitioned by both ends, and the join on one
+    end is split by adaptive execution where a hub holds too many. Every round ends in a table in the shared folder.
     Defined results: edges with a null end are ignored, self-loops name a singleton, repeated edges count once, no edges
     give no rows.
     """
     spark = edges.sparkSession
     one = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
-    both = cut(one.unionByName(one.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges", ["u"])
+    both = cut(one.unionByName(one.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
     labels = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("label")).select(F.col("u").alias("node"), "label"), "labels")
     for _ in range(most_rounds):
         near = both.join(labels, both.u == labels.node).groupBy("v").agg(F.min("label").alias("near"))

@@ -30,17 +30,25 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _MADE: list[str] = []
+PARTITION_BYTES = 16 << 20
 
 
-def cut(df: DataFrame, name: str, keys: list[str] | None = None) -> DataFrame:
+def cut(df: DataFrame, name: str, shuffled: int = 0) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends there and no executor holds the only copy.
 
-    keys: hash-partition the rows on these columns first, so that equal keys stand together in the files.
+    shuffled: bytes that the largest shuffle of df is expected to move; the number of shuffle partitions is raised so that
+    each gets about PARTITION_BYTES, and adaptive execution still joins small ones and splits skewed ones.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     _MADE.append(path)
-    (df.repartition(*keys) if keys else df).write.parquet(path)
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(max(int(before), shuffled // PARTITION_BYTES)))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
