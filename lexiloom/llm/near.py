@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.llm import kernels
 from lexiloom.operators.graph import components
-from lexiloom.runtime import cut, spread
+from lexiloom.runtime import cut, discard, spread
 
 
 def split_name(split: Column) -> Column:
@@ -110,7 +110,7 @@ def _cross(df: DataFrame, columns: list[str], id_col: str, text_col: str, split_
     near = close.select("a", "b").distinct()
     wide = classes.select("class", "print")
     near = near.join(wide.select(F.col("class").alias("a"), F.col("print").alias("pa")), "a").join(wide.select(F.col("class").alias("b"), F.col("print").alias("pb")), "b")
-    near = cut(near.where(hamming(F.col("pa"), F.col("pb"), longs) <= int(radius_all * longs * 64)).select("a", "b"), "near")
+    near = cut(near.where(hamming(F.col("pa"), F.col("pb"), longs) <= int(radius_all * longs * 64)).select("a", "b"), "near", classes.count() * blocks * 32)
     equal = classes.where("trains and holds").select(F.col("class").alias("b"), F.col("class").alias("a"), F.lit(1.0).alias("similarity"))
     linked = _verified(near, rows.select("id", "text"), least).unionByName(equal)
     return linked, per_side.drop("print").join(classes.select("k1", "k2", "class"), ["k1", "k2"]).drop("k1", "k2")
@@ -201,6 +201,9 @@ def near_classes(
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
     signed = cut(rows.select(*[f.name for f in kept], "text").mapInArrow(_signatures(bands, width, wide, seed), f"{fields}, r1 long, r2 long, k1 long, k2 long, s1 long, s2 long, s3 long, more array<long>, bands array<int>"), "signed")
     classes = cut(signed.groupBy("k1", "k2").agg(F.min("id").alias("class"), *[F.first(c).alias(c) for c in ("s1", "s2", "s3", "more", "bands")]), "classes")
+    members = cut(signed.select(*[f.name for f in kept], "r1", "r2", "k1", "k2"), "members")
+    discard(rows.sparkSession, signed)
+    size = classes.count() * bands * 48
     posted = classes.select("class", "s1", "s2", "s3", F.posexplode("bands").alias("at", "own")).select("class", "s1", "s2", "s3", F.shiftleft(F.col("at").cast("long"), 32).bitwiseOR(F.col("own").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("band"))
     left, right = (posted.select("band", F.col("class").alias(x), *[F.col(f"s{i}").alias(f"{x}{i}") for i in (1, 2, 3)]) for x in "ab")
     apart = sum((_unequal(F.col(f"a{i}"), F.col(f"b{i}")) for i in (1, 2, 3)), F.lit(0))
@@ -210,9 +213,9 @@ def near_classes(
     near = near.join(wider.select(F.col("class").alias("a"), F.col("more").alias("ma")), "a").join(wider.select(F.col("class").alias("b"), F.col("more").alias("mb")), "b")
     for i in range(wide // 32):
         near = near.withColumn("apart", F.col("apart") + _unequal(F.col("ma")[i], F.col("mb")[i]))
-    near = cut(near.where(_estimate(F.col("apart"), 96 + wide) >= least - slack_all).select("a", "b"), "near")
+    near = cut(near.where(_estimate(F.col("apart"), 96 + wide) >= least - slack_all).select("a", "b"), "near", size)
     pairs = _verified(near, rows.select("id", "text"), least)
-    members = signed.select(*[f.name for f in kept], "r1", "r2", "k1", "k2").join(classes.select("k1", "k2", "class"), ["k1", "k2"]).drop("k1", "k2")
+    members = members.join(classes.select("k1", "k2", "class"), ["k1", "k2"]).drop("k1", "k2")
     return members, pairs.select("a", "b", "similarity")
 
 
