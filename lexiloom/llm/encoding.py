@@ -2,9 +2,11 @@
 
 Characters are mapped back to the bytes of a legacy code page, an automaton for the byte structure of UTF-8 finds the
 maximal well-formed multibyte spans among them, and only those spans are decoded; this repeats for text damaged more than
-once. A second step handles bytes of one single-byte code page read as another one: a character that no text of the
-corpus's languages holds, between letters, is mapped back and read as Windows-1252. The replacement character marks a
-row as damaged, but what it replaced is lost.
+once. A sequence that a genuine text may hold (a word of another script in usual case, lines of a box, a capital before a
+closing quote) is decoded only on a line where as many others are. A second step handles bytes of one single-byte code page
+read as another one. It needs evidence: a sign or a capital inside a word in small letters, or a letter of another script in
+a Latin word. What stands nowhere else in the corpus's languages is no evidence by itself, so mathematics, units, other
+languages, ligatures and boxes stay. The replacement character marks a row as damaged, but what it replaced is lost.
 
 Defined results: null, empty and pure ASCII texts are never damaged; a text is judged by itself, so repeated rows get
 equal results; extra columns pass through restored() untouched. Whole texts are examined, of any length.
@@ -14,6 +16,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -69,9 +72,25 @@ def _spans(data: bytes) -> Iterator[tuple[int, int]]:
         yield start, n
 
 
-def _obfuscated(text: str, a: int, b: int, page: str) -> bool:
-    """Cyrillic look-alikes at the start of a Latin word may form a sequence by accident."""
-    return page == "cp1251" and b - a == 2 and text[a] == "Р" and text[b - 1] in "іѕ" and not (a and _LETTER.match(text[a - 1]))
+def _word_at(text: str, a: int, b: int) -> str:
+    while a and text[a - 1].isalpha():
+        a -= 1
+    while b < len(text) and text[b].isalpha():
+        b += 1
+    return text[a:b]
+
+
+def _natural(text: str, a: int, b: int, made: str) -> bool:
+    """Whether text[a:b], one sequence for the character `made`, may stand like this in a text that nothing happened to."""
+    own, before, after = text[a:b], text[a - 1 : a] if a else "", text[b : b + 1]
+    if all(_SCRIPT.match(c) for c in own):  # a word of one other script in usual case, or look-alikes that begin a Latin word
+        word = _word_at(text, a, b)
+        return not after.isdigit() and not _LATIN.search(word) and (word.islower() or word.isupper() or word.istitle()) or own[0] == "Р" and own[1:] in ("і", "ѕ") and not before.isalpha()
+    if all("\u2500" <= c <= "\u25ff" for c in own):  # lines and boxes
+        return not ("\u0410" <= made <= "\u045f" or before.isalpha() and before.isascii() or after.islower() and not "\u2500" <= before <= "\u25ff")
+    if len(own) == 2 and own[0] in _OPENERS:
+        return after.islower() and (own[1].isupper() or not before.isalpha())
+    return len(own) == 2 and own[0].isupper() and own[0] not in "ÃÂ" and own[1] in _CLOSERS and not after.isalpha() and not before.islower()
 
 
 def _rare(c: str) -> bool:
@@ -91,22 +110,28 @@ def _meant(c: str, text: str, a: int, b: int, several: bool) -> bool:
 
 def _decoded(text: str, page: str) -> str:
     """The text with all well-formed sequences of one code page decoded, each judged by itself."""
-    table, parts, last = _BYTE[page], [], 0
+    table, found = _BYTE[page], []
     for m in _RUN[page].finditer(text):
         data = bytes(table[c] for c in m.group())
         for a, b in _spans(data):
             made = data[a:b].decode("utf-8")
             rare = [_rare(c) for c in made]
             several = sum(rare) > 1
-            if _obfuscated(text, m.start() + a, m.start() + b, page):
-                continue
             start = m.start() + a
             for c, odd in zip(made, rare):
                 end = start + len(c.encode("utf-8"))
                 if _PLAUSIBLE.match(c) or odd and _meant(c, text, start, end, several):
-                    parts += [text[last:start], c]
-                    last = end
+                    found.append((start, end, c, _natural(text, start, end, c)))
                 start = end
+    weak, strong = Counter(), Counter()  # by line: what might be genuine is decoded only among as much that is not
+    line = lambda at: text.count("\n", 0, at)
+    for start, _, _, natural in found:
+        (weak if natural else strong)[line(start)] += 1
+    parts, last = [], 0
+    for start, end, c, natural in found:
+        if not natural or strong[line(start)] and strong[line(start)] >= weak[line(start)]:
+            parts += [text[last:start], c]
+            last = end
     return "".join(parts) + text[last:] if parts else text
 
 
@@ -157,30 +182,79 @@ def _badness(text: str) -> int:
     return bad
 
 
+# -- bytes of one single-byte page read as another -------------------------------------------------------------------
+
+#: Marks that open or close a quotation or stand between words; they are no part of a word.
+_OPENERS, _CLOSERS = "«»“”‘’‚„‹›–—…", "”“’‘»«›‹…™®)"
+_OUTSIDE = set(_OPENERS + _CLOSERS + "'’-‐‑\u00ad\u200b\u200c\u200d\ufeff")
+_RIGHT = {page: {c: bytes([b]).decode("cp1252", "replace") for c, b in _page(page).items()} for page in SINGLE}
+_SEEN = set(_LETTERS + _SIGNS)
+
+
+def _evidence(text: str) -> list[int]:
+    """Places of characters that no writing has there.
+
+    These are signs and capitals inside words in small letters, letters of another script in Latin words, and letters that
+    stand for an amount's currency or open a quotation on some page.
+    """
+    out = []
+    for m in _HIGH.finditer(text):
+        c, i = m.group(), m.start()
+        before, after = text[i - 1 : i] if i else "", text[i + 1 : i + 2]
+        if not before.isalnum() and c.isalpha() and (after.isdigit() and text[i + 2 : i + 3] in _FIGURES and any(r.get(c) in ("€", "£") for r in _RIGHT.values()) or c == "ì" and after.isalpha()):
+            out.append(i)
+        if c in _OUTSIDE or "\ufb00" <= c <= "\ufb06" or not (before.isalpha() or after.isalpha()):
+            continue
+        if _SCRIPT.match(c):
+            word = _word_at(text, i, i + 1)
+            latin = sum(x.isascii() for x in word)
+            if c not in lexicons.LOOKALIKE_FROM and len(word) > 2 and (latin if "\u0400" <= c else latin > 2):
+                out.append(i)
+        elif unicodedata.category(c) == "Lu":
+            title = before.isupper() and before.isascii() and not text[i - 2 : i - 1].isalpha() and text[i + 1 : i + 3].islower() and text[i + 1 : i + 3].isalpha()
+            if title or before.islower() and before.isalpha() and (after.islower() or not after.isalpha()):
+                out.append(i)
+        elif unicodedata.category(c) != "Ll" and before.isalpha() and after.islower() and after.isalpha() and not (c == "·" and before == after == "l"):
+            left, right = len(_TAIL.search(text, max(0, i - 4), i).group()), len(_HEAD.match(text, i + 1, i + 5).group())
+            short = text[i - left : i].lower(), text[i + 1 : i + 1 + right]
+            if left + right > 3 if c in _MATHS else left + right > 2 or any(f"{short[0]}{r.get(c)}{short[1]}" in _SHORT for r in _RIGHT.values()):
+                out.append(i)
+    return out
+
+
+_FIGURES = tuple("0123456789.,")
+_TAIL, _HEAD = regex.compile(r"\p{L}*$"), regex.compile(r"\p{L}*")
+#: Signs that also stand between the letters of a formula.
+_MATHS = set("²³¹±×÷·°≤≥≠≈∞√∂∫∑∏−⋅∙")
+# Short words in which the letter with a mark is often damaged.
+_SHORT = {"für", "sûr", "mûr", "tôt", "tür", "grün", "süd", "nür", "día", "año", "más"}
+
+
+def _explained(text: str, places: list[int], page: str) -> int:
+    """How many of the places hold what this page shows for a letter with a mark, a currency sign or an opening quotation mark."""
+    made = [(text[i], _RIGHT[page].get(text[i], "")) for i in places]
+    return sum(r in _SEEN and (r.isalpha() and (r.islower() or c.isupper() and _SCRIPT.match(c) is not None) or r in "€£“") for c, r in made if r)
+
+
 def _read_as(text: str, page: str) -> str | None:
-    table = _BYTE.get(page) or _page(page)
-    if any(c not in table for c in _HIGH.findall(text)):
+    """The text with all bytes read again, if that leaves only what the corpus's languages write."""
+    if any(c not in _RIGHT[page] and c not in _INVISIBLE for c in _HIGH.findall(text)):
         return None
-    return _HIGH.sub(lambda m: bytes([table[m.group()]]).decode("cp1252", "replace"), text)
+    made = _HIGH.sub(lambda m: _RIGHT[page].get(m.group(), m.group()), text)
+    return made if all(c in _SEEN or c in _INVISIBLE for c in _HIGH.findall(made)) and not _evidence(made) else None
 
 
-def _single(text: str, whole: bool = True) -> str:
-    """Read single-byte pages back, for the whole text if that explains everything, else line by line and word by word."""
-    bad = _badness(text)
-    if not bad:
+def _single(text: str, depth: int = 0) -> str:
+    """Bytes read again by the page that explains all evidence of damage: the whole text, else line by line, else word by word."""
+    places = _evidence(text)
+    if not places:
+        return text
+    for page in sorted(SINGLE, key=lambda p: -_explained(text, places, p)):
+        if _explained(text, places, page) == len(places) and (made := _read_as(text, page)) is not None:
+            return made
+    if depth == 2:
         return text
-    best, made = bad, text
-    for page in SINGLE:
-        other = _read_as(text, page)
-        if other is not None and "\ufffd" not in other and (now := _badness(other)) < best:
-            best, made = now, other
-    if best == 0 or not whole:
-        return made
-    parts = regex.split(r"(\n)", text) if "\n" in text else regex.split(r"(\s)", text)
-    if len(parts) == 1:
-        return made
-    pieces = "".join(_single(x, "\n" in text) for x in parts)
-    return pieces if _badness(pieces) < best else made
+    return "".join(_single(x, depth + 1) for x in regex.split(r"(\n)" if depth == 0 else r"(\s)", text))
 
 
 def _class(chars: set[str]) -> str:
@@ -188,7 +262,7 @@ def _class(chars: set[str]) -> str:
 
 
 _SEQUENCE = re.compile("|".join(_class({c for c, b in m.items() if 0xC2 <= b <= 0xF4}) + _class({c for c, b in m.items() if 0x80 <= b <= 0xBF}) for m in _BYTE.values()))
-_ODD = re.compile(f"[^\x00-\x7f{re.escape(_LETTERS + _SIGNS + lexicons.INVISIBLE + lexicons.LOOKALIKE_FROM)}\u2600-\u27bf\U0001f300-\U0001faff]|(?<=[a-z])[{_UPPER}]|[A-Z][{_UPPER}](?=[a-z])|[{_LETTERS}][0-9]|(?<![\\w])[{_LETTERS}](?![\\w])")
+_ODD = regex.compile(r"[\ufffd\x80-\x9f]|[\p{L}--\p{ASCII}][0-9]|(?<!\p{L})ì|(?<=\p{L})[^\x00-\x7f\p{Ll}](?=\p{Ll}|\P{L}|$)|(?<=\p{L})[^\x00-\x7f\p{L}]|(?<=[A-Za-z])[\p{Cyrillic}\p{Greek}]|[\p{Cyrillic}\p{Greek}](?=[A-Za-z])", regex.V1)
 
 
 def repair(text: str | None) -> tuple[str | None, bool]:

@@ -285,6 +285,44 @@ def test_residue_with_repeated_passages(spark):
     assert all(got.get(2 * i + 1) is False for i in range(40))
 
 
+# genuine texts in some forty languages, mathematics, units, boxes, ligatures and signs
+CLEAN = [
+    # English, German, French, Spanish, Portuguese, Italian, Catalan, Dutch, Danish, Norwegian, Swedish, Finnish, Icelandic
+    "The naïve café owner’s résumé cost £5 – “no more than that” – and 20 °C is fine.", "Größe, Übung und Maß: „Füße dürfen öfter müde sein“, sagte Jürgen am 3. März.", "Où est passée l’élève ? À Noël, l’œuvre « Çà et là » a coûté 5 €, c’est sûr.",
+    "¿Qué pasó mañana? El niño comió piñas; ¡qué útil! La cigüeña llegó a las 5 ª.", "Não há coração que não sinta a ação; os pães e as mães são três. Às vezes põe-se o avô à mão.", "Perché non c’è più città? È così: già, più, ciò, lunedì e virtù.", "El col·legi de Sant Cugat és molt gran; l’avinguda paral·lela, l’illa i les cançons són així.",
+    "De coördinatie van het café is geëindigd; ’s avonds één reünie.", "Søren køber æbler på øen; æ ø å ÆØÅ. Blåbærgrød på Ærø.", "Håkon går på ski i Tromsø; vær så god, ærlig talt.", "Åsa åt räksmörgås på Öland. ”Blå himmel”, sa hon, »Å, vad fint«. BLÅ» och SMÅ”.", "Äiti söi hyvää pöytää yöllä; Åbo ja Ääni.", "Jón Þórðarson og Guðrún fóru á Þingvöll; það er góð hugmynd, ætíð.",
+    # Polish, Czech, Slovak, Slovene, Croatian, Hungarian, Romanian, Turkish, Estonian, Latvian, Lithuanian, Albanian, Maltese, Welsh, Irish
+    "Zażółć gęślą jaźń; Łódź, Świętokrzyskie, ŻÓŁĆ i GĘŚLĄ. Mąż Ósmy śpi.", "Příliš žluťoučký kůň úpěl ďábelské ódy. ÚŽASNÝ KŘÍŽ, DĚŠŤ a VÝŠKA. Úžas!", "Vypäť najťažšiu úlohu; ľahký kôň, ĽUBKA a dážď. Šťastie.", "Čmrlj žvrgoli šestnajst ščetk; ČŠŽ.", "Đorđe i Žarko šeću; ćevapi, čaša, džep. ĐAK.", "Árvíztűrő tükörfúrógép; ŐZ ÉS ŰR, Éva öt őze.", "Ștefan și Țuțu au mâncat în București; ţară, şarpe, ĂÂÎȘȚ.", "Iğdır’da güneş ışığı; ŞİŞLİ, Çağdaş Öğüt, İstanbul.", "Õhtul sõi Jüri öösel šokolaadi; ÕUN ja ÄÄR.",
+    "Ģertrūde ēd ķiršus, ņem ūdeni; ŠĶĪVIS, Žūpu Ēvalds.", "Įžymus žąsinas ėda; ŪKIS, ČIA, šįmet. Ąžuolas.", "Është çështje e shpejtë; Çelësi ë.", "Ġorġ u Ħal Għaxaq; ŻEBBUĠ.", "Tŷ a dŵr, ŵy; Llŷn a’r tŷ gwyn.", "Tá Seán Ó Súilleabháin ar an ngaoth; ÉIRE Á BÁ.",
+    # Russian, Ukrainian, Belarusian, Bulgarian, Serbian, Macedonian, Greek, Armenian, Hebrew, Arabic, Hindi, Chinese, Japanese, Korean, Vietnamese, Thai
+    "Привет, как дела? Съешь ещё этих мягких французских булок. «Ёлка» №5, ОБЪЯВЛЕНИЕ.", "Він сказав, що Дія працює; її їжак, Рік і Зірка. Київ, Єва, Ґанок. ВІН І ДІЯ. Сідай! Від Івана.", "Ён кажа: сёньня дождж, Ўсё добра; Дзіва, ВІЦЕБСК.", "Той каза: щъркел, Ѝ; Здравей, ДЪЖД.", "Ђорђе, Љубав и Њива; Ћирилица, Џеп. ЉУБАВ.", "Ѓорѓи, Ќе одам, Ѕвезда и Јас.", "Ο Γιώργος είπε: «Ωραία μέρα», ΆΝΟΙΞΗ, ΰ.", "Բարեւ Ձեզ", "שלום לכולם", "مرحبا بالعالم، كيف الحال؟", "नमस्ते दुनिया", "你好,世界。《书》", "こんにちは、「世界」。", "안녕하세요 세계", "Tiếng Việt rất đẹp; Nguyễn Văn Ân, Đường Điện Biên Phủ, ĐẸP.", "สวัสดีชาวโลก",
+    # mathematics, units, typography, boxes, ligatures, emoji, brands
+    "x ≤ 5 and y ≥ 3, so √2 ≈ 1.41", "5 Ω, 10 kΩ and 3 MΩ at 20 µF; 5 µm ± 2 %", "∑ of π and ∂f/∂x → ∞, ∫ f dx ≠ 0", "α-helix and β-sheet, γ rays, Δt = 5 s, θ ∈ ℝ", "as shown ‡ and † below; § 5 ¶ 2", "¬p ∧ q ∨ r ⇒ s", "┌──┬──┐\n│ a│ b│\n├──┼──┤\n└──┴──┘", "├── src\n│   └── main\n└─┤Name├─┐", "╔══╗\n║ x║\n╚══╝ █▄▀ ░▒▓", "oﬃce ﬁle and ﬂoor, eﬀect", "m² and m³, x² + y³ = z², 10⁻⁹, H₂O, CO₂, ½ ¼", "a±b, 5×3÷2, 3′ 5″, 50‰", "■ first\n● second\n✓ done ★ ☎ → ↑", "Thanks 😀👍🏽 ❤️ see you…", "Acme™ and Foo® © 2020, № 5, № 7", "f(x) = ax² + bx³y", "LE CAFÉ… “CAFÉ” «CAFÉ» CAFÉ®", "e.g. señor Ñandú, NIÑO”, AÑO», Ã and Â as letters: PÃO, MÂE»", "Pâté à l’ancienne: 1,5 kg à 12 €/kg – n° 5", "Der Weg Wien—Österreich, Paris–Évry, «étude» und “état”; “École”.", "Spannung 2πrh, ρgh und 3x²y; E=mc², kΩ·m.",
+]
+
+
+@pytest.mark.parametrize("text", CLEAN)
+def test_genuine_text_stays_as_it_is(text):
+    assert encoding.repair(text) == (text, False)
+
+
+@pytest.mark.parametrize("page", ["mac_roman", "cp1251", "cp437", "cp850"])
+def test_single_bytes_of_half_a_text(page):
+    text = "Céline a reçu la réponse.\nDie Gebühr für größere Päckchen wurde gelöscht."
+    lines = text.split("\n")
+    for wrong in (text.encode("cp1252").decode(page), lines[0] + "\n" + lines[1].encode("cp1252").decode(page)):
+        assert encoding.repair(wrong) == (text, True)
+
+
+@pytest.mark.parametrize("text", CLEAN[1:6])
+def test_damaged_samples_come_back(text):
+    """What was planted is compared with what comes back, for texts decoded wrongly as a whole."""
+    for page in ("cp1252", "latin-1", "cp437"):
+        table = {b: c for c, b in encoding._BYTE[page].items()}
+        wrong = "".join(chr(b) if b < 128 else table[b] for b in text.encode("utf-8"))
+        assert encoding.repair(wrong) == (text, True)
+
+
 def test_given_names_of_single_senders_and_long_lists(spark):
     name = lambda i: "Qu" + "".join("abdeiklmno"[int(d)] for d in f"{i:04d}") + "x"
     df = spark.createDataFrame([(i, f"{name(i)} Bistimont <a{i}@b.example>", f"We met {name(i)} Bistimont at noon.") for i in range(6000)], "email_id long, sender string, text string")
