@@ -2,17 +2,18 @@
 
 Defined results: a null source, a sender without an address and a text without reference tie nothing; a row without
 any of the three is a group of its own. Labels other than 0 and 1, null included, are one further class. Empty table,
-empty result. Repeated rows and ids share all entities, hence the split. Ties between equally good splits go to the
-first of train, validation, test.
+empty result. Repeated rows and ids share all entities, hence the split. Ties between splits that lack the same go to
+the first of train, validation, test.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom import lexicons
 from lexiloom.operators.graph import components
+from lexiloom.operators.ranking import order_hash
 from lexiloom.runtime import cut
 
 SPLITS = ("train", "validation", "test")
@@ -64,42 +65,55 @@ def tied_sources(df: DataFrame, id_col: str = "email_id", text_col: str = "text"
 
 def grouped_split(
     df: DataFrame, id_col: str = "email_id", text_col: str = "text", source_col: str = "source", sender_col: str = "sender", label_col: str = "label",
-    shares: tuple[float, float, float] = (0.70, 0.15, 0.15), large: int = 1000, seed: int = 42,
+    shares: tuple[float, float, float] = (0.70, 0.15, 0.15), seed: int = 42,
 ) -> DataFrame:
     """(id, component, split) of every row.
 
-    Components of at least 1/large of all rows, hence at most `large` of them, are placed one by one, largest first, where the
-    deviation of sizes and label counts from the targets stays smallest. The many small ones are then drawn by a hash of their
-    name, with chances per majority label that fill what each split still lacks.
+    Components are strata of their majority label and of their size to the power of two. Inside a stratum they stand in the
+    order of md5(seed:name), each at the middle of its rows' share of the stratum. Strata are dealt from the largest sizes to
+    the smallest: a split gets the part of a stratum that it still lacks of that label, the one that lacks most the first
+    part, and what it really got is added up before the next size is dealt. So the many small components even out what the
+    few large ones left, and no component is treated by another rule than the rest.
     """
     extra = df.withColumn("__label", F.coalesce(F.col(label_col).cast("int"), F.lit(-1)))
     rows = entities(extra, id_col, text_col, source_col, sender_col)
-    labels = extra.select(F.when(F.col("__label").isin(0, 1), F.col("__label")).otherwise(-1).alias("label"), F.col(id_col).alias("id"), F.col(source_col).alias("source"))
+    labels = extra.select(F.when(F.col("__label").isin(0, 1), F.col("__label")).otherwise(-1).alias("label"), F.col(id_col).alias("id"))
     rows = cut(rows.select("id", F.coalesce(F.array_min("names"), F.concat(F.lit("i:"), F.coalesce(F.col("id").cast("string"), F.lit("")))).alias("first"), "names"), "entities")
     found = entity_components(rows)
     placed = rows.select("id", "first").join(found.select(F.col("name").alias("first"), "component"), "first", "left").select("id", F.coalesce("component", "first").alias("component"))
     placed = cut(placed, "placed")
-    classes = labels.select("id", "label").groupBy("id").agg(F.max("label").alias("label"))
-    sizes = placed.join(classes, placed.id.eqNullSafe(classes.id)).groupBy("component").agg(*[F.count_if(F.col("label") == v).alias(n) for v, n in ((0, "zeros"), (1, "ones"), (-1, "others"))])
-    sizes = cut(sizes.withColumn("n", F.expr("zeros + ones + others")), "sizes")
-    total = sizes.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "zeros", "ones", "others")]).first()
-    want = {s: [share * total[c] for c in ("n", "zeros", "ones", "others")] for s, share in zip(SPLITS, shares)}
-    have = {s: [0, 0, 0, 0] for s in SPLITS}
-    named = []
-    for r in sizes.where(F.col("n") * large >= total["n"]).orderBy(F.desc("n"), "component").collect():  # at most `large` rows
-        own = [r["n"], r["zeros"], r["ones"], r["others"]]
-        cost = lambda s: sum(((have[s][i] + own[i] - want[s][i]) ** 2 - (have[s][i] - want[s][i]) ** 2) / max(1, want[s][i]) for i in range(4))
-        best = min(SPLITS, key=cost)
-        have[best] = [a + b for a, b in zip(have[best], own)]
-        named.append((r["component"], best))
-    spark = df.sparkSession
-    chosen = spark.createDataFrame(named or [(None, None)], "component string, split string").where("component is not null")
-    majority = F.expr("case when zeros >= ones and zeros >= others then 1 when ones >= others then 2 else 3 end")
-    point = F.pmod(F.xxhash64(F.concat(F.lit(f"{seed}:"), F.col("component"))), F.lit(1 << 30)) / float(1 << 30)
-    drawn = F.lit(None).cast("string")
-    for i in (1, 2, 3):
-        lack = [max(0.0, want[s][i] - have[s][i]) for s in SPLITS]
-        chance = [x / sum(lack) for x in lack] if sum(lack) else list(shares)
-        drawn = F.when(majority == i, F.when(point < chance[0], SPLITS[0]).when(point < chance[0] + chance[1], SPLITS[1]).otherwise(SPLITS[2])).otherwise(drawn)
-    all_split = sizes.join(F.broadcast(chosen), "component", "left").select("component", F.coalesce("split", drawn).alias("split"))  # chosen has at most `large` rows
-    return placed.join(all_split, "component").select("id", "component", "split")
+    classes = labels.groupBy("id").agg(F.max("label").alias("label"))
+    kinds = ("zeros", "ones", "others")
+    sizes = placed.join(classes, placed.id.eqNullSafe(classes.id)).groupBy("component").agg(*[F.count_if(F.col("label") == v).alias(k) for v, k in zip((0, 1, -1), kinds)])
+    sizes = sizes.withColumn("n", F.expr("zeros + ones + others")).withColumn("power", F.floor(F.log2("n") + 1e-9).cast("int"))
+    sizes = sizes.withColumn("kind", F.expr("case when zeros >= ones and zeros >= others then 'zeros' when ones >= others then 'ones' else 'others' end"))
+    sizes = cut(_positions(sizes, seed), "sizes")
+    strata = sizes.groupBy("power").agg(*[F.sum(k).alias(k) for k in kinds]).orderBy(F.desc("power")).collect()  # one row for each power of two
+    want = {s: {k: share * sum(r[k] for r in strata) for k in kinds} for s, share in zip(SPLITS, shares)}
+    have = {s: dict.fromkeys(kinds, 0) for s in SPLITS}
+    split = F.lit(None).cast("string")
+    for r in strata:
+        own = F.lit(None).cast("string")
+        for k in kinds:
+            lack = {s: max(0.0, want[s][k] - have[s][k]) for s in SPLITS}
+            whole = sum(lack.values())
+            chance = {s: lack[s] / whole if whole else share for s, share in zip(SPLITS, shares)}
+            order = sorted(SPLITS, key=lambda s: (-chance[s], SPLITS.index(s)))
+            drawn = F.when(F.col("position") < chance[order[0]], order[0]).when(F.col("position") < chance[order[0]] + chance[order[1]], order[1]).otherwise(order[2])
+            own = F.when(F.col("kind") == k, drawn).otherwise(own)
+        split = F.when(F.col("power") == r["power"], own).otherwise(split)
+        for got in sizes.where(F.col("power") == r["power"]).groupBy(own.alias("split")).agg(*[F.sum(k).alias(k) for k in kinds]).collect():  # one row a split
+            have[got["split"]] = {k: have[got["split"]][k] + got[k] for k in kinds}
+    return placed.join(sizes.select("component", split.alias("split")), "component").select("id", "component", "split")
+
+
+def _positions(sizes: DataFrame, seed: int) -> DataFrame:
+    """Adds the position of each component in its stratum: 0 to 1, by rows, at the middle of its own. Hash ranges are added up first."""
+    rows = sizes.withColumn("hash", order_hash(F.col("component"), seed)).withColumn("range", F.substring("hash", 1, 3))
+    stratum = ["power", "kind"]
+    ranges = rows.groupBy(*stratum, "range").agg(F.sum("n").alias("own"))
+    ahead = Window.partitionBy(*stratum).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # at most 4096 rows a stratum
+    ranges = ranges.select(*stratum, "range", F.coalesce(F.sum("own").over(ahead), F.lit(0)).alias("ahead"), F.sum("own").over(Window.partitionBy(*stratum)).alias("total"))
+    inside = Window.partitionBy(*stratum, "range").orderBy("hash", "component").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("ahead") + F.coalesce(F.sum("n").over(inside), F.lit(0))
+    return rows.join(ranges, [*stratum, "range"]).withColumn("position", (before + F.col("n") / 2) / F.col("total")).drop("hash", "range", "ahead", "total")

@@ -12,7 +12,9 @@ tables give empty results.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +22,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.llm import kernels, words
+from lexiloom.llm.bits import bit_map, map_size, marked
 from lexiloom.runtime import cut, spread
 
 K = 5
-MAP_BITS = 22  # size of the map of item shingles, whatever the number of items
 
 
 def _posted(keep: np.ndarray | None = None):
@@ -34,7 +36,7 @@ def _posted(keep: np.ndarray | None = None):
             h, pos, per = words.shingles(*words.hashed_words(batch.column("text")), K)
             row = np.repeat(np.arange(len(per)), per)
             if keep is not None:
-                hit = keep[(h >> np.uint64(64 - MAP_BITS)).astype(np.int64)]
+                hit = marked(keep, h.view(np.int64))
                 h, pos, row = h[hit], pos[hit], row[hit]
             ids = batch.column("id").take(pa.array(row))
             yield pa.RecordBatch.from_arrays([ids, pa.array(h.view(np.int64)), pa.array(pos), pa.array(per[row].astype(np.int32))], ["id", "h", "pos", "n"])
@@ -42,9 +44,8 @@ def _posted(keep: np.ndarray | None = None):
     return run
 
 
-def _shared_run(a: list[str], b: list[str], least: int) -> bool:
-    seen = {tuple(a[i : i + least]) for i in range(len(a) - least + 1)}
-    return any(tuple(b[i : i + least]) in seen for i in range(len(b) - least + 1))
+def _windows(said: list[str], least: int) -> set[tuple[str, ...]]:
+    return {tuple(said[i : i + least]) for i in range(len(said) - least + 1)}
 
 
 def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text_col: str = "text", least: int = 12) -> DataFrame:
@@ -53,32 +54,28 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: st
     form = lambda df, i: df.where(F.col(text_col).isNotNull()).select(F.col(i).alias("id"), words.match_form(F.col(text_col)).alias("text"))
     held, corpus = form(items, item_id), spread(form(docs, doc_id))
     wanted = cut(held.mapInArrow(_posted(), schema).where(F.col("n") >= least - K + 1).distinct(), "wanted")
-    keep = np.zeros(1 << MAP_BITS, bool)  # a bit map of fixed size; passing it by chance costs a row, never a result
-    cells = wanted.select(F.shiftrightunsigned("h", 64 - MAP_BITS).cast("int").alias("cell")).distinct()
-    keep[[r.cell for r in cells.collect()]] = True  # at most 2**MAP_BITS rows
+    keep = bit_map(wanted, "h", map_size(wanted.count()))
     found = cut(corpus.mapInArrow(_posted(keep), schema), "found")
     rarity = found.groupBy("h").agg(F.count("*").alias("docs"))
     ranked = wanted.join(rarity, "h", "left").withColumn("docs", F.coalesce("docs", F.lit(0)))
     window = Window.partitionBy("id").orderBy("pos").rowsBetween(0, least - K)
     prefix = ranked.select("id", "pos", "n", F.min(F.struct("docs", "pos", "h")).over(window).alias("first")).where(F.col("pos") <= F.col("n") - (least - K + 1))
     prefix = prefix.where("first.docs > 0").groupBy(F.col("id").alias("item"), F.col("first.h").alias("h"), F.col("first.pos").alias("item_pos")).agg(F.min("pos").alias("from_pos"), F.max("pos").alias("to_pos"))
-    near = found.join(prefix, "h").where(  # some window around the prefix lies wholly inside the document
-        (F.col("pos") - (F.col("item_pos") - F.col("to_pos")) >= 0) & (F.col("pos") - (F.col("item_pos") - F.col("from_pos")) >= -F.col("to_pos") + F.col("from_pos")) & (F.col("n") >= least - K + 1)
-    )
+    # the first and the last place of the item where a window may begin so that it lies wholly inside the document
+    shift = F.col("item_pos") - F.col("pos")
+    near = found.join(prefix, "h").where(F.greatest(F.col("from_pos"), shift) <= F.least(F.col("to_pos"), shift + F.col("n") - (least - K + 1)))
     pairs = cut(near.select(F.col("id").alias("doc"), "item").distinct(), "pairs")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import re
-
         run = re.compile("[a-z0-9]+")
+        of_item = lru_cache(1000)(lambda q: _windows(run.findall(q), least))  # an item's windows are built once
         for batch in batches:
-            docs_, items_ = batch.column("doc_text").to_pylist(), batch.column("item_text").to_pylist()
-            last, cut_words = None, []
-            kept = []
-            for i, (d, q) in enumerate(zip(docs_, items_)):
+            last, said, kept = None, [], []
+            for i, (d, q) in enumerate(zip(batch.column("doc_text").to_pylist(), batch.column("item_text").to_pylist())):
                 if d is not last and d != last:
-                    last, cut_words = d, run.findall(d)
-                if _shared_run(run.findall(q), cut_words, least):
+                    last, said = d, run.findall(d)
+                wanted_ = of_item(q)
+                if any(tuple(said[j : j + least]) in wanted_ for j in range(len(said) - least + 1)):
                     kept.append(i)
             yield batch.select(["doc", "item"]).take(pa.array(kept, pa.int32()))
 

@@ -171,10 +171,14 @@ def test_mix_shares_caps_and_epochs(spark):
     assert set(made) == {"big", "small-one", "tiny", "absent"} and not per["absent"]
     assert max(r["copies"] for r in per["small-one"]) <= 3 and max(r["copies"] for r in per["tiny"]) <= 1
     for s, r in made.items():
-        assert r["tokens"] == sum(x["copies"] * x["tokens"] for x in per[s]) <= r["budget"]
+        assert r["tokens"] == sum(x["copies"] * x["tokens"] for x in per[s]) and abs(r["tokens"] - r["budget"]) <= 40  # half a document
         copies = [x["copies"] for x in per[s] if x["tokens"]]
         assert not copies or max(copies) - (min(copies) if len(copies) == r["documents"] else 0) <= 1
-    assert made["big"]["tokens"] > made["big"]["budget"] - 200 and sum(r["actual_share"] for r in made.values()) == pytest.approx(1)
+    assert all(abs(r["actual_share"] - r["target_share"]) < 0.02 for r in made.values()) and sum(r["actual_share"] for r in made.values()) == pytest.approx(1)
+    assert made["tiny"]["tokens"] == made["tiny"]["budget"] == sum(x["tokens"] for x in per["tiny"])  # its cap decides the total
+    _, more = mixing.mix(df, targets, total=20_000)
+    asked = {r["source"]: r for r in more.collect()}
+    assert asked["tiny"]["tokens"] == made["tiny"]["tokens"] and asked["big"]["tokens"] == pytest.approx(10_000, abs=40)
     assert mixing.mix(df.limit(0), targets)[0].count() == mixing.mix(df, targets.limit(0))[0].count() == 0
 
 
