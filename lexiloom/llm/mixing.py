@@ -76,7 +76,7 @@ def budgets(sized: DataFrame, targets: DataFrame, total: int | None = None) -> D
     every = Window.partitionBy(F.lit(0))  # one row per target
     usable = (F.col("available") > 0) & (F.coalesce("max_repeats", F.lit(1)) > 0)
     share = F.when(usable, F.col("target_share")).otherwise(F.lit(0.0))
-    joined = joined.withColumn("wanted_share", F.coalesce(F.try_divide(share, F.sum(share).over(every)), F.lit(0.0)))
+    joined = joined.withColumn("wanted_share", F.coalesce(F.try_divide(share * F.sum("target_share").over(every), F.sum(share).over(every)), F.lit(0.0)))
     most = F.col("max_repeats").cast("long") * F.col("available")
     allowed = F.least(F.sum("available").over(every).cast("double"), F.min(F.when(F.col("wanted_share") > 0, most / F.col("wanted_share"))).over(every))
     size = F.lit(float(total)) if total is not None else allowed
