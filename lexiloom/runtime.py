@@ -30,7 +30,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _MADE: list[str] = []
-PARTITION_BYTES = 16 << 20
+PARTITION_BYTES = 32 << 20
 
 
 def cut(df: DataFrame, name: str, shuffled: int = 0) -> DataFrame:
