@@ -185,8 +185,19 @@ def _estimate(unequal: Column, n: int) -> Column:
     return ((F.lit(n) - unequal) / F.lit(float(n)) - 0.25) / 0.75
 
 
+def band_shape(n: int) -> tuple[int, int]:
+    """Number of bands and minima in each for n texts.
+
+    Texts with a background similarity of about 0.2 meet by chance in proportion to n * n * 0.2**width, so the width grows
+    by one for each ten times the texts above 2**18; bands are doubled with it, which keeps the chance that a pair at 0.5
+    shares one at 0.998.
+    """
+    width = 3 + max(0, math.ceil(math.log10(max(n, 1) / 2**18)))
+    return 48 << (width - 3), width
+
+
 def near_classes(
-    rows: DataFrame, least: float = 0.5, bands: int = 48, width: int = 3, wide: int = 128, slack: float = 0.24, slack_all: float = 0.156, seed: int = 5
+    rows: DataFrame, least: float = 0.5, wide: int = 128, slack: float = 0.24, slack_all: float = 0.156, seed: int = 5
 ) -> tuple[DataFrame, DataFrame]:
     """Classes of equal keys and the similar pairs among them, for rows (id, text, ...).
 
@@ -194,8 +205,9 @@ def near_classes(
     weigh the same, so that minima agree as often as the true similarity says, whatever share of the corpus holds a piece:
     a pair at 0.5 shares a band with a chance of 0.998. Pairs sharing a band are candidates if the estimate from 96
     two-bit minima is at most `slack` below `least` and that from all 96 + wide ones at most `slack_all`, 3.5 and 3.6
-    standard deviations or more; then the texts are compared exactly. width and bands grow with the corpus.
+    standard deviations or more; then the texts are compared exactly. Bands follow from the number of rows (band_shape).
     """
+    bands, width = band_shape(rows.count())
     rows = spread(rows.where("text is not null"))
     kept = [f for f in rows.schema if f.name != "text"]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
@@ -221,7 +233,7 @@ def near_classes(
 
 def near_duplicate_pairs(df: DataFrame, id_col: str = "email_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
     """All pairs (a, b) of ids, a < b, with a similarity of at least `least` that are not copies of each other (records)."""
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     members, pairs = near_classes(rows, least)
     members = cut(members.select("id", F.struct("r1", "r2").alias("root"), "class"), "members")
     nodes = members.select("class", "root").distinct()  # rows of a node are copies of each other
