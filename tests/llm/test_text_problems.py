@@ -83,16 +83,37 @@ def test_items_operator_and_surrogates(spark):
     assert again[0] != made[0] and personal.items(df.limit(0)).count() == personal.pseudonymised(df.limit(0), "k").count() == 0
 
 
+def _surrogates():
+    return personal.Surrogates(b"k", personal.FEMALE, personal.MALE)
+
+
 def test_surrogates_keep_type_and_coreference():
-    f, s = personal.Finder(), personal.Surrogates(b"k")
-    text = "Hi Frida,\n\nAsk for Frida Qasto or call +44 20 7946 0224, again +44 20 7946 0224. Ask for Felix Qasto."
-    made = s.replace(text, f.find(text))
+    f, s = personal.Finder(), _surrogates()
+    text = "Hi Frida,\n\nAsk for Frida Qasto or call +44 20 7946 0224, again +442079460224. Ask for Felix Qasto."
+    made = personal.replaced(text, f.find(text), s)
     first, full, other = re.findall(r"\[NAME ([^\]]+)\]", made)
     assert full.startswith(first) and first in personal.FEMALE and other.split()[0] in personal.MALE and other.split()[1] == full.split()[1]
     a, b = re.findall(r"\[PHONE ([^\]]+)\]", made)
-    assert a == b and re.fullmatch(r"\+44 \d\d \d{4} \d{4}", a)
-    many = " ".join(f"Call 020 7946 {i:04d}." for i in range(500))
-    assert len(set(re.findall(r"\[PHONE ([^\]]+)\]", s.replace(many, f.find(many))))) == 500
+    assert re.fullmatch(r"\+44 \d\d \d{4} \d{4}", a) and a.replace(" ", "") == b
+    one = lambda kind, value: s.one(kind, value, personal._KEPT)
+    assert one("PHONE", "+353 1 555 0143").startswith("+353 ") and one("PHONE", "+1 215 555 0143").startswith("+1 ")
+    assert one("ADDRESS", "Mühlweg 30").split()[0].endswith("weg") and one("ADDRESS", "138 Old Tannery Lane").endswith(" Lane")
+    assert one("NAME", "ivo van Kineth") == one("NAME", "Ivo van KINETH").replace(one("NAME", "Ivo"), one("NAME", "ivo")).replace(one("NAME", "KINETH"), one("NAME", "Kineth"))
+    for word in ("Иванов", "Παπαδόπουλος", "田中", "כהן", "محمد", "Müller", "Nguyễn"):
+        made = one("NAME", word)
+        script = next(k for k in personal.surrogates._SCRIPTS.values() if k.match(word))
+        assert made != word and script.match(made) and made[:1].isupper() == word[:1].isupper()
+
+
+@pytest.mark.parametrize("kind, shape", [("NAME", "{w} {v}"), ("NAME", "{w}"), ("EMAIL", "{w}.{v}@{v}{n}.example"), ("PHONE", "+44 20 {n:04d} {m:04d}"), ("ID", "AB{n:04d}{m:03d}C"), ("ADDRESS", "{n} {w} Lane")])
+def test_no_two_of_many_values_share_a_surrogate(kind, shape):
+    rng, s = random.Random(5), _surrogates()
+    letters = "abcdefghijklmnopqrstuvwxyzéüñ"
+    word = lambda: "".join(rng.choice(letters) for _ in range(rng.randrange(2, 9))).capitalize()
+    values = {shape.format(w=word(), v=word(), n=rng.randrange(1, 10_000), m=rng.randrange(1000)) for _ in range(20_000)} | ({*personal.FEMALE, *personal.MALE} if shape == "{w}" else set())
+    canonical = {v.lower() for v in values}
+    made = {v: s.one(kind, v, personal._KEPT).lower() for v in canonical}
+    assert len(set(made.values())) == len(canonical) and all(k != v for k, v in made.items())
 
 
 # -- encodings --
