@@ -368,3 +368,41 @@ def test_signs_and_scripts_come_back(text):
 @pytest.mark.parametrize("text", ["“LE CAFÉ” opens", "hon gick på…” och sa", "CAFÈ™ is a brand"])
 def test_letters_before_signs_stay(text):
     assert encoding.repair(text) == (text, False)
+
+
+# -- names learned from context --
+
+UNKNOWN = ["Thandiwe", "Priyanka", "Takeshi", "Siobhan", "Olumide", "Hiroshi", "Aisha", "Ngozi", "Xiaoming", "Barack"]
+
+
+def _letters(rng, n, given):
+    """Texts around names; given names of the list `given`."""
+    family = lambda: "".join(rng.choice(["bre", "ska", "tol", "vik", "mun", "gra", "zei", "lo"]) for _ in range(3)).capitalize()
+    frames = ["Please ask for {} at our desk.", "The report by {} was sent on Monday.", "We spoke to {} about the bill.", "Kind regards,\n{}", "Hello {},\n\nyour parcel is here.", "Yesterday {} called us."]
+    orgs = ["the Marlowe Stores closed", "at Everquay Bank they told us", "the desk of Corviden Travel wrote"]
+    out = []
+    for _ in range(n):
+        name = f"{rng.choice(given)} {family()}"
+        out.append((f"We wrote in May to say that {rng.choice(orgs)} and the bank, the stores and the travel desk agreed. " + rng.choice(frames).format(name), name))
+    return out
+
+
+def test_names_outside_the_lists_are_learned():
+    rng = random.Random(4)
+    known, hidden = _letters(rng, 900, personal.FEMALE + personal.MALE), _letters(rng, 200, UNKNOWN)
+    sample = [t for t, _ in known + hidden[:60]]
+    model = personal.names.fit(sample, personal.Finder().find, personal.names.vocabulary())
+    plain, finder = personal.Finder(), personal.Finder(model=model)
+    found = lambda f, rows: sum(name in {t[a:b] for a, b, k in f.find(t) if k == "NAME"} for t, name in rows)
+    assert found(plain, hidden[60:]) < 20 and found(finder, hidden[60:]) >= 0.9 * 140
+    assert found(finder, known) >= found(plain, known)
+    wrong = [t[a:b] for t, name in known + hidden for a, b, k in finder.find(t) if k == "NAME" and t[a:b] != name]
+    assert len(wrong) <= 0.01 * 1100, wrong[:10]
+
+
+def test_a_model_of_nothing_finds_nothing(spark):
+    for texts in ([], ["no names here"], ["Ask for Thandiwe Nkosi today."]):
+        model = personal.names.fit(texts, personal.Finder().find, set())
+        assert model.names("Ask for Thandiwe Nkosi today.", []) == [] and model.given == []
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(HOSTILE)], "email_id long, text string")
+    assert personal.name_model(df).given == [] and personal.name_model(df.limit(0)).given == []
