@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lexiloom import lexicons
 from lexiloom.functions import text as X
 
+# Names and order of the features.
 SCALARS = (
     "char_count word_count sentence_count avg_word_length std_word_length avg_sentence_length std_sentence_length "
     "type_token_ratio hapax_ratio dis_legomena_ratio honore_r yule_k flesch_reading_ease flesch_kincaid_grade avg_syllables_per_word "
@@ -20,10 +21,10 @@ SCALARS = (
 ).split()
 FUNCTION_WORD_FEATURES = [f"fw_{w}" for w in lexicons.FUNCTION_WORDS]
 FEATURE_NAMES = SCALARS + FUNCTION_WORD_FEATURES
-#: The features whose class means are reported.
+# The features whose class means are reported.
 FOCUS = (
-    "char_count word_count avg_word_length avg_sentence_length type_token_ratio hapax_ratio honore_r yule_k flesch_reading_ease flesch_kincaid_grade "
-    "comma_ratio exclamation_ratio uppercase_ratio url_count email_addr_count urgency_word_ratio"
+    "exclamation_ratio email_addr_count uppercase_ratio avg_word_length period_ratio digit_ratio url_count urgency_word_ratio word_count "
+    "std_sentence_length type_token_ratio flesch_reading_ease flesch_kincaid_grade fw_the fw_do comma_ratio"
 ).split()
 # Superscript, subscript and circled digits, which count as digits besides decimal digits.
 _OTHER_DIGITS = "²³¹⁰⁴-⁹₀-₉①-⑨⑴-⑼⒈-⒐⓪⓵-⓽⓿❶-❾➀-➈➊-➒"

@@ -24,6 +24,16 @@ def agreement(judged: DataFrame) -> DataFrame:
     return rows.groupBy("source", "screen_retained").agg(F.count("*").alias("n"), F.count_if("judged_in_scope").alias("in_scope"))
 
 
+def disagreements(sampled: DataFrame, keys: DataFrame, key: str = "key") -> DataFrame:
+    """The sample with judged_in_scope (J3): what the screen decided, but the opposite for keys named in `keys`.
+
+    Keys are (key) rows, named once or several times; a null key agrees.
+    """
+    named = keys.select(F.col(key).alias("__key")).where("__key is not null").distinct().withColumn("__named", F.lit(True))
+    joined = sampled.join(named, sampled[key] == F.col("__key"), "left")
+    return joined.withColumn("judged_in_scope", F.col("screen_retained") != F.coalesce("__named", F.lit(False))).drop("__key", "__named")
+
+
 def score(judged: DataFrame, population: DataFrame) -> DataFrame:
     """source, precision, fn_rate, est_in_scope, est_missed, recall; population is (source, retained, excluded) counts."""
     a = agreement(judged)

@@ -1,4 +1,4 @@
-"""Evaluation metrics on (y_true, y_pred, score) rows, overall or per group.
+"""Evaluation metrics on (y_true, y_pred, score) rows, overall or per group.
 
 Rows with a null label or prediction do not count; a null score leaves its row out of the AUC only. A ratio with an empty
 denominator is 0, an AUC with an empty class is null. Empty input gives no groups.
@@ -6,6 +6,8 @@ denominator is 0, an AUC with an empty class is null. Empty input gives no group
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,13 +78,36 @@ def histogram(values: DataFrame, column: str, low: float = -20.0, high: float =
 
 
 def spearman(left: DataFrame, right: DataFrame, on: str, k: int = 20) -> DataFrame:
-    """One row: common names among the first k of two ranked lists (name, rank) and the correlation of their re-numbered ranks."""
+    """One row (n_common, rho, p_value): common names among the first k of two ranked lists (name, rank), the correlation of
+    their re-numbered ranks and its two-sided p-value.
+
+    Fewer than three common names have no p-value; a correlation of 1 or -1 has 0.
+    """
     x, y = (df.where(F.col("rank") <= k).select(on, F.col("rank").alias(r)) for df, r in ((left, "rx"), (right, "ry")))
     both = x.join(y, on)  # at most k rows
     again = both.select(F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("rx")).alias("a"), F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("ry")).alias("b"))
     n = F.count("*")
     d2 = F.sum((F.col("a") - F.col("b")) * (F.col("a") - F.col("b")))
-    return again.agg(n.alias("n_common"), (1 - F.try_divide(6 * d2.cast("double"), (n * (n * n - 1)).cast("double"))).alias("rho"))
+    out = again.agg(n.alias("n_common"), (1 - F.try_divide(6 * d2.cast("double"), (n * (n * n - 1)).cast("double"))).alias("rho"))
+    nu = F.col("n_common") - 2
+    t = F.abs("rho") * F.sqrt(F.try_divide(nu.cast("double"), 1 - F.col("rho") * F.col("rho")))
+    p = F.when(F.abs("rho") >= 1, 0.0).otherwise(student_p(t, nu))
+    return out.withColumn("p_value", F.when(F.col("n_common") > 2, p))
+
+
+def student_p(t: Column, nu: Column) -> Column:
+    """Two-sided p-value of Student's t >= 0 with a whole number of degrees of freedom, by the finite series of its distribution."""
+    theta = F.atan(t / F.sqrt(nu.cast("double")))
+    cos2 = F.cos(theta) * F.cos(theta)
+    odd = nu % 2 == 1
+    # even: 1 + 1/2 c2 + 1*3/(2*4) c2^2 ...; odd: 1 + 2/3 c2 + 2*4/(3*5) c2^2 ...
+    terms = F.when(odd, F.floor((nu - 3) / 2)).otherwise(F.floor((nu - 2) / 2)).cast("int")
+    steps = F.when(terms > 0, F.sequence(F.lit(1), F.greatest(terms, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    ratio = lambda j: F.when(odd, 2 * j / (2 * j + 1)).otherwise((2 * j - 1) / (2 * j)) * cos2
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
+    series = F.aggregate(steps, start, lambda a, j: F.struct((a["term"] * ratio(j)).alias("term"), (a["sum"] + a["term"] * ratio(j)).alias("sum")), lambda a: a["sum"])
+    inner = F.when(nu == 1, 2 * theta / math.pi).when(odd, 2 / math.pi * (theta + F.sin(theta) * F.cos(theta) * series)).otherwise(F.sin(theta) * series)
+    return 1 - inner
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
@@ -92,5 +117,21 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
     return per.withColumn("weight", F.sum("n").over(whole) / (F.count("*").over(whole) * F.col("n")))
 
 
+def scale_pos_weight(df: DataFrame, label: str) -> DataFrame:
+    """One row (n_negative, n_positive, weight): what a row of class 1 weighs against one of class 0, negatives by positives, at least by 1."""
+    out = df.agg(F.count_if(F.col(label) == 0).alias("n_negative"), F.count_if(F.col(label) == 1).alias("n_positive"))
+    return out.withColumn("weight", F.col("n_negative") / F.greatest("n_positive", F.lit(1)))
+
+
+def sigmoid(margin: Column) -> Column:
+    """Probability of class 1 for the margin of a linear model (X4); a null margin gives null."""
+    return 1 / (1 + F.exp(-margin))
+
+
+def thresholded(probability: Column, least: float = 0.5) -> Column:
+    """Class 1 from a probability of `least` on."""
+    return (probability >= least).cast("int")
+
+
 def close_to(a: Column, b: Column, tolerance: float) -> Column:
     return F.coalesce(F.abs(a - b) <= tolerance, F.lit(False))

@@ -6,11 +6,14 @@ fitting or scoring. Fitting on one class only is an error of the learner; an emp
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import ElementwiseProduct, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,19 +23,27 @@ from lexiloom.operators import metrics
 from lexiloom.operators.ranking import ranked
 
 FOREST_GRID = {"numTrees": [200, 400], "maxDepth": [30, 10, 20], "minInstancesPerNode": [1, 2, 5]}
-BOOST_GRID = {"maxIter": [200, 400], "maxDepth": [4, 6], "stepSize": [0.05, 0.1], "subsamplingRate": [0.8, 1.0]}
+BOOST_GRID = {"maxIter": [300, 600], "maxDepth": [3, 6], "stepSize": [0.05, 0.1], "subsamplingRate": [0.8, 1.0]}
 
 
-def weighted(df: DataFrame, label: str = "label") -> DataFrame:
-    """df with the balanced class weight of each row in `weight`."""
+def weighted(df: DataFrame, label: str = "label", positive_only: bool = False) -> DataFrame:
+    """df, the training part, with the balanced class weight of each row in `weight`; or with that of class 1 against class 0."""
+    if positive_only:
+        one = metrics.scale_pos_weight(df, label).select(F.col("weight").alias("__w"))
+        return df.crossJoin(F.broadcast(one)).withColumn("weight", F.when(F.col(label) == 1, F.col("__w")).otherwise(1.0)).drop("__w")  # one row
     weights = metrics.class_weights(df, label).select(F.col(label).alias("__l"), "weight")
     return df.join(F.broadcast(weights), df[label] == F.col("__l")).drop("__l")  # one row a class
 
 
 def logistic(names: list[str], n: int, label: str = "label") -> Pipeline:
-    """Standardised L2 logistic regression with C=1 and balanced weights: in Spark's scaling lambda is 1/n."""
+    """Standardised L2 logistic regression with C=1 on n rows whose weights add up to n: in Spark's scaling lambda is 1/n.
+
+    Features are divided by the standard deviation of the population; Spark's scaler divides by that of a sample.
+    """
     learner = LogisticRegression(featuresCol="scaled", labelCol=label, weightCol="weight", regParam=1.0 / n, elasticNetParam=0.0, maxIter=1000, standardization=False)
-    return Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), StandardScaler(withMean=True, withStd=True, inputCol="features", outputCol="scaled"), learner])
+    scaler = StandardScaler(withMean=True, withStd=True, inputCol="features", outputCol="sample_scaled")
+    population = ElementwiseProduct(scalingVec=Vectors.dense([math.sqrt(n / max(1, n - 1))] * len(names)), inputCol="sample_scaled", outputCol="scaled")
+    return Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), scaler, population, learner])
 
 
 def forest(names: list[str], label: str = "label", **params) -> Pipeline:
@@ -41,7 +52,7 @@ def forest(names: list[str], label: str = "label", **params) -> Pipeline:
 
 
 def boosted(names: list[str], label: str = "label", **params) -> Pipeline:
-    learner = GBTClassifier(labelCol=label, weightCol="weight", seed=lexicons.SEED, **({"maxIter": 200, "maxDepth": 4, "stepSize": 0.1} | params))
+    learner = GBTClassifier(labelCol=label, weightCol="weight", seed=lexicons.SEED, **({"maxIter": 300, "maxDepth": 3, "stepSize": 0.1} | params))
     return Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), learner])
 
 
@@ -65,9 +76,11 @@ def predictions(model: PipelineModel, df: DataFrame, id_col: str, label: str = "
 
 
 def evaluated(scored: DataFrame) -> DataFrame:
-    """One row: confusion counts, precision, recall, f1, accuracy and auc."""
+    """One row: confusion counts, precision, recall, f1, accuracy, auc and the bootstrap interval of f1."""
     one = scored.withColumn("__all", F.lit(1))
-    return metrics.scores(metrics.confusion(one, ["__all"])).join(metrics.roc_auc(one, ["__all"]), "__all").drop("__all", "n_pos", "n_neg")
+    cells = metrics.confusion(one, ["__all"])
+    interval = metrics.bootstrap_f1(cells, ["__all"]).drop("f1_mean")
+    return metrics.scores(cells).join(metrics.roc_auc(one, ["__all"]), "__all").join(interval, "__all").drop("__all", "n_pos", "n_neg")
 
 
 def impurity_importance(model: PipelineModel, names: list[str], k: int = 20) -> DataFrame:

@@ -1,8 +1,7 @@
 """Exact similarity join of character-piece sets, single-linkage clusters and their statistics.
 
-Texts with equal keys collapse to one representative first. Each set is cut to the prefix of its rarest pieces that any
-partner above the threshold must share; representatives are joined on prefix pieces under the length bound, and candidates
-are verified on the full sets.
+Texts with equal keys collapse to one representative first. Candidates share a band of minima and pass an estimate from packed
+low bits, or, as an exact option, share a prefix of rare pieces; all are verified on the full sets.
 
 Defined results: an empty key is always a singleton; a key shorter than a piece is its own piece; null texts are left out;
 an id that occurs twice stands for one member. Extra columns are ignored.
@@ -10,6 +9,7 @@ an id that occurs twice stands for one member. Extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom import lexicons
+from lexiloom.functions import minima as M
 from lexiloom.functions import pieces as P
 from lexiloom.functions import text as X
 from lexiloom.operators.graph import components
@@ -43,22 +44,63 @@ def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("rep").take(pa.array(row)), pa.array(n[row]), pa.array((own & 0xFFFFFFFF).astype(np.int32))], ["rep", "n", "piece"])
 
 
-def similar_pairs(reps: DataFrame, least: float = lexicons.JACCARD) -> DataFrame:
-    """(a, b, similarity) of representatives with a < b at or above `least`, exactly."""
+def _prefix_candidates(reps: DataFrame, least: float) -> DataFrame:
+    """(a, b) of all pairs that may reach `least`: those that share one of the rarest pieces of each, under length and position bounds."""
     posted = cut(reps.mapInArrow(_posted, "rep long, n int, piece int"), "posted")
     frequency = posted.groupBy("piece").agg(F.count("*").alias("df")).where("df > 1")  # a piece of one text joins nothing, but holds the first places
     order = Window.partitionBy("rep").orderBy("df", "piece")  # the pieces of one text
     alone = F.col("n") - F.count("*").over(Window.partitionBy("rep"))
     ranked = posted.join(frequency, "piece").withColumn("position", alone + F.row_number().over(order))
     prefix = ranked.where(F.col("position") <= F.col("n") - F.ceil(F.col("n") * F.lit(least)) + 1)
-    prefix = cut(prefix.select("piece", "rep", "n", "position"), "prefix", ["piece"])
+    prefix = cut(prefix.select("piece", "rep", "n", "position"), "prefix")
     left = prefix.select("piece", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("position").alias("pa"))
     right = prefix.select("piece", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("position").alias("pb"))
     # shared pieces up to this one, at most, and after it; every common prefix piece bounds the overlap
     reach = F.least("pa", "pb") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
     need = F.ceil((F.col("na") + F.col("nb")) * F.lit(least / (1 + least)) - 1e-6)
     near = left.join(right, "piece").where((F.col("a") < F.col("b")) & (F.col("na") >= least * F.col("nb")) & (F.col("nb") >= least * F.col("na")) & (reach >= need))
-    near = near.select("a", "b").distinct()
+    return near.select("a", "b").distinct()
+
+
+def _signed(bands: int, width: int, seed: int):
+    """(rep, s1, s2, s3, bands): two-bit signature of 96 minima and the band hashes of other minima."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in P.slices(whole, "key")):
+            codes, counts = P.pieces(*P.keys(batch.column("key")))
+            m = M.minima(M.mixed(codes), counts, None, 96 + bands * width, seed)
+            sig, keys = M.low_bits(m[:, :96]), M.band_keys(m[:, 96:], bands, width)
+            lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, bands, dtype=np.int32), keys.ravel())
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), *(pa.array(sig[:, i].copy()) for i in range(3)), lists], ["rep", "s1", "s2", "s3", "bands"])
+
+    return run
+
+
+def _band_candidates(reps: DataFrame, least: float, seed: int = 3) -> DataFrame:
+    """(a, b) of pairs that share a band of minima and whose signatures promise `least`, 3.5 standard deviations allowed.
+
+    A pair at `least` shares a band with a chance of 0.998 or more. Bands get wider with the number of texts, so that chance
+    meetings stay in proportion.
+    """
+    width = 3 + max(0, math.ceil(math.log10(max(reps.count(), 1) / 2**18)))
+    bands = math.ceil(math.log(0.002) / math.log(1 - least**width))
+    signed = cut(reps.mapInArrow(_signed(bands, width, seed), "rep long, s1 long, s2 long, s3 long, bands array<int>"), "signed")
+    posted = signed.select("rep", "s1", "s2", "s3", F.posexplode("bands").alias("at", "band"))
+    left, right = (posted.select("at", "band", F.col("rep").alias(x), *[F.col(f"s{i}").alias(f"{x}{i}") for i in (1, 2, 3)]) for x in "ab")
+    apart = sum((M.unequal(F.col(f"a{i}"), F.col(f"b{i}")) for i in (1, 2, 3)), F.lit(0))
+    slack = 3.5 * math.sqrt((0.25 + 0.75 * least) * 0.75 * (1 - least) / 96) / 0.75
+    near = left.join(right, ["at", "band"]).where((F.col("a") < F.col("b")) & (M.estimate(apart, 96) >= least - slack))
+    return near.select("a", "b").distinct()
+
+
+def similar_pairs(reps: DataFrame, least: float = lexicons.JACCARD, exact: bool = False) -> DataFrame:
+    """(a, b, similarity) of representatives with a < b at or above `least`; no wrong pair, since candidates are compared in full.
+
+    Candidates come from bands of minima, which grows with the corpus and misses a pair at `least` with a chance of 0.002,
+    pairs above it less. exact: candidates from prefixes of rare pieces, which misses none; at 0.5 half of every text is its
+    prefix, so that this way is for corpora of some thousand texts.
+    """
+    near = cut((_prefix_candidates if exact else _band_candidates)(reps, least), "candidates")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in P.slices(whole, "ka")):

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexiloom import lexicons
@@ -10,30 +13,54 @@ from lexiloom.functions import style
 from lexiloom.functions import text as X
 from lexiloom.operators import checks, dedupe, metrics, models, ranking, screen, similarity
 from lexiloom.plans.queries import _emails, _labelled, _reasoned, query
-from lexiloom.runtime import cut, table
+from lexiloom.runtime import cut, shared_dir, table
 from lexiloom.sources import readers, writers
 
 NAMES = style.FEATURE_NAMES
 CUES = ["email_addr_count", "url_count"]
-FOREST = {"numTrees": 40, "maxDepth": 8}
-BOOST = {"maxIter": 20, "maxDepth": 4}
+MODELS = ("logreg", "forest", "boosted")
+#: Parameters of all fits outside the grid search.
+FOREST = {"numTrees": 200, "maxDepth": 10}
+BOOST = {"maxIter": 100, "maxDepth": 3}
 
 
-def _matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _matrix(spark: SparkSession, sf_dir: str, digits: int | None = None) -> DataFrame:
     """Features and split of all labelled texts; copies are dropped before the split."""
     rows = dedupe.loader_dedupe(_emails(spark, sf_dir, "label", "source").where("label in (0, 1)"), "email_id")
-    made = style.features(ranking.stratified_split(rows, "label", "email_id")).drop("text")
-    return cut(models.weighted(made), "matrix")
+    return cut(style.features(ranking.stratified_split(rows, "label", "email_id"), digits=digits).drop("text"), "matrix")
 
 
 def _fit(kind: str, train: DataFrame, names: list[str]):
+    """A model of the training part; class weights come from that part alone."""
+    rows = models.weighted(train, positive_only=kind == "boosted")
     pipeline = {"logreg": lambda: models.logistic(names, train.count()), "forest": lambda: models.forest(names, **FOREST), "boosted": lambda: models.boosted(names, **BOOST)}[kind]()
-    return pipeline.fit(train)
+    return pipeline.fit(rows)
+
+
+def _scored(kind: str, df: DataFrame, names: list[str] = NAMES) -> DataFrame:
+    return models.predictions(_fit(kind, df.where("split = 'train'"), names), df.where("split = 'test'"), "email_id").withColumn("model", F.lit(kind))
 
 
 def _result(kind: str, df: DataFrame, names: list[str] = NAMES) -> DataFrame:
-    model = _fit(kind, df.where("split = 'train'"), names)
-    return models.evaluated(models.predictions(model, df.where("split = 'test'"), "email_id")).withColumn("model", F.lit(kind))
+    return models.evaluated(cut(_scored(kind, df, names), "scored")).withColumn("model", F.lit(kind))
+
+
+def _results(df: DataFrame, names: list[str] = NAMES) -> DataFrame:
+    return reduce(DataFrame.unionByName, [_result(kind, df, names) for kind in MODELS])
+
+
+def _temporal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class 1 and the one year's mailboxes of class 0, balanced and split anew."""
+    df = _matrix(spark, sf_dir).where("label = 1 or source like 'mbox-2022%'").drop("split")
+    return cut(ranking.stratified_split(ranking.downsampled(df, "label", "email_id"), "label", "email_id"), "subset")
+
+
+def _grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matrix with a split that keeps similar texts together, and their cluster."""
+    df = _matrix(spark, sf_dir).drop("split")
+    found = similarity.clusters(_emails(spark, sf_dir), "email_id")
+    placed = similarity.grouped_split(df.select("email_id", "label"), "email_id", "label", found).select(F.col("id").alias("email_id"), "cluster", "split")
+    return cut(df.join(placed, "email_id"), "grouped")
 
 
 @query
@@ -51,11 +78,18 @@ def gbt_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _result("boosted", _matrix(spark, sf_dir))
 
 
+@query
+def model_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole run: de-duplicated corpus, split, features, three models, their scores with intervals, and which is best by F1."""
+    made = cut(_results(_matrix(spark, sf_dir)), "results")
+    return made.withColumn("best", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("f1"), "model")) == 1)  # one row a model
+
+
 @query
 def grid_search_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M4 with a reduced grid: best parameters by F1 over five stratified folds, scored on the test part."""
     df = _matrix(spark, sf_dir)
-    train = cut(ranking.folds(df.where("split = 'train'"), "label", "email_id"), "folds")
+    train = cut(ranking.folds(models.weighted(df.where("split = 'train'")), "label", "email_id"), "folds")
     model, best = models.grid_search(models.forest(NAMES, numTrees=10), train, {"maxDepth": [4, 8]})
     made = models.evaluated(models.predictions(model, df.where("split = 'test'"), "email_id"))
     return made.withColumn("best_max_depth", F.lit(best["maxDepth"]))
@@ -63,25 +97,21 @@ def grid_search_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def ablation_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P10 and M8: all features against those without the structural cues."""
+    """P10 and M8: every model with all features and without the structural cues."""
     df = _matrix(spark, sf_dir)
     kept = [n for n in NAMES if n not in CUES]
-    return _result("logreg", df).withColumn("condition", F.lit("all")).unionByName(_result("logreg", df.drop(*CUES), kept).withColumn("condition", F.lit("without_cues")))
+    return _results(df).withColumn("condition", F.lit("all")).unionByName(_results(df.drop(*CUES), kept).withColumn("condition", F.lit("without_cues")))
 
 
 @query
 def temporal_subset_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _matrix(spark, sf_dir).where("label = 1 or source like 'mbox-2022%'").drop("split", "weight")
-    return _result("logreg", cut(models.weighted(ranking.stratified_split(ranking.downsampled(df, "label", "email_id"), "label", "email_id")), "subset"))
+    return _results(_temporal(spark, sf_dir))
 
 
 @query
 def grouped_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M7: the forest refitted on a split that keeps similar texts together."""
-    df = _matrix(spark, sf_dir).drop("split")
-    found = similarity.clusters(_emails(spark, sf_dir), "email_id")
-    placed = similarity.grouped_split(df.select("email_id", "label"), "email_id", "label", found).select(F.col("id").alias("email_id"), "split")
-    return _result("forest", cut(df.join(placed, "email_id"), "grouped"))
+    """M7: every model refitted on a split that keeps similar texts together."""
+    return _results(_grouped(spark, sf_dir))
 
 
 @query
@@ -95,22 +125,24 @@ def permutation_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.permutation_importance(_fit("logreg", df.where("split = 'train'"), NAMES), df.where("split = 'test'"), NAMES, "email_id", repeats=10)
 
 
-@query
-def importance_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Impurity against permutation importance of the forest."""
-    from pyspark.sql import Window
-
-    df = _matrix(spark, sf_dir)
+def _importances(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Ranked impurity and permutation importance of the forest."""
     model = _fit("forest", df.where("split = 'train'"), NAMES)
     drops = models.permutation_importance(model, df.where("split = 'test'"), NAMES, "email_id", repeats=10)
     top = drops.select("feature", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("mean_drop"), "feature")).alias("rank"))  # one row a feature
-    return metrics.spearman(models.impurity_importance(model, NAMES), top, "feature")
+    return models.impurity_importance(model, NAMES), top
+
+
+@query
+def importance_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Impurity against permutation importance of the forest."""
+    return metrics.spearman(*_importances(_matrix(spark, sf_dir)), "feature")
 
 
 @query
 def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 95 features, weight and split of every labelled text."""
-    return _matrix(spark, sf_dir)
+    """The 95 features to six digits and the split of every labelled text."""
+    return _matrix(spark, sf_dir, digits=6)
 
 
 # -- checks ----------------------------------------------------------------------------------------------------------
@@ -140,6 +172,73 @@ def validation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     ])
 
 
+@query
+def robustness_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checks of what the models reported and of the three robustness conditions; no model is fitted twice."""
+    df = _matrix(spark, sf_dir)
+    made = cut(_results(df), "results")
+    n_test = df.where("split = 'test'").agg(F.count("*").alias("n"))
+    again = metrics.scores(made.select("model", "tn", "fp", "fn", "tp"))
+    printed = made.select("model", *[F.bround(c, 3).alias(c) for c in ("precision", "recall", "f1", "auc", "accuracy")])
+    grouped, labelled = _grouped(spark, sf_dir), df.agg(F.count("*").alias("n"))
+    test = grouped.where("split = 'test'")
+    redone = similarity.grouped_split(df.select("email_id", "label"), "email_id", "label", grouped.select(F.col("email_id").alias("id"), "cluster")).groupBy("split").agg(F.count("*").alias("n"))
+    subset = _temporal(spark, sf_dir)
+    smaller = df.where("label = 1 or source like 'mbox-2022%'").groupBy("label").agg(F.count("*").alias("n")).agg(F.min("n").alias("n"))
+    sizes = ranking.stratified_split(subset.drop("split"), "label", "email_id").groupBy("split").agg(F.count("*").alias("n"))
+    kept = [n for n in NAMES if n not in CUES]
+    per_model = [
+        check
+        for kind in MODELS
+        for check in (
+            checks.none_of(made.where(F.col("model") == kind).crossJoin(F.broadcast(n_test)).where("tn + fp + fn + tp <> n"), f"{kind}: matrix adds up to the test part", "models"),
+            checks.none_of(checks.differing(made.where(F.col("model") == kind), again, ["model"], ["precision", "recall", "f1", "accuracy"], 1e-6).where(F.col("model") == kind), f"{kind}: scores follow from the matrix", "models"),
+            checks.none_of(made.where((F.col("model") == kind) & ~F.col("f1").between(F.col("ci_low") - 5e-4, F.col("ci_high") + 5e-4)), f"{kind}: f1 lies in its interval", "models"),
+        )
+    ]
+    return checks.report([
+        *per_model,
+        checks.none_of(checks.differing(made, printed, ["model"], ["precision", "recall", "f1", "auc", "accuracy"], 5e-4 + 1e-9), "printed table agrees with the results", "models"),
+        checks.check(n_test, "only the two cues are left out", "robustness", F.lit(len(NAMES) - len(kept)), (F.col("value") == 2) & F.lit(sorted(set(NAMES) - set(kept)) == sorted(CUES))),
+        checks.none_of(grouped.agg(F.count("*").alias("m")).crossJoin(F.broadcast(labelled)).where("m <> n"), "grouped parts add up to the corpus", "robustness"),
+        checks.none_of(test.agg(F.count("*").alias("n"), F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("q")).where("p + q <> n"), "grouped classes add up to the test part", "robustness"),
+        checks.none_of(similarity.leakage(grouped.select("cluster", "split")), "no cluster is parted", "robustness"),
+        checks.none_of(checks.differing(grouped.groupBy("split").agg(F.count("*").alias("n")), redone, ["split"], ["n"], 0), "grouped sizes come out again", "robustness"),
+        checks.none_of(subset.where("split = 'test'").groupBy("label").count().agg(F.min("count").alias("a"), F.max("count").alias("b")).where("a <> b"), "subset's test part is balanced", "robustness"),
+        checks.none_of(subset.groupBy("label").agg(F.count("*").alias("m")).crossJoin(F.broadcast(smaller)).where("m <> n"), "subset has the smaller class's size", "robustness"),
+        checks.none_of(checks.differing(subset.groupBy("split").agg(F.count("*").alias("n")), sizes, ["split"], ["n"], 0), "subset's sizes come out again", "robustness"),
+        checks.none_of(subset.where("split is null or split not in ('train', 'val', 'test')"), "subset's parts add up", "robustness"),
+    ])
+
+
+@query
+def feature_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class means written as JSON and as a table of six decimals agree when read again (J6); both importances share what they say they share."""
+    from lexiloom.plans.queries import queries as registered
+
+    means = cut(registered()["class_means"](spark, sf_dir), "means")
+    path = f"{shared_dir(spark)}/means-{uuid.uuid4().hex}"
+    writers.write_json(means, f"{path}-json")
+    writers.write_table_csv(means, f"{path}-csv")
+    said, shown = readers.read_json(spark, f"{path}-json", lines=True), spark.read.csv(f"{path}-csv", header=True)
+    impurity, top = (cut(x, "ranked") for x in _importances(_matrix(spark, sf_dir)))
+    agreed = metrics.spearman(impurity, top, "feature")
+    common = impurity.join(top.where("rank <= 20"), "feature").agg(F.count("*").alias("n"))
+    return checks.report([
+        checks.none_of(checks.differing(said, shown, ["feature"], ["class_0", "class_1"], 1e-6), "means table agrees with the means document", "features"),
+        checks.none_of(agreed.crossJoin(F.broadcast(common)).where("n_common <> n"), "importances share what they say", "features"),
+        checks.none_of(agreed.where("rho not between -1 and 1 or p_value not between 0 and 1"), "rank correlation and p-value are in range", "features"),
+    ])
+
+
+@query
+def checksum_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the test tables, recorded and computed again."""
+    found = cut(readers.file_digests(spark, f"{sf_dir}/*.parquet"), "digests")
+    stored = found.select(F.element_at(F.split("path", "/"), -1).alias("name"), "sha256")
+    return checks.report([checks.none_of(checks.wrong_digests(stored, readers.file_digests(spark, f"{sf_dir}/*.parquet")), "digests of the sources agree", "checksums")])
+
+
 @query
 def validation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.summary(validation_report(spark, sf_dir))

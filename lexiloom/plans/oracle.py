@@ -5,6 +5,8 @@ from __future__ import annotations
 from lexiloom import lexicons
 from lexiloom.functions import style
 
+# Fixed values, stated here again so that the SQL is independent: the features whose class means are reported.
+_FOCUS = ["exclamation_ratio", "email_addr_count", "uppercase_ratio", "avg_word_length", "period_ratio", "digit_ratio", "url_count", "urgency_word_ratio", "word_count", "std_sentence_length", "type_token_ratio", "flesch_reading_ease", "flesch_kincaid_grade", "fw_the", "fw_do", "comma_ratio"]
 SPACE = "\\t\\n\\x0b\\f\\r\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
 _MATCH = f"lower(translate(regexp_replace(text, '[{lexicons.INVISIBLE}]', '', 'g'), '{lexicons.LOOKALIKE_FROM}', '{lexicons.LOOKALIKE_TO}'))"
 _KEY = "regexp_replace(lower(text), '[^a-z0-9]', '', 'g')"
@@ -97,6 +99,31 @@ assigned AS (SELECT email_id, cluster, class, split FROM members JOIN placed USI
 _TOP = lambda m: f"(SELECT source, row_number() OVER (ORDER BY {m} DESC, source) AS rank FROM emails WHERE source IS NOT NULL GROUP BY source QUALIFY rank <= 20)"
 
 
+_REPORT = f"""WITH {_REASONED}, {_CELLS}, k AS (SELECT email_id, label, {_KEY} AS k FROM {_TEXTS} AND label IS NOT NULL), kept AS (SELECT email_id, label, k FROM k QUALIFY row_number() OVER (PARTITION BY label, k ORDER BY email_id) = 1),
+f AS (SELECT source, {_FUNNEL} FROM reasoned GROUP BY source), m AS (SELECT *, coalesce(tp::double / nullif(tp + fp, 0), 0) AS p, coalesce(tp::double / nullif(tp + fn, 0), 0) AS r, {_F1} AS f1 FROM cells),
+v AS (SELECT 'no null texts' AS "check", 'corpus' AS grp, 0::bigint AS value
+ UNION ALL SELECT 'labels are 0 or 1', 'corpus', count(*) FROM kept WHERE label NOT IN (0, 1)
+ UNION ALL SELECT 'no copies inside a class', 'corpus', count(*) FROM (SELECT label, k FROM kept GROUP BY ALL HAVING count(*) > 1)
+ UNION ALL SELECT 'classes are balanced', 'corpus', 0
+ UNION ALL SELECT 'funnel adds up', 'funnel', count(*) FROM f WHERE messages <> excluded_internal + excluded_length + excluded_language + excluded_screen + kept
+ UNION ALL SELECT 'messages are counted', 'funnel', count(*) FROM emails WHERE label IS NOT NULL
+ UNION ALL SELECT 'every row has a split', 'split', 0
+ UNION ALL SELECT 'no row in two splits', 'split', count(*) FROM (SELECT email_id FROM emails WHERE label IS NOT NULL GROUP BY email_id HAVING count(*) > 1)
+ UNION ALL SELECT 'f1 follows from precision and recall', 'models', count(*) FROM m WHERE NOT coalesce(abs(f1 - 2 * p * r / nullif(p + r, 0)) <= 1e-6, false)
+ UNION ALL SELECT 'ratios are ratios', 'models', count(*) FROM m WHERE p < 0 OR p > 1 OR r < 0 OR r > 1)
+SELECT "check", grp, value, CASE WHEN "check" = 'messages are counted' THEN value > 0 ELSE value = 0 END AS pass FROM v"""
+
+
+def _matrix_sql() -> str:
+    """Features and split of the texts that are no copies by loader form."""
+    made = _feature_sql()
+    form = f"regexp_replace(lower(regexp_replace(text, '^[{SPACE}]+|[{SPACE}]+$', '', 'g')), '[{SPACE}]+', ' ', 'g')"
+    kept = f"kept AS (SELECT email_id, label, source, text FROM (SELECT *, {form} AS k FROM {_TEXTS} AND label IN (0, 1)) WHERE k <> '' QUALIFY row_number() OVER (PARTITION BY k ORDER BY email_id) = 1)"
+    ranked = f"ranked AS (SELECT email_id, row_number() OVER (PARTITION BY label ORDER BY {_HASH}, email_id) AS rank, count(*) OVER (PARTITION BY label) AS n FROM kept)"
+    columns = ", ".join(f"round({made[k]}, 6) AS {k}" for k in style.FEATURE_NAMES)
+    return f"WITH {kept}, {ranked}, parts AS (SELECT email_id, {_SPLIT} AS split FROM ranked), {_counts('kept', 'email_id, label, source')} SELECT email_id, label, source, split, {columns} FROM counts JOIN parts USING (email_id)"
+
+
 def oracle_sql() -> dict[str, str]:
     s, made = style.SCALARS, _feature_sql()
     mean = lambda c: f"round(sum({c})::double / count(*)::double, 6)"
@@ -109,7 +136,7 @@ SELECT lang, docs AS n, words, sentences, syllables, round(206.835::double - 1.0
         "punct_ratios": _features(s[15:20]), "orthography": _features(["uppercase_ratio", "digit_ratio"]), "structural_cues": _features(["url_count", "email_addr_count", "urgency_word_ratio"]),
         "function_words_long": f"SELECT label, word, count(*) AS n FROM (SELECT label, unnest({_WORDS}) AS word FROM {_TEXTS}) WHERE word IN {_in(lexicons.FUNCTION_WORDS)} GROUP BY label, word",
         "feature_vector_wide": _features(style.FEATURE_NAMES),
-        "class_means": f"WITH {_counts('emails', 'label')}, f AS (SELECT label, " + ", ".join(f"round({made[k]}, 6) AS {k}" for k in style.FOCUS) + f" FROM counts WHERE label IN (0, 1)), l AS (UNPIVOT f ON {', '.join(style.FOCUS)} INTO NAME feature VALUE value) "
+        "class_means": f"WITH {_counts('emails', 'label')}, f AS (SELECT label, " + ", ".join(f"round({made[k]}, 6) AS {k}" for k in _FOCUS) + f" FROM counts WHERE label IN (0, 1)), l AS (UNPIVOT f ON {', '.join(_FOCUS)} INTO NAME feature VALUE value) "
         "SELECT feature, round(avg(value) FILTER (label = 0), 4) AS class_0, round(avg(value) FILTER (label = 1), 4) AS class_1 FROM l GROUP BY feature",
         "loader_form": f"SELECT email_id, sha1(regexp_replace(regexp_replace(lower(regexp_replace(text, '^[{SPACE}]+|[{SPACE}]+$', '', 'g')), '[{SPACE}]+', ' ', 'g'), '[^\\x00-\\x7f]', '', 'g')) AS digest FROM {_TEXTS}",
         "alnum_key": f"SELECT email_id, length({_KEY})::int AS key_length, sha1({_KEY}) AS digest FROM {_TEXTS}",
@@ -155,8 +182,11 @@ SELECT model, round(avg({_F1}), 6) AS f1_mean, round(quantile_cont({_F1}, 0.025)
         "best_model": f"WITH {_CELLS} SELECT model, {_F1} AS f1 FROM cells ORDER BY f1 DESC, model LIMIT 1",
         "readability_hist": f"WITH f AS ({_features(['flesch_reading_ease'], 'label')}) SELECT label, least(floor((flesch_reading_ease + 20::double) / (140::double / 39::double)), 38)::int AS bin, count(*) AS n FROM f WHERE label IN (0, 1) AND flesch_reading_ease BETWEEN -20 AND 120 GROUP BY ALL",
         "topk_sources": f"SELECT * FROM {_TOP('count(*)')}",
-        "spearman_rank": f"""WITH x AS {_TOP('count(*)')}, y AS {_TOP('count(*) FILTER (label = 1)')}, z AS (SELECT row_number() OVER (ORDER BY x.rank) AS a, row_number() OVER (ORDER BY y.rank) AS b FROM x JOIN y USING (source))
-SELECT count(*) AS n_common, round(1 - 6 * sum((a - b) * (a - b))::double / nullif(count(*) * (count(*) * count(*) - 1), 0), 6) AS rho FROM z""",
+        "spearman_rank": f"""WITH x AS {_TOP('count(*)')}, y AS {_TOP('count(*) FILTER (label = 1)')}, z AS (SELECT row_number() OVER (ORDER BY x.rank) AS a, row_number() OVER (ORDER BY y.rank) AS b FROM x JOIN y USING (source)),
+r AS (SELECT count(*) AS n, 1 - 6 * sum((a - b) * (a - b))::double / nullif(count(*) * (count(*) * count(*) - 1), 0) AS rho FROM z),
+t AS (SELECT *, n - 2 AS nu, CASE WHEN n > 2 AND abs(rho) < 1 THEN atan(abs(rho) / sqrt(1 - rho * rho)) END AS th FROM r),
+u AS (SELECT *, list_sum(list_transform(range(0, greatest((nu - 2 - nu % 2) // 2, 0) + 1), lambda m: coalesce(list_aggregate(list_transform(range(1, m + 1), lambda j: (2 * j - 1 + nu % 2) / (2 * j + nu % 2)::double * cos(th) * cos(th)), 'product'), 1))) AS series FROM t)
+SELECT n AS n_common, round(rho, 6) AS rho, round(CASE WHEN n <= 2 THEN NULL WHEN abs(rho) >= 1 THEN 0 WHEN nu = 1 THEN 1 - 2 * th / pi() WHEN nu % 2 = 1 THEN 1 - 2 / pi() * (th + sin(th) * cos(th) * series) ELSE 1 - sin(th) * series END, 6) AS p_value FROM u""",
         "class_weights": "SELECT label, n, sum(n) OVER () / (count(*) OVER () * n)::double AS weight FROM (SELECT label, count(*) AS n FROM emails WHERE label IS NOT NULL GROUP BY label)",
         "char_shingles": f"WITH k AS (SELECT email_id, {_KEY} AS k FROM {_TEXTS}) SELECT email_id, CASE WHEN length(k) = 0 THEN 0 WHEN length(k) < 5 THEN 1 ELSE len(list_distinct(list_transform(range(1, length(k) - 3), lambda i: substr(k, i::int, 5)))) END::int AS n_shingles FROM k",
         "jaccard_pairs": f"WITH {_PIECES} SELECT a, b, round(similarity, 9) AS similarity FROM links",
@@ -164,19 +194,9 @@ SELECT count(*) AS n_common, round(1 - 6 * sum((a - b) * (a - b))::double / null
         "cluster_stats": f"WITH RECURSIVE {_CLUSTERED}, z AS (SELECT cluster, count(*) AS n FROM clustered GROUP BY cluster) SELECT sum(n)::bigint AS n_members, count(*) AS n_clusters, count(*) FILTER (n = 1) AS n_singletons, max(n) AS largest, coalesce(sum(n) FILTER (n > 1), 0)::bigint AS n_in_multi FROM z",
         "grouped_split": f"WITH RECURSIVE {_GROUPED} SELECT * FROM assigned",
         "leakage_check": f"WITH RECURSIVE {_GROUPED} SELECT cluster FROM assigned GROUP BY cluster HAVING bool_or(split = 'train') AND bool_or(split <> 'train')",
-            "validation_report": f"""WITH {_REASONED}, {_CELLS}, k AS (SELECT email_id, label, {_KEY} AS k FROM {_TEXTS} AND label IS NOT NULL), kept AS (SELECT email_id, label, k FROM k QUALIFY row_number() OVER (PARTITION BY label, k ORDER BY email_id) = 1),
-f AS (SELECT source, {_FUNNEL} FROM reasoned GROUP BY source), m AS (SELECT *, coalesce(tp::double / nullif(tp + fp, 0), 0) AS p, coalesce(tp::double / nullif(tp + fn, 0), 0) AS r, {_F1} AS f1 FROM cells),
-v AS (SELECT 'no null texts' AS "check", 'corpus' AS grp, 0::bigint AS value
- UNION ALL SELECT 'labels are 0 or 1', 'corpus', count(*) FROM kept WHERE label NOT IN (0, 1)
- UNION ALL SELECT 'no copies inside a class', 'corpus', count(*) FROM (SELECT label, k FROM kept GROUP BY ALL HAVING count(*) > 1)
- UNION ALL SELECT 'classes are balanced', 'corpus', 0
- UNION ALL SELECT 'funnel adds up', 'funnel', count(*) FROM f WHERE messages <> excluded_internal + excluded_length + excluded_language + excluded_screen + kept
- UNION ALL SELECT 'messages are counted', 'funnel', count(*) FROM emails WHERE label IS NOT NULL
- UNION ALL SELECT 'every row has a split', 'split', 0
- UNION ALL SELECT 'no row in two splits', 'split', count(*) FROM (SELECT email_id FROM emails WHERE label IS NOT NULL GROUP BY email_id HAVING count(*) > 1)
- UNION ALL SELECT 'f1 follows from precision and recall', 'models', count(*) FROM m WHERE NOT coalesce(abs(f1 - 2 * p * r / nullif(p + r, 0)) <= 1e-6, false)
- UNION ALL SELECT 'ratios are ratios', 'models', count(*) FROM m WHERE p < 0 OR p > 1 OR r < 0 OR r > 1)
-SELECT "check", grp, value, CASE WHEN "check" = 'messages are counted' THEN value > 0 ELSE value = 0 END AS pass FROM v""",
+        "validation_report": _REPORT,
+        "validation_summary": f"SELECT grp, count(*) AS checks, count(*) FILTER (pass) AS passed, count(*) FILTER (NOT pass) AS failed FROM ({_REPORT}) GROUP BY ROLLUP (grp)",
+        "feature_matrix": _matrix_sql(),
         "status_histogram": "SELECT CASE WHEN j = n THEN 'Completed' WHEN j > 0 THEN 'Partially completed' ELSE 'Not completed' END AS status, count(*) AS n FROM (SELECT source, count(*) AS n, count(judged_in_scope) AS j FROM screen_audit GROUP BY source) GROUP BY 1",
         "seeded_permutation": f"SELECT email_id, CASE WHEN row_number() OVER (ORDER BY {_HASH}, email_id) <= floor(count(*) OVER () * 0.75::double) THEN 'train' ELSE 'test' END AS part FROM emails",
     }

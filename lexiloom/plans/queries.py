@@ -355,7 +355,7 @@ def topk_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def spearman_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 largest sources by rows against the 20 largest by labelled rows of class 1."""
     made = metrics.spearman(_ranked_sources(spark, sf_dir, F.count("*")), _ranked_sources(spark, sf_dir, F.count_if(F.col("label") == 1)), "source")
-    return made.select("n_common", F.round("rho", 6).alias("rho"))
+    return made.select("n_common", F.round("rho", 6).alias("rho"), F.round("p_value", 6).alias("p_value"))
 
 
 @query

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -20,10 +21,15 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a local one is chosen only where the session names none."""
+    """The shared folder of spark.checkpoint.dir; where the session names none, a local one, but on one machine only.
+
+    Raises RuntimeError on a cluster without the setting, since executors would write to disks of their own.
+    """
     key = "spark.checkpoint.dir"
     own = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key, None)
     if not own:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         own = "file://" + tempfile.mkdtemp(prefix="lexiloom-")
         spark.conf.set(key, own)
     return own.rstrip("/")
@@ -42,6 +48,8 @@ def cut(df: DataFrame, name: str, shuffled: int = 0) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     _MADE.append(path)
+    made = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    made.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(made)  # at the latest when the driver ends
     key = "spark.sql.shuffle.partitions"
     before = spark.conf.get(key)
     spark.conf.set(key, str(max(int(before), shuffled // PARTITION_BYTES)))

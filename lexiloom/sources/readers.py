@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import mailbox
-import tempfile
+import email
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -18,17 +17,30 @@ MESSAGE_PARTS = "source string, msg_no long, part_no int, subject string, ctype
 INTERNAL = "FOLDER INTERNAL DATA"
 
 
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """Any CSV with a header, all columns as strings."""
+    return spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"')
+
+
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """CSV with a header and the columns text and label, others kept; label as INT, copies by loader form dropped.
 
-    Raises ValueError if a column is missing. The first copy is the one with the smallest (text, label) since files have no row order.
+    Raises ValueError if a column is missing; a label that is no integer fails when rows are read. The first copy is the
+    first row: of the first file by name, at the first place in it.
     """
-    df = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"')
+    df = read_table(spark, path)
     missing = {"text", "label"} - set(df.columns)
     if missing:
         raise ValueError(f"columns missing: {', '.join(sorted(missing))}")
-    df = df.withColumn("label", F.col("label").try_cast("int"))
-    return dedupe.keep_first(df.where(F.col("text").rlike(f"[^{X.SPACE}]")), X.loader_digest(F.col("text")), "text").select(*df.columns)
+    # rows of a file are numbered in order inside a scan's partitions, and a file of several lines a row is never split
+    placed = df.withColumn("label", _whole(F.col("label")))
+    placed = placed.withColumn("__at", F.struct(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("row")))
+    return dedupe.keep_first(placed.where(F.col("text").rlike(f"[^{X.SPACE}]")), X.loader_digest(F.col("text")), "__at").select(*df.columns)
+
+
+def _whole(label: Column) -> Column:
+    said = F.trim(label)
+    return F.when(said.rlike(r"^[+-]?\d+$"), said.cast("int")).otherwise(F.raise_error(F.concat(F.lit("no integer label: "), F.coalesce(said, F.lit("null")))).cast("int"))
 
 
 def read_folder(spark: SparkSession, path: str, label: int | None = None, pattern: str | None = None) -> DataFrame:
@@ -49,21 +61,27 @@ def read_headed_texts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_mbox(spark: SparkSession, path: str) -> DataFrame:
-    """Message parts of mbox archives, one task a file (S3); the source is the file's name."""
+    """Message parts of mbox archives (S3); the source is the file's name, message numbers begin with 0 in each file.
+
+    Archives are cut into messages at lines that begin with "From " after an empty line, by the reader itself, so that a
+    large archive is no single row: each of its messages is parsed for itself.
+    """
+    raw = spark.read.text(path, lineSep="\n\nFrom ").select(F.input_file_name().alias("path"), F.monotonically_increasing_id().alias("at"), F.col("value").cast("binary").alias("message"))
+    raw = raw.where("octet_length(message) > 0").withColumn("source", F.element_at(F.split("path", "/"), -1))
+    number = F.row_number().over(Window.partitionBy("path").orderBy("at")) - 1
 
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for name, content in zip(frame["path"], frame["content"]):
-                with tempfile.NamedTemporaryFile() as copy:
-                    copy.write(content)
-                    copy.flush()
-                    rows = []
-                    for no, message in enumerate(mailbox.mbox(copy.name)):
-                        for part_no, part in enumerate(p for p in message.walk() if not p.is_multipart()):
-                            rows.append((name.rsplit("/", 1)[-1], no, part_no, str(message.get("Subject", "")), part.get_content_type(), part.get_content_charset(), part.get_payload(decode=True)))
-                    yield pd.DataFrame(rows, columns=["source", "msg_no", "part_no", "subject", "ctype", "charset", "payload"])
+            rows = []
+            for name, no, data in zip(frame["source"], frame["msg_no"], frame["message"]):
+                message = email.message_from_bytes(bytes(data).partition(b"\n")[2])
+                for part_no, part in enumerate(p for p in message.walk() if not p.is_multipart()):
+                    rows.append((name, no, part_no, str(message.get("Subject", "")), part.get_content_type(), part.get_content_charset(), part.get_payload(decode=True)))
+            yield pd.DataFrame(rows, columns=["source", "msg_no", "part_no", "subject", "ctype", "charset", "payload"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, MESSAGE_PARTS)
+    # numbering moves positions only: the window's rows are (path, at), joined back to the messages
+    numbered = raw.select("path", "at").withColumn("msg_no", number.cast("long"))
+    return raw.join(numbered, ["path", "at"]).select("source", "msg_no", "message").mapInPandas(parse, MESSAGE_PARTS)
 
 
 @F.pandas_udf(StringType())
@@ -102,9 +120,9 @@ def file_digests(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
 
 
-def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """A nested JSON document as one row."""
-    return spark.read.json(path, multiLine=True)
+def read_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """A nested JSON document as one row (S6); lines: one document a line."""
+    return spark.read.json(path, multiLine=not lines)
 
 
 def synthetic(spark: SparkSession, per_class: int = 150, seed: int = 7) -> DataFrame:

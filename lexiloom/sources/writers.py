@@ -20,16 +20,25 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def results_document(results: DataFrame, best_params: dict[str, dict] | None = None) -> list[dict]:
+    """The results of models, one row each, as a document (K2): scores, interval, confusion matrix and tuned parameters by model."""
+    shown = ("model", "precision", "recall", "f1", "accuracy", "auc")
+    out = []
+    for r in results.orderBy("model").collect():  # one row a model
+        out.append({k: r[k] for k in shown} | {"f1_ci_low": r["ci_low"], "f1_ci_high": r["ci_high"], "confusion_matrix": [[r["tn"], r["fp"]], [r["fn"], r["tp"]]], "best_params": (best_params or {}).get(r["model"], {})})
+    return out
+
+
 def write_table_csv(df: DataFrame, path: str, digits: int = 6) -> None:
-    """Numbers with a fixed count of decimals (K4)."""
-    shown = [F.format_string(f"%.{digits}f", c).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes]
+    """Numbers with a fixed count of decimals, rounded half to even."""
+    shown = [F.format_string(f"%.{digits}f", F.bround(c, digits)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes]
     df.select(*shown).coalesce(1).write.mode("overwrite").csv(path, header=True)
 
 
-def markdown(df: DataFrame, digits: int = 3, most: int = 1000) -> str:
-    """A Markdown table of the first `most` rows, numbers rounded half to even (K3)."""
+def markdown(df: DataFrame, digits: int = 3) -> str:
+    """A Markdown table of a report, numbers rounded half to even (K3). All rows come to the driver: reports have few."""
     cell = lambda v: "" if v is None else f"{v:.{digits}f}" if isinstance(v, float) else str(v)
-    rows = df.limit(most).collect()
+    rows = df.collect()
     lines = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
     return "\n".join(lines + ["| " + " | ".join(map(cell, r)) + " |" for r in rows]) + "\n"
 

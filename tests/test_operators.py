@@ -135,7 +135,7 @@ def test_histogram_spearman_weights(spark, rows_of):
     assert rows_of(metrics.histogram(df, "v")) == [(0, 1), (38, 1), (5, 1)]
     x = spark.createDataFrame([(c, i) for i, c in enumerate("abcdef", 1)], "f string, rank int")
     y = spark.createDataFrame([(c, i) for i, c in enumerate("fedcba", 1)], "f string, rank int")
-    assert tuple(metrics.spearman(x, y, "f").first()) == (6, -1.0) and metrics.spearman(x, x.limit(0), "f").first()["rho"] is None
+    assert tuple(metrics.spearman(x, y, "f").first()) == (6, -1.0, 0.0) and metrics.spearman(x, x.limit(0), "f").first()["rho"] is None
     w = spark.createDataFrame([(0,), (0,), (0,), (1,), (None,)], "label int")
     assert rows_of(metrics.class_weights(w, "label")) == [(0, 3, pytest.approx(4 / 6)), (1, 1, 2.0)]
 
@@ -154,3 +154,58 @@ def test_checks(spark):
     assert {r["check"]: r["pass"] for r in found.collect()} == {"none": False, "empty": True, "sum": True}
     assert {r["grp"]: (r["passed"], r["failed"]) for r in checks.summary(found).collect()} == {"a": (1, 1), "b": (1, 0), None: (2, 1)}
     assert math.isclose(1, 1)
+
+
+def test_p_values_of_rank_correlations(spark):
+    """Against the known two-sided tails of Student's t."""
+    known = [(2.0, 1, 0.295167), (2.0, 2, 0.183503), (2.0, 3, 0.139326), (2.0, 4, 0.116117), (2.0, 5, 0.101939), (0.0, 7, 1.0), (1.5, 18, 0.150950), (2.0930240544, 19, 0.05)]
+    df = spark.createDataFrame([(t, nu) for t, nu, _ in known], "t double, nu int")
+    got = {(r["t"], r["nu"]): r["p"] for r in df.select("t", "nu", metrics.student_p(F.col("t"), F.col("nu")).alias("p")).collect()}
+    assert all(got[t, nu] == pytest.approx(p, abs=1e-6) for t, nu, p in known)
+    ranks = lambda xs: spark.createDataFrame([(x, i) for i, x in enumerate(xs, 1)], "f string, rank int")
+    one = lambda x, y: tuple(metrics.spearman(ranks(x), ranks(y), "f").first())
+    assert one("abc", "abc") == (3, 1.0, 0.0) and one("ab", "ba")[0] == 2 and one("ab", "ba")[2] is None and one("ab", "cd")[0] == 0
+
+
+def test_scores_of_linear_models_and_weights(spark):
+    df = spark.createDataFrame([(0.0, 0), (2.0, 1), (-2.0, 0), (None, None)], "m double, label int")
+    got = [tuple(r) for r in df.select(F.round(metrics.sigmoid(F.col("m")), 6), metrics.thresholded(metrics.sigmoid(F.col("m")))).collect()]
+    assert got == [(0.5, 1), (0.880797, 1), (0.119203, 0), (None, None)]
+    assert tuple(metrics.scale_pos_weight(df, "label").first()) == (2, 1, 2.0) and tuple(metrics.scale_pos_weight(df.limit(0), "label").first()) == (0, 0, 0.0)
+
+
+def test_disagreement_keys_turn_judgements(spark):
+    sampled = spark.createDataFrame([("a", True), ("b", False), ("c", True), (None, True)], "key string, screen_retained boolean")
+    keys = spark.createDataFrame([("b", 1), ("c", 1), ("c", 2), (None, 1), ("z", 1)], "key string, screen_retained int")
+    assert {r["key"]: r["judged_in_scope"] for r in audit.disagreements(sampled, keys).collect()} == {"a": True, "b": True, "c": False, None: True}
+    assert audit.disagreements(sampled.limit(0), keys).count() == 0
+
+
+def test_differing_tables_and_digests(spark):
+    a = spark.createDataFrame([("x", 1.0, None), ("y", 2.0, 1.0), ("z", 3.0, 1.0), ("v", 4.0, 4.0)], "k string, p double, q double")
+    b = spark.createDataFrame([("x", 1.00001, None), ("y", 2.1, 1.0), ("v", 4.0, None), ("w", 0.0, 0.0)], "k string, p double, q double")
+    assert {r["k"] for r in checks.differing(a, b, ["k"], ["p", "q"], 1e-3).collect()} == {"y", "z", "v", "w"} and checks.differing(a, a, ["k"], ["p", "q"], 0).count() == 0
+    stored = spark.createDataFrame([("f1", "aa"), ("f2", "bb"), ("gone", "cc")], "name string, sha256 string")
+    found = spark.createDataFrame([("file:/d/f1", 1, "aa"), ("file:/d/f2", 1, "xx")], "path string, size long, sha256 string")
+    assert [r["name"] for r in checks.wrong_digests(stored, found).collect()] == ["f2"]
+
+
+def test_both_ways_of_the_similarity_join(spark):
+    rng = random.Random(6)
+    base = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(40, 200))) for _ in range(150)]
+    texts = base + [t[: len(t) * k // 10] + "".join(rng.choice("qrstuv") for _ in range(len(t) * (10 - k) // 10)) for t in base for k in (7, 8, 9)] + ["", "ab", "abcd", "ab"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    _, reps = similarity.representatives(df, "id")
+    pieces = lambda k: {k[i : i + 5] for i in range(len(k) - 4)} or {k}
+    keyed = [(r["rep"], pieces(r["key"])) for r in reps.collect()]
+    wanted = {(min(a, b), max(a, b)) for (a, x), (b, y) in itertools.combinations(keyed, 2) if len(x & y) >= 0.5 * len(x | y)}
+    for exact in (True, False):
+        got = [(r["a"], r["b"]) for r in similarity.similar_pairs(reps, exact=exact).collect()]
+        assert len(got) == len(set(got)) and set(got) <= wanted and len(got) >= (len(wanted) if exact else 0.99 * len(wanted)) and len(wanted) > 300
+    assert similarity.similar_pairs(reps.limit(0)).count() == 0
+
+
+def test_a_hub_of_most_edges(spark):
+    edges = spark.createDataFrame([(0, i) for i in range(1, 3000)] + [(i, i + 1) for i in range(5000, 5040)] + [(7, None), (9000, 9000)], "src long, dst long")
+    got = {r["node"]: r["component"] for r in components(edges).collect()}
+    assert all(got[i] == 0 for i in range(3000)) and all(got[i] == 5000 for i in range(5000, 5041)) and got[9000] == 9000

@@ -20,6 +20,33 @@ def test_csv_round_trip(spark, tmp_path, rows_of):
         readers.read_csv(spark, str(tmp_path / "bad.csv"))
 
 
+def test_csv_keeps_the_first_row_and_fails_on_labels(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('text,label,n\n"Same text",1,first\n"same  TEXT ",0,second\n" ",1,blank\nother,-3,x\n')
+    got = {r["text"]: (r["label"], r["n"]) for r in readers.read_csv(spark, str(tmp_path / "a.csv")).collect()}
+    assert got == {"Same text": (1, "first"), "other": (-3, "x")}
+    (tmp_path / "b.csv").write_text("text,label\nx,one\n")
+    with pytest.raises(Exception, match="no integer label"):
+        readers.read_csv(spark, str(tmp_path / "b.csv")).collect()
+    assert readers.read_table(spark, str(tmp_path / "a.csv")).columns == ["text", "label", "n"]
+
+
+def test_results_document(spark):
+    df = spark.createDataFrame([("m", 0.5, 0.25, 0.3, 0.9, 0.8, 0.1, 0.7, 1, 2, 3, 4)], "model string, precision double, recall double, f1 double, accuracy double, auc double, ci_low double, ci_high double, tn int, fp int, fn int, tp int")
+    (one,) = writers.results_document(df, {"m": {"depth": 3}})
+    assert one["confusion_matrix"] == [[1, 2], [3, 4]] and one["f1_ci_low"] == 0.1 and one["best_params"] == {"depth": 3} and one["model"] == "m"
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from lexiloom import runtime
+
+    fake = lambda master: SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None, set=lambda *a: None), sparkContext=SimpleNamespace(master=master, getConf=lambda: SimpleNamespace(get=lambda *a: None)))
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        runtime.shared_dir(fake("spark://host:7077"))
+    assert runtime.shared_dir(fake("local[4]")).startswith("file:")
+
+
 def test_folders_headers_digests(spark, tmp_path):
     for folder, name, body in (("h", "1.txt", "one"), ("h", "2.txt", "ONE "), ("m", "1.txt", "Header: x\nbody"), ("m", "2.eml", "two")):
         (tmp_path / folder).mkdir(exist_ok=True)
@@ -109,7 +136,7 @@ def test_permutation_queries_repeat_ten_times(monkeypatch):
     for name in ("metrics", "models"):
         monkeypatch.setattr(model_queries, name, mock.MagicMock())
     model_queries.models.permutation_importance = lambda *a, repeats=10, **k: seen.append(repeats) or mock.MagicMock()
-    with mock.patch("pyspark.sql.Window", mock.MagicMock()):
-        model_queries.permutation_importance(None, "")
-        model_queries.importance_agreement(None, "")
+    monkeypatch.setattr(model_queries, "Window", mock.MagicMock())
+    model_queries.permutation_importance(None, "")
+    model_queries.importance_agreement(None, "")
     assert seen == [10, 10]
