@@ -7,6 +7,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 
+from lexiloom.functions.minima import band_keys, distinct, low_bits, minima, mixed  # noqa: F401
 from lexiloom.functions.pieces import DIGIT, DROP, folded_bytes, jaccard, keys, pieces, slices, text_bytes  # noqa: F401
 
 
@@ -98,60 +99,6 @@ def roots(column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     return np.frombuffer(made, np.int64).reshape(-1, 2), full, [bytes([255]).join([body, *own]) for body, own in zip(bodies, leaves)]
 
 
-def mixed(codes: np.ndarray) -> np.ndarray:
-    """A 32-bit mixing of piece codes; every fingerprint starts from it."""
-    h = codes.astype(np.uint32) + np.uint32(0x9E3779B9)
-    for shift, mul in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
-        h ^= h >> np.uint32(shift)
-        h *= np.uint32(mul)
-    return h ^ (h >> np.uint32(16))
-
-
-def distinct(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct codes (below 2^32) of each text in ascending order, and how many each text has."""
-    codes, ends = codes.astype(np.uint32), np.concatenate([[0], np.cumsum(counts)])
-    at = ends.tolist()
-    for a, b in zip(at, at[1:]):  # texts that fit the CPU's cache, sorted in place
-        codes[a:b].sort()
-    new = np.ones(len(codes), bool)
-    new[1:] = codes[1:] != codes[:-1]
-    new[ends[:-1][np.diff(ends) > 0]] = True
-    before = np.concatenate([[0], np.cumsum(new)])
-    return codes[new], np.diff(before[ends])
-
-
-def odd_multipliers(n: int, seed: int) -> np.ndarray:
-    return np.random.default_rng(seed).integers(0, 2**31, n, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-
-
-def minima(h: np.ndarray, counts: np.ndarray, scale: np.ndarray | None, n: int, seed: int, block: int = 1 << 16) -> np.ndarray:
-    """n weighted minima for each set (rows, n) as 32-bit patterns; scale is 1/weight of each element, None for equal weights.
-
-    The minimum of u/weight falls on an element with a probability in proportion to its weight, so two sets share a
-    minimum about as often as their weighted Jaccard similarity. Empty sets get zeros.
-    """
-    out = np.zeros((len(counts), n), np.float32)
-    full = np.flatnonzero(counts)
-    if not len(full):
-        return out.view(np.uint32)
-    mul, size = odd_multipliers(n, seed), counts[full]
-    ends = np.cumsum(size)
-    first = 0
-    while first < len(full):  # blocks of sets that fit the CPU's cache
-        start = ends[first] - size[first]
-        last = max(first + 1, int(np.searchsorted(ends, start + block, "right")))
-        own, at = h[start : ends[last - 1]], ends[first:last] - size[first:last] - start
-        w = None if scale is None else scale[start : ends[last - 1]]
-        rows = full[first:last]
-        for k in range(n):
-            v = (own * mul[k]).astype(np.float32)
-            if w is not None:
-                v *= w
-            out[rows, k] = np.minimum.reduceat(v, at)
-        first = last
-    return out.view(np.uint32)
-
-
 def simhash(h: np.ndarray, counts: np.ndarray, bits: int, seed: int, width: int = 1024, block: int = 4096) -> np.ndarray:
     """Similarity-hash fingerprints (rows, bits/8): signs of random projections of the sets' signed count sketches."""
     rng = np.random.default_rng(seed)

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexiloom.functions.minima import estimate, unequal
 from lexiloom.llm import kernels
 from lexiloom.operators.graph import components
 from lexiloom.runtime import cut, discard, spread
@@ -147,11 +148,6 @@ def overlap_counts(df: DataFrame, id_col: str = "email_id", text_col: str = "tex
 def _signatures(bands: int, width: int, wide: int, seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Band hashes, the 2-bit signature that travels with them (96 minima that no band uses) and a longer one (wide minima)."""
 
-    def low_bits(m: np.ndarray) -> np.ndarray:
-        two = ((m * np.uint32(2654435761)) >> np.uint32(30)).astype(np.uint8)
-        four = two.reshape(len(m), -1, 4)
-        return np.ascontiguousarray((four[:, :, 0] | four[:, :, 1] << 2 | four[:, :, 2] << 4 | four[:, :, 3] << 6).astype(np.uint8))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in kernels.slices(whole)):
             digits, offs = kernels.keys(batch.column("text"))
@@ -159,32 +155,17 @@ def _signatures(bands: int, width: int, wide: int, seed: int) -> Callable[[Itera
             codes, counts = kernels.pieces(digits, offs)
             digest = kernels.digests(digits, offs)[kept]
             m = kernels.minima(kernels.mixed(codes), counts, None, 96 + max(bands * width, wide), seed)[kept]
-            sig, m = low_bits(m[:, :96]).view(np.int64), m[:, 96:]
-            key = np.zeros((len(kept), bands), np.uint32)
-            for i in range(width):
-                key = (key ^ m[:, i * bands : (i + 1) * bands]) * np.uint32(0x9E3779B1)
-                key ^= key >> np.uint32(15)
-            more = low_bits(m[:, :wide]).view(np.int64)
+            sig, m = kernels.low_bits(m[:, :96]), m[:, 96:]
+            more = kernels.low_bits(m[:, :wide])
             lists = lambda x: pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), x.ravel())
             out = batch.drop_columns(["text"]).take(pa.array(kept))
             root = kernels.roots(batch.column("text"))[0][kept]
             names = [*out.schema.names, "r1", "r2", "k1", "k2", "s1", "s2", "s3", "more", "bands"]
-            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(root[:, 0]), pa.array(root[:, 1]), pa.array(digest[:, 0]), pa.array(digest[:, 1]), *(pa.array(sig[:, i].copy()) for i in range(3)), lists(more), lists(key.view(np.int32))], names)
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(root[:, 0]), pa.array(root[:, 1]), pa.array(digest[:, 0]), pa.array(digest[:, 1]), *(pa.array(sig[:, i].copy()) for i in range(3)), lists(more), lists(kernels.band_keys(m, bands, width))], names)
 
     return run
 
 
-def _unequal(x: Column, y: Column) -> Column:
-    """How many of the 32 two-bit values of two longs differ, by bit counts."""
-    d = x.bitwiseXOR(y)
-    return F.bit_count(d.bitwiseOR(F.shiftrightunsigned(d, 1)).bitwiseAND(F.lit(0x5555555555555555)))
-
-
-def _estimate(unequal: Column, n: int) -> Column:
-    """Similarity estimated from n two-bit minima, corrected for the quarter that agree by chance."""
-    return ((F.lit(n) - unequal) / F.lit(float(n)) - 0.25) / 0.75
-
-
 def band_shape(n: int) -> tuple[int, int]:
     """Number of bands and minima in each for n texts.
 
@@ -218,14 +199,14 @@ def near_classes(
     size = classes.count() * bands * 48
     posted = classes.select("class", "s1", "s2", "s3", F.posexplode("bands").alias("at", "own")).select("class", "s1", "s2", "s3", F.shiftleft(F.col("at").cast("long"), 32).bitwiseOR(F.col("own").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("band"))
     left, right = (posted.select("band", F.col("class").alias(x), *[F.col(f"s{i}").alias(f"{x}{i}") for i in (1, 2, 3)]) for x in "ab")
-    apart = sum((_unequal(F.col(f"a{i}"), F.col(f"b{i}")) for i in (1, 2, 3)), F.lit(0))
-    near = left.join(right, "band").where((F.col("a") < F.col("b")) & (_estimate(apart, 96) >= least - slack))
+    apart = sum((unequal(F.col(f"a{i}"), F.col(f"b{i}")) for i in (1, 2, 3)), F.lit(0))
+    near = left.join(right, "band").where((F.col("a") < F.col("b")) & (estimate(apart, 96) >= least - slack))
     near = near.select("a", "b", apart.alias("apart")).dropDuplicates(["a", "b"])
     wider = classes.select("class", "more")
     near = near.join(wider.select(F.col("class").alias("a"), F.col("more").alias("ma")), "a").join(wider.select(F.col("class").alias("b"), F.col("more").alias("mb")), "b")
     for i in range(wide // 32):
-        near = near.withColumn("apart", F.col("apart") + _unequal(F.col("ma")[i], F.col("mb")[i]))
-    near = cut(near.where(_estimate(F.col("apart"), 96 + wide) >= least - slack_all).select("a", "b"), "near", size)
+        near = near.withColumn("apart", F.col("apart") + unequal(F.col("ma")[i], F.col("mb")[i]))
+    near = cut(near.where(estimate(F.col("apart"), 96 + wide) >= least - slack_all).select("a", "b"), "near", size)
     pairs = _verified(near, rows.select("id", "text"), least)
     members = members.join(classes.select("k1", "k2", "class"), ["k1", "k2"]).drop("k1", "k2")
     return members, pairs.select("a", "b", "similarity")
