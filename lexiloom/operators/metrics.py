@@ -7,7 +7,10 @@ denominator is 0, an AUC with an empty class is null. Empty input gives no group
 from __future__ import annotations
 
 import math
+import zlib
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,6 +72,26 @@ def bootstrap_f1(cells: DataFrame, groups: list[str], n_boot: int = lexicons.N_B
     return out.select(*groups, "f1_mean", F.col("__q")[0].alias("ci_low"), F.col("__q")[1].alias("ci_high"))
 
 
+def fast_bootstrap_f1(cells: DataFrame, groups: list[str], n_boot: int = lexicons.N_BOOT, alpha: float = lexicons.ALPHA, seed: int = lexicons.SEED) -> DataFrame:
+    """The same interval in time that does not depend on the number of rows: the cells of a resample are one multinomial draw.
+
+    Draws come from a generator seeded by `seed` and the group's values, one task a group. Groups without rows are left out.
+    """
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cells.select(*groups).schema)
+
+    def interval(frame: pd.DataFrame) -> pd.DataFrame:
+        counts = frame[["tn", "fp", "fn", "tp"]].sum().to_numpy(dtype=np.int64)
+        own = zlib.crc32(repr([str(v) for v in frame[groups].iloc[0]]).encode())
+        drawn = np.random.default_rng([seed, own]).multinomial(counts.sum(), counts / counts.sum(), n_boot)
+        below = 2 * drawn[:, 3] + drawn[:, 1] + drawn[:, 2]
+        f1 = np.where(below > 0, 2 * drawn[:, 3] / np.maximum(below, 1), 0.0)
+        low, high = np.quantile(f1, [alpha / 2, 1 - alpha / 2])
+        return pd.DataFrame([[*frame[groups].iloc[0], f1.mean(), low, high]], columns=[*groups, "f1_mean", "ci_low", "ci_high"])
+
+    sized = cells.select(*groups, "tn", "fp", "fn", "tp").where("tn + fp + fn + tp > 0")
+    return sized.groupBy(*groups).applyInPandas(interval, f"{fields}, f1_mean double, ci_low double, ci_high double")
+
+
 def histogram(values: DataFrame, column: str, low: float = -20.0, high: float = 120.0, edges: int = 40, groups: list[str] = ()) -> DataFrame:
     """groups, bin, n for the edges-1 equal bins of [low, high]; the last bin is closed, values outside are dropped."""
     width, bins = (high - low) / (edges - 1), edges - 1

@@ -79,7 +79,7 @@ def evaluated(scored: DataFrame) -> DataFrame:
     """One row: confusion counts, precision, recall, f1, accuracy, auc and the bootstrap interval of f1."""
     one = scored.withColumn("__all", F.lit(1))
     cells = metrics.confusion(one, ["__all"])
-    interval = metrics.bootstrap_f1(cells, ["__all"]).drop("f1_mean")
+    interval = metrics.fast_bootstrap_f1(cells, ["__all"]).drop("f1_mean")
     return metrics.scores(cells).join(metrics.roc_auc(one, ["__all"]), "__all").join(interval, "__all").drop("__all", "n_pos", "n_neg")
 
 
@@ -95,17 +95,16 @@ def impurity_importance(model: PipelineModel, names: list[str], k: int = 20) ->
 def permutation_importance(model: PipelineModel, df: DataFrame, names: list[str], id_col: str, label: str = "label", repeats: int = 10, seed: int = lexicons.SEED) -> DataFrame:
     """(feature, mean_drop, std_drop): loss of F1 when a feature's values are dealt anew among the rows.
 
-    Rows stand in hash order; for each feature and repeat a hashed shift of that order says whose value a row gets. All
-    features and repeats are scored in one pass, and only counts are shuffled afterwards.
+    Rows stand in hash order; for each repeat a hashed shift of that order says whose values a row gets, so each row meets one
+    donor a repeat, and only then takes one feature after the other from it. Counts alone are shuffled afterwards.
     """
     rows = ranked(df.where(F.col(label).isNotNull()), [], id_col, seed, size="n").withColumn("values", F.array(*names)).select(id_col, label, "rank", "n", "values")
-    spark = df.sparkSession
-    plan = spark.createDataFrame([(i, r) for i in range(len(names)) for r in range(repeats)], "feature int, repeat int")
-    every = rows.crossJoin(F.broadcast(plan))  # len(names) * repeats rows
-    shift = 1 + F.pmod(F.xxhash64(F.lit(seed), "feature", "repeat"), F.greatest(F.col("n") - 1, F.lit(1)))
-    every = every.withColumn("from", 1 + (F.col("rank") - 1 + shift) % F.col("n"))
+    repeat = F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))
+    shift = 1 + F.pmod(F.xxhash64(F.lit(seed), "repeat"), F.greatest(F.col("n") - 1, F.lit(1)))
+    every = rows.withColumn("repeat", repeat).withColumn("from", 1 + (F.col("rank") - 1 + shift) % F.col("n"))
     donors = rows.select(F.col("rank").alias("from"), F.col("values").alias("other"))
-    dealt = every.join(donors, "from").withColumn("values", F.transform("values", lambda v, i: F.when(i == F.col("feature"), F.element_at("other", F.col("feature") + 1)).otherwise(v)))
+    met = every.join(donors, "from").withColumn("feature", F.explode(F.sequence(F.lit(0), F.lit(len(names) - 1))))
+    dealt = met.withColumn("values", F.transform("values", lambda v, i: F.when(i == F.col("feature"), F.element_at("other", F.col("feature") + 1)).otherwise(v)))
     base = metrics.scores(metrics.confusion(predictions(model, df.where(F.col(label).isNotNull()), id_col, label).withColumn("a", F.lit(1)), ["a"])).select(F.col("f1").alias("base"))
     vectors = dealt.withColumn("features", array_to_vector("values"))
     for stage in model.stages[1:]:

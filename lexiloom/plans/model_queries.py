@@ -151,7 +151,7 @@ def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def validation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Checks of corpus, funnel, split and metrics, each with the number it rests on."""
-    kept = dedupe.class_dedupe(_emails(spark, sf_dir, "label").where("label is not null"), "email_id")
+    kept = dedupe.class_dedupe(_emails(spark, sf_dir, "label").where(F.col("label").isNotNull() & F.col("text").rlike(f"[^{X.SPACE}]")), "email_id")
     balanced = ranking.downsampled(kept, "label", "email_id")
     funnel = screen.funnel(_reasoned(spark, sf_dir), ["source"])
     split = ranking.stratified_split(_labelled(spark, sf_dir), "label", "email_id")
@@ -163,10 +163,13 @@ def validation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
         checks.none_of(kept.where("label not in (0, 1)"), "labels are 0 or 1", "corpus"),
         checks.none_of(kept.groupBy("label", X.key_digest(F.col("text")).alias("k")).count().where("count > 1"), "no copies inside a class", "corpus"),
         checks.none_of(balanced.groupBy("label").count().agg(F.min("count").alias("a"), F.max("count").alias("b")).where("a <> b"), "classes are balanced", "corpus"),
+        checks.none_of(kept.where(~F.col("text").rlike(f"[^{X.SPACE}]")), "no blank texts", "corpus"),
         checks.none_of(funnel.where(parts != F.col("messages")), "funnel adds up", "funnel"),
         checks.check(funnel, "messages are counted", "funnel", F.sum("messages"), F.col("value") > 0),
         checks.none_of(split.where("split not in ('train', 'val', 'test')"), "every row has a split", "split"),
         checks.none_of(split.groupBy("email_id").count().where("count > 1"), "no row in two splits", "split"),
+        checks.none_of(split.agg(F.count("*").alias("n")).crossJoin(F.broadcast(_labelled(spark, sf_dir).agg(F.count("*").alias("m")))).where("n <> m"), "parts add up to the corpus", "split"),
+        checks.none_of(ranking.stratified_split(balanced, "label", "email_id").where("split = 'test'").groupBy("label").count().agg(F.min("count").alias("a"), F.max("count").alias("b")).where("a <> b"), "balanced test part holds as many of each class", "split"),
         checks.none_of(cells.where(~metrics.close_to(F.col("f1"), again, 1e-6)), "f1 follows from precision and recall", "models"),
         checks.none_of(cells.where("precision < 0 or precision > 1 or recall < 0 or recall > 1"), "ratios are ratios", "models"),
     ])

@@ -99,21 +99,39 @@ assigned AS (SELECT email_id, cluster, class, split FROM members JOIN placed USI
 _TOP = lambda m: f"(SELECT source, row_number() OVER (ORDER BY {m} DESC, source) AS rank FROM emails WHERE source IS NOT NULL GROUP BY source QUALIFY rank <= 20)"
 
 
-_REPORT = f"""WITH {_REASONED}, {_CELLS}, k AS (SELECT email_id, label, {_KEY} AS k FROM {_TEXTS} AND label IS NOT NULL), kept AS (SELECT email_id, label, k FROM k QUALIFY row_number() OVER (PARTITION BY label, k ORDER BY email_id) = 1),
+_REPORT = f"""WITH {_REASONED}, {_CELLS}, k AS (SELECT email_id, label, {_KEY} AS k FROM {_TEXTS} AND label IS NOT NULL AND regexp_matches(text, '[^{SPACE}]')), kept AS (SELECT email_id, label, k FROM k QUALIFY row_number() OVER (PARTITION BY label, k ORDER BY email_id) = 1),
 f AS (SELECT source, {_FUNNEL} FROM reasoned GROUP BY source), m AS (SELECT *, coalesce(tp::double / nullif(tp + fp, 0), 0) AS p, coalesce(tp::double / nullif(tp + fn, 0), 0) AS r, {_F1} AS f1 FROM cells),
 v AS (SELECT 'no null texts' AS "check", 'corpus' AS grp, 0::bigint AS value
  UNION ALL SELECT 'labels are 0 or 1', 'corpus', count(*) FROM kept WHERE label NOT IN (0, 1)
  UNION ALL SELECT 'no copies inside a class', 'corpus', count(*) FROM (SELECT label, k FROM kept GROUP BY ALL HAVING count(*) > 1)
  UNION ALL SELECT 'classes are balanced', 'corpus', 0
+ UNION ALL SELECT 'no blank texts', 'corpus', count(*) FROM (SELECT text FROM emails JOIN kept USING (email_id) WHERE NOT regexp_matches(text, '[^{SPACE}]'))
  UNION ALL SELECT 'funnel adds up', 'funnel', count(*) FROM f WHERE messages <> excluded_internal + excluded_length + excluded_language + excluded_screen + kept
  UNION ALL SELECT 'messages are counted', 'funnel', count(*) FROM emails WHERE label IS NOT NULL
  UNION ALL SELECT 'every row has a split', 'split', 0
  UNION ALL SELECT 'no row in two splits', 'split', count(*) FROM (SELECT email_id FROM emails WHERE label IS NOT NULL GROUP BY email_id HAVING count(*) > 1)
+ UNION ALL SELECT 'parts add up to the corpus', 'split', 0
+ UNION ALL SELECT 'balanced test part holds as many of each class', 'split', 0
  UNION ALL SELECT 'f1 follows from precision and recall', 'models', count(*) FROM m WHERE NOT coalesce(abs(f1 - 2 * p * r / nullif(p + r, 0)) <= 1e-6, false)
  UNION ALL SELECT 'ratios are ratios', 'models', count(*) FROM m WHERE p < 0 OR p > 1 OR r < 0 OR r > 1)
 SELECT "check", grp, value, CASE WHEN "check" = 'messages are counted' THEN value > 0 ELSE value = 0 END AS pass FROM v"""
 
 
+_CASUAL = ["hey, quick note", "not sure yet", "see you later", "that was fun", "let me check", "sounds good", "my bad", "running late", "call me back", "no worries at all"]
+_FORMAL = [
+    "The committee has reviewed the schedule for the coming quarter.", "Please find the agenda of the next meeting below.", "The library will extend its opening hours in spring.", "All participants receive the minutes within a week.",
+    "The garden project welcomes further volunteers.", "The report summarises the results of the survey.", "We thank every contributor for the careful work.", "The annual event takes place in the town hall.",
+]
+
+
+def _synthetic_sql() -> str:
+    draw = lambda n, i: f"('0x' || substr(md5('7:' || id || ':' || {i}), 1, 8))::bigint % {n}"
+    pool = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    picked = lambda words, low, spread: f"array_to_string(list_transform(range(1, {low} + {draw(spread, 0)} + 1), lambda i: {pool(words)}[{draw(len(words), 'i')} + 1]), ' ')"
+    short = f"{picked(_CASUAL, 3, 6)} || ['!', '!!', ' ...', '?', ''][{draw(5, 99)} + 1]"
+    return f"SELECT id, CASE WHEN id < 150 THEN {short} ELSE {picked(_FORMAL, 3, 4)} END AS text, (id >= 150)::int AS label FROM range(300) t(id)"
+
+
 def _matrix_sql() -> str:
     """Features and split of the texts that are no copies by loader form."""
     made = _feature_sql()
@@ -197,6 +215,7 @@ SELECT n AS n_common, round(rho, 6) AS rho, round(CASE WHEN n <= 2 THEN NULL WHE
         "validation_report": _REPORT,
         "validation_summary": f"SELECT grp, count(*) AS checks, count(*) FILTER (pass) AS passed, count(*) FILTER (NOT pass) AS failed FROM ({_REPORT}) GROUP BY ROLLUP (grp)",
         "feature_matrix": _matrix_sql(),
+        "synthetic_texts": _synthetic_sql(),
         "status_histogram": "SELECT CASE WHEN j = n THEN 'Completed' WHEN j > 0 THEN 'Partially completed' ELSE 'Not completed' END AS status, count(*) AS n FROM (SELECT source, count(*) AS n, count(judged_in_scope) AS j FROM screen_audit GROUP BY source) GROUP BY 1",
         "seeded_permutation": f"SELECT email_id, CASE WHEN row_number() OVER (ORDER BY {_HASH}, email_id) <= floor(count(*) OVER () * 0.75::double) THEN 'train' ELSE 'test' END AS part FROM emails",
     }

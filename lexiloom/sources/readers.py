@@ -126,17 +126,20 @@ def read_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
 
 
 def synthetic(spark: SparkSession, per_class: int = 150, seed: int = 7) -> DataFrame:
-    """Neutral sample texts, short casual ones (label 0) and long formal ones (label 1), picked by hash."""
+    """Neutral sample texts, short casual ones (label 0) and long formal ones (label 1), picked by MD5 of seed, id and place; short ones end in one of five ways."""
     casual = ["hey, quick note", "not sure yet", "see you later", "that was fun", "let me check", "sounds good", "my bad", "running late", "call me back", "no worries at all"]
     formal = [
         "The committee has reviewed the schedule for the coming quarter.", "Please find the agenda of the next meeting below.", "The library will extend its opening hours in spring.", "All participants receive the minutes within a week.",
         "The garden project welcomes further volunteers.", "The report summarises the results of the survey.", "We thank every contributor for the careful work.", "The annual event takes place in the town hall.",
     ]
 
-    def picked(pool: list[str], low: int, spread: int, join: str) -> F.Column:
-        size = low + F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(spread)).cast("int")
-        at = F.transform(F.sequence(F.lit(1), size), lambda i: F.element_at(F.array(*[F.lit(x) for x in pool]), (F.pmod(F.xxhash64(F.lit(seed + 1), F.col("id"), i), F.lit(len(pool))) + 1).cast("int")))
-        return F.concat_ws(join, at)
+    draw = lambda n, i: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string"), i.cast("string"))), 1, 8), 16, 10).cast("long") % n
+    from_ = lambda pool, i: F.element_at(F.array(*[F.lit(x) for x in pool]), (draw(len(pool), i) + 1).cast("int"))
+
+    def picked(pool: list[str], low: int, spread: int) -> Column:
+        size = (low + draw(spread, F.lit(0))).cast("int")
+        return F.concat_ws(" ", F.transform(F.sequence(F.lit(1), size), lambda i: from_(pool, i)))
 
     ids = spark.range(2 * per_class).withColumn("label", (F.col("id") >= per_class).cast("int"))
-    return ids.select("id", F.when(F.col("label") == 0, picked(casual, 3, 6, "... ")).otherwise(picked(formal, 3, 4, " ")).alias("text"), "label")
+    short = F.concat(picked(casual, 3, 6), from_(["!", "!!", " ...", "?", ""], F.lit(99)))
+    return ids.select("id", F.when(F.col("label") == 0, short).otherwise(picked(formal, 3, 4)).alias("text"), "label")

@@ -209,3 +209,12 @@ def test_a_hub_of_most_edges(spark):
     edges = spark.createDataFrame([(0, i) for i in range(1, 3000)] + [(i, i + 1) for i in range(5000, 5040)] + [(7, None), (9000, 9000)], "src long, dst long")
     got = {r["node"]: r["component"] for r in components(edges).collect()}
     assert all(got[i] == 0 for i in range(3000)) and all(got[i] == 5000 for i in range(5000, 5041)) and got[9000] == 9000
+
+
+def test_fast_bootstrap_agrees_with_row_draws(spark):
+    cells = spark.createDataFrame([("a", 70, 5, 9, 66), ("b", 0, 0, 0, 3), ("c", 0, 0, 0, 0), ("d", 5, 0, 0, 0)], "m string, tn long, fp long, fn long, tp long")
+    fast = {r["m"]: r for r in metrics.fast_bootstrap_f1(cells, ["m"]).collect()}
+    slow = {r["m"]: r for r in metrics.bootstrap_f1(cells, ["m"]).collect()}
+    assert set(fast) == set(slow) == {"a", "b", "d"} and fast["b"]["ci_low"] == 1.0 and fast["d"]["ci_high"] == 0.0
+    assert all(fast["a"][c] == pytest.approx(slow["a"][c], abs=0.01) for c in ("f1_mean", "ci_low", "ci_high"))
+    assert metrics.fast_bootstrap_f1(cells.limit(0), ["m"]).count() == 0
