@@ -56,6 +56,15 @@ shared AS (SELECT a.email_id AS x, b.email_id AS y, count(*) AS c FROM pieces a
 SELECT x AS email_id_a, y AS email_id_b FROM shared JOIN sizes p ON p.email_id = x JOIN sizes q ON q.email_id = y
 JOIN forms f ON f.email_id = x JOIN forms h ON h.email_id = y
 WHERE c / (p.n + q.n - c)::double >= 0.5 AND (f.body <> h.body OR f.fields <> h.fields)""",
+        "p6_groups": f"""WITH RECURSIVE {_PIECES}, {_ROOTS},
+shared AS (SELECT a.email_id AS x, b.email_id AS y, count(*) AS c FROM pieces a JOIN pieces b ON a.g = b.g AND a.email_id <> b.email_id GROUP BY 1, 2),
+near AS (SELECT x, y, kx.k AS own, ky.k AS other FROM shared JOIN sizes p ON p.email_id = x JOIN sizes q ON q.email_id = y JOIN keyed kx ON kx.email_id = x JOIN keyed ky ON ky.email_id = y
+  WHERE c / (p.n + q.n - c)::double >= 0.5),
+copied AS (SELECT email_id AS x, min(email_id) OVER (PARTITION BY body, fields) AS y FROM forms),
+ties AS (SELECT x, y FROM near UNION SELECT x, y FROM copied UNION SELECT y, x FROM copied),
+reach(x, y) AS (SELECT x, y FROM ties UNION SELECT r.x, t.y FROM reach r JOIN ties t ON t.x = r.y),
+grouped AS (SELECT x, min(y) AS y FROM reach GROUP BY x), linked AS (SELECT x, count(DISTINCT other) AS n FROM near WHERE own <> other GROUP BY x)
+SELECT e.email_id, least(coalesce(g.y, e.email_id), e.email_id) AS "group", coalesce(l.n, 0)::bigint AS n_links FROM emails e LEFT JOIN grouped g ON g.x = e.email_id LEFT JOIN linked l ON l.x = e.email_id""",
         "p7_found": f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL),
 i AS (SELECT item_id, {_WORDS} AS w FROM eval_items WHERE text IS NOT NULL),
 dw AS (SELECT doc_id, array_to_string(w[p:p + 11], ' ') AS g FROM d, LATERAL (SELECT unnest(range(1, len(w) - 10)) AS p)),
