@@ -156,11 +156,9 @@ SELECT lang, docs AS n, words, sentences, syllables, round(206.835::double - 1.0
         "feature_vector_wide": _features(style.FEATURE_NAMES),
         "class_means": f"WITH {_counts('emails', 'label')}, f AS (SELECT label, " + ", ".join(f"round({made[k]}, 6) AS {k}" for k in _FOCUS) + f" FROM counts WHERE label IN (0, 1)), l AS (UNPIVOT f ON {', '.join(_FOCUS)} INTO NAME feature VALUE value) "
         "SELECT feature, round(avg(value) FILTER (label = 0), 4) AS class_0, round(avg(value) FILTER (label = 1), 4) AS class_1 FROM l GROUP BY feature",
-        "loader_form": f"SELECT email_id, sha1(regexp_replace(regexp_replace(lower(regexp_replace(text, '^[{SPACE}]+|[{SPACE}]+$', '', 'g')), '[{SPACE}]+', ' ', 'g'), '[^\\x00-\\x7f]', '', 'g')) AS digest FROM {_TEXTS}",
+        "loader_form": f"SELECT email_id, sha1(regexp_replace(lower(regexp_replace(text, '^[{SPACE}]+|[{SPACE}]+$', '', 'g')), '[{SPACE}]+', ' ', 'g')) AS digest FROM {_TEXTS}",
         "alnum_key": f"SELECT email_id, length({_KEY})::int AS key_length, sha1({_KEY}) AS digest FROM {_TEXTS}",
         "match_text": f"WITH w AS (SELECT email_id, regexp_extract_all({_MATCH}, '[a-z0-9]+') AS f FROM {_TEXTS}) SELECT email_id, len(f)::int AS n_words, md5(array_to_string(f, ' ')) AS digest FROM w",
-        "html_to_text": """WITH p AS (SELECT DISTINCT * FROM message_parts WHERE ctype = 'text/html' AND payload IS NOT NULL AND lower(charset) = 'utf-8'), d AS (SELECT source, msg_no, part_no, try(decode(payload)) AS t FROM p)
-SELECT source, msg_no, part_no, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '(?i)<br\\s*/?>|</p>|</div>|</tr>|</li>', chr(10), 'g'), '<[^>]+>', ' ', 'g') AS text FROM d WHERE t IS NOT NULL""",
         "snippets": f"SELECT email_id, replace(substr(text, 1, 420), chr(10), ' ') AS snippet FROM {_TEXTS}",
         "first_numbers": f"SELECT email_id, try_cast(nullif(regexp_extract(replace(text, ',', ''), '(-?\\d+\\.\\d+|-?\\d+)', 1), '') AS double) AS number FROM {_TEXTS}",
         "title_forms": f"SELECT lower(regexp_replace(regexp_replace(translate(subject, '‐‑‒–—−', '------'), '[{SPACE}]+', ' ', 'g'), '^[{SPACE}]+|[{SPACE}]+$', '', 'g')) AS title, count(*) AS n FROM message_parts WHERE subject IS NOT NULL GROUP BY 1",

@@ -12,6 +12,7 @@ from lexiloom.functions import style
 from lexiloom.functions import text as X
 from lexiloom.operators import audit, dedupe, metrics, ranking, screen, similarity
 from lexiloom.runtime import cut, spread, table
+from lexiloom.sources import readers
 
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Query] = {}
@@ -117,9 +118,9 @@ def class_means(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def loader_form(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digest of the loader form; letters whose lower case engines disagree on are left out of the digest's text."""
+    """Digest of the whole loader form."""
     rows = _emails(spark, sf_dir)
-    return rows.select("email_id", F.sha1(F.regexp_replace(X.loader_form(F.col("text")), r"[^\x00-\x7f]", "")).alias("digest"))
+    return rows.select("email_id", F.sha1(X.loader_form(F.col("text"))).alias("digest"))
 
 
 @query
@@ -142,10 +143,9 @@ def match_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """N5 on the HTML parts that are UTF-8, entities left as they are."""
-    parts = table(spark, sf_dir, "message_parts").where("ctype = 'text/html' and payload is not null and lower(charset) = 'utf-8'").distinct()
-    body = F.col("payload").cast("string")
-    return parts.where(F.is_valid_utf8(body)).select("source", "msg_no", "part_no", X.html_to_text(body, unescape=False).alias("text"))
+    """N5 on all HTML parts, decoded by their charset."""
+    parts = table(spark, sf_dir, "message_parts").where("ctype = 'text/html' and payload is not null").drop("sent_at").distinct()
+    return parts.select("source", "msg_no", "part_no", X.html_to_text(readers.decoded("payload", "charset")).alias("text"))
 
 
 @query

@@ -42,3 +42,26 @@ def test_query(spark, sql, name):
     wanted = sql.sql(oracle.oracle_sql()[name]).df()
     assert sorted(got.columns) == sorted(wanted.columns)
     assert plain(got) == plain(wanted)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_html_parts_against_plain_python(spark):
+    """No SQL decodes charsets and entities, so the whole query is compared with the standard library."""
+    import html
+    import re
+
+    parts = pd.read_parquet(f"{DATA}/message_parts.parquet")
+    parts = parts[(parts["ctype"] == "text/html") & parts["payload"].notna()]
+
+    def plain_text(data, charset):
+        try:
+            text = data.decode(charset or "utf-8", errors="replace")
+        except LookupError:
+            text = data.decode("utf-8", errors="replace")
+        text = re.sub(r"(?is)<(script|style)[^>]*>.*?</\1>", " ", text)
+        text = re.sub(r"(?i)<br\s*/?>|</p>|</div>|</tr>|</li>", "\n", text)
+        return html.unescape(re.sub(r"<[^>]+>", " ", text))
+
+    wanted = {(r.source, r.msg_no, r.part_no, plain_text(r.payload, r.charset)) for r in parts.itertuples()}
+    got = {tuple(r) for r in queries.queries()["html_to_text"](spark, DATA).select("source", "msg_no", "part_no", "text").collect()}
+    assert got == wanted and len(got) > 10
