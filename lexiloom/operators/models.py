@@ -7,7 +7,11 @@ fitting or scoring. Fitting on one class only is an error of the learner; an emp
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
@@ -21,6 +25,7 @@ from pyspark.sql import functions as F
 from lexiloom import lexicons
 from lexiloom.operators import metrics
 from lexiloom.operators.ranking import ranked
+from lexiloom.runtime import cut
 
 FOREST_GRID = {"numTrees": [200, 400], "maxDepth": [30, 10, 20], "minInstancesPerNode": [1, 2, 5]}
 BOOST_GRID = {"maxIter": [300, 600], "maxDepth": [3, 6], "stepSize": [0.05, 0.1], "subsamplingRate": [0.8, 1.0]}
@@ -69,6 +74,52 @@ def grid_search(pipeline: Pipeline, df: DataFrame, grid: dict[str, list], label:
     return found.bestModel, {name: best.getOrDefault(name) for name in grid}
 
 
+@dataclass(frozen=True)
+class Linear:
+    """Weights for standardised features and an intercept; features are standardised by the means and deviations given."""
+
+    names: list[str]
+    weights: list[float]
+    intercept: float
+    means: list[float]
+    deviations: list[float]
+
+    def scored(self, df: DataFrame, id_col: str, label: str = "label") -> DataFrame:
+        """(id, y_true, y_pred, score): probability of class 1, class 1 from 0.5 on."""
+        terms = (F.lit(w) * (F.col(f"`{n}`") - m) / (s or 1.0) for n, w, m, s in zip(self.names, self.weights, self.means, self.deviations))
+        score = metrics.sigmoid(sum(terms, F.lit(self.intercept)))
+        return df.select(id_col, F.col(label).cast("int").alias("y_true"), metrics.thresholded(score).alias("y_pred"), score.alias("score"))
+
+
+def descent(df: DataFrame, names: list[str], label: str = "label", rate: float = 0.1, epochs: int = 400, l2: float = 1e-3, seed: int = lexicons.SEED) -> Linear:
+    """Logistic regression by full-batch gradient descent on standardised features (M9).
+
+    Every epoch is one pass over the data; a task sums the gradients of its rows, so that one vector a task reaches the driver.
+    Rows with a null label or feature do not count; no rows are an error.
+    """
+    rows = df.select(F.array(*[F.col(f"`{n}`").cast("double") for n in names]).alias("x"), F.col(label).cast("double").alias("y")).where("y is not null and not exists(x, v -> v is null)")
+    rows = cut(rows, "descent")
+    stats = rows.select(F.count("*").alias("n"), *[f(F.col("x")[i]).alias(f"{k}{i}") for i in range(len(names)) for k, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    n = stats["n"]
+    if not n:
+        raise ValueError("no rows to fit")
+    mean, sd = (np.array([stats[f"{k}{i}"] for i in range(len(names))]) for k in "ms")
+    w, b = np.random.default_rng(seed).normal(0, 0.01, len(names)), 0.0
+    for _ in range(epochs):
+
+        def gradients(batches: Iterator[pa.RecordBatch], w: np.ndarray = w, b: float = b) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(len(w) + 1)
+            for batch in batches:
+                x = (batch.column("x").flatten().to_numpy().reshape(-1, len(w)) - mean) / np.where(sd == 0, 1.0, sd)
+                off = 1 / (1 + np.exp(-(x @ w + b))) - batch.column("y").to_numpy()
+                total += np.append(x.T @ off, off.sum())
+            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["g"])
+
+        g = np.sum([r["g"] for r in rows.mapInArrow(gradients, "g array<double>").collect()], axis=0) / n  # one row a task
+        w, b = w - rate * (g[:-1] + l2 * w), b - rate * g[-1]
+    return Linear(names, w.tolist(), float(b), mean.tolist(), sd.tolist())
+
+
 def predictions(model: PipelineModel, df: DataFrame, id_col: str, label: str = "label") -> DataFrame:
     """(id, y_true, y_pred, score)."""
     out = model.transform(df)

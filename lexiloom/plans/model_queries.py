@@ -85,6 +85,15 @@ def model_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.withColumn("best", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("f1"), "model")) == 1)  # one row a model
 
 
+@query
+def descent_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gradient descent on the features of the sample texts, three quarters of them in hash order against the rest."""
+    rows = style.features(readers.synthetic(spark)).drop("text")
+    rows = cut(ranking.ranked(rows, [], "id", size="of").withColumn("split", F.when(F.col("rank") <= F.floor(F.col("of") * 0.75), "train").otherwise("test")), "sample")
+    model = models.descent(rows.where("split = 'train'"), NAMES)
+    return models.evaluated(model.scored(rows.where("split = 'test'"), "id"))
+
+
 @query
 def grid_search_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M4 with a reduced grid: best parameters by F1 over five stratified folds, scored on the test part."""

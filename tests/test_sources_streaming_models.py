@@ -140,3 +140,24 @@ def test_permutation_queries_repeat_ten_times(monkeypatch):
     model_queries.permutation_importance(None, "")
     model_queries.importance_agreement(None, "")
     assert seen == [10, 10]
+
+
+def test_descent_against_plain_numpy(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = np.column_stack([rng.normal(2, 3, 200), rng.normal(0, 1, 200), np.full(200, 7.0)])
+    y = (x[:, 0] + rng.normal(0, 2, 200) > 2).astype(float)
+    df = spark.createDataFrame([(i, *map(float, row), int(t)) for i, (row, t) in enumerate(zip(x, y))] + [(900, 1.0, None, 1.0, 1), (901, 1.0, 1.0, 1.0, None)], "id long, a double, b double, `c.d` double, label int")
+    made = models.descent(df, ["a", "b", "c.d"], epochs=30)
+    sd = x.std(0)
+    z = (x - x.mean(0)) / np.where(sd == 0, 1, sd)
+    w, b = np.random.default_rng(42).normal(0, 0.01, 3), 0.0
+    for _ in range(30):
+        off = 1 / (1 + np.exp(-(z @ w + b))) - y
+        w, b = w - 0.1 * (z.T @ off / 200 + 1e-3 * w), b - 0.1 * off.mean()
+    assert made.weights == pytest.approx(w.tolist()) and made.intercept == pytest.approx(b)
+    scored = made.scored(df.where("id < 200"), "id").collect()
+    assert [r["score"] for r in sorted(scored, key=lambda r: r["id"])] == pytest.approx((1 / (1 + np.exp(-(z @ w + b)))).tolist())
+    with pytest.raises(ValueError, match="no rows"):
+        models.descent(df.limit(0), ["a"])
