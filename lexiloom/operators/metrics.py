@@ -54,18 +54,19 @@ def roc_auc(df: DataFrame, groups: list[str], true: str = "y_true", score: str =
 def bootstrap_f1(cells: DataFrame, groups: list[str], n_boot: int = lexicons.N_BOOT, alpha: float = lexicons.ALPHA, seed: int = lexicons.SEED) -> DataFrame:
     """groups, f1_mean, ci_low, ci_high: percentile interval of F1 over n_boot resamples.
 
-    Draw i of replicate b takes row h mod n, h being the first 32 bits of md5(seed:b:i). F1 needs only the cell of a row,
-    so rows are laid out cell after cell and no join is made; draws are aggregated before the shuffle.
+    Draw i of replicate b takes row h mod n, h being the (i mod 4)-th 32 bits of md5(seed:b:i div 4), which any engine computes
+    alike. F1 needs only the cell of a row, so rows are laid out cell after cell and no join is made; draws are counted
+    before the shuffle.
     """
     sized = cells.withColumn("__size", F.expr("tn + fp + fn + tp")).where("__size > 0")
     draws = sized.withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))).repartition(*groups, "__b")
-    draws = draws.withColumn("__i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__size") - 1)))
-    h = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("__b").cast("string"), F.col("__i").cast("string"))), 1, 8), 16, 10).cast("long")
-    at = draws.withColumn("__at", h % F.col("__size"))
+    draws = draws.withColumn("__i", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__size") - 1) / 4))))
+    draws = draws.withColumn("__h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("__b").cast("string"), F.col("__i").cast("string"))))
+    at = [F.when(4 * F.col("__i") + k < F.col("__size"), F.conv(F.substring("__h", 8 * k + 1, 8), 16, 10).cast("long") % F.col("__size")) for k in range(4)]
+    draws = draws.withColumn("__at", F.array(*at))
     upto_fp, upto_fn = F.col("tn") + F.col("fp"), F.col("tn") + F.col("fp") + F.col("fn")
-    drawn = at.groupBy(*groups, "__b").agg(
-        F.count_if((F.col("__at") >= F.col("tn")) & (F.col("__at") < upto_fp)).alias("fp"), F.count_if((F.col("__at") >= upto_fp) & (F.col("__at") < upto_fn)).alias("fn"), F.count_if(F.col("__at") >= upto_fn).alias("tp")
-    )
+    inside = lambda low, high: F.sum(sum((F.coalesce(((F.col("__at")[k] >= low) & (F.col("__at")[k] < high)).cast("int"), F.lit(0)) for k in range(4)), F.lit(0)))
+    drawn = draws.groupBy(*groups, "__b").agg(inside(F.col("tn"), upto_fp).alias("fp"), inside(upto_fp, upto_fn).alias("fn"), inside(upto_fn, F.col("__size")).alias("tp"))
     f1 = drawn.withColumn("__f1", _ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")))
     low_high = F.percentile("__f1", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2)))
     out = f1.groupBy(*groups).agg(F.avg("__f1").alias("f1_mean"), low_high.alias("__q"))

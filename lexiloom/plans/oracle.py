@@ -192,7 +192,7 @@ SELECT j.source, round(p, 6) AS precision, round(f, 6) AS fn_rate, round(kept *
 b AS (SELECT *, coalesce(sum(q) OVER (PARTITION BY model ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM g)
 SELECT model, sum(p)::bigint AS n_pos, sum(q)::bigint AS n_neg, sum(p * (2 * below + q))::double / nullif(2 * sum(p) * sum(q), 0)::double AS auc FROM b GROUP BY model""",
         "bootstrap_ci": f"""WITH {_CELLS}, sized AS (SELECT *, tn + fp + fn + tp AS n FROM cells), d AS (SELECT model, tn, fp, fn, tp, n, b, unnest(range(0, n)) AS i FROM sized, range(0, 2000) t(b)),
-h AS (SELECT *, ('0x' || substr(md5(concat('42:', b, ':', i)), 1, 8))::bigint % n AS k FROM d),
+h AS (SELECT *, ('0x' || substr(md5(concat('42:', b, ':', i // 4)), (i % 4) * 8 + 1, 8))::bigint % n AS k FROM d),
 f AS (SELECT model, b, count(*) FILTER (k >= tn AND k < tn + fp) AS fp, count(*) FILTER (k >= tn + fp AND k < tn + fp + fn) AS fn, count(*) FILTER (k >= tn + fp + fn) AS tp FROM h GROUP BY model, b)
 SELECT model, round(avg({_F1}), 6) AS f1_mean, round(quantile_cont({_F1}, 0.025), 6) AS ci_low, round(quantile_cont({_F1}, 0.975), 6) AS ci_high FROM f GROUP BY model""",
         "best_model": f"WITH {_CELLS} SELECT model, {_F1} AS f1 FROM cells ORDER BY f1 DESC, model LIMIT 1",
