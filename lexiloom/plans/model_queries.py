@@ -22,6 +22,7 @@ MODELS = ("logreg", "forest", "boosted")
 #: Parameters of all fits outside the grid search.
 FOREST = {"numTrees": 200, "maxDepth": 10}
 BOOST = {"maxIter": 100, "maxDepth": 3}
+ROWS_PER_PARTITION = 20_000
 
 
 def _matrix(spark: SparkSession, sf_dir: str, digits: int | None = None) -> DataFrame:
@@ -33,8 +34,10 @@ def _matrix(spark: SparkSession, sf_dir: str, digits: int | None = None) -> Data
 def _fit(kind: str, train: DataFrame, names: list[str]):
     """A model of the training part; class weights come from that part alone."""
     rows = models.weighted(train, positive_only=kind == "boosted")
-    pipeline = {"logreg": lambda: models.logistic(names, train.count()), "forest": lambda: models.forest(names, **FOREST), "boosted": lambda: models.boosted(names, **BOOST)}[kind]()
-    return pipeline.fit(rows)
+    if kind == "logreg":  # an iteration is a pass over all partitions, so small ones cost more than they save
+        n = train.count()
+        return models.logistic(names, n).fit(rows.coalesce(max(1, n // ROWS_PER_PARTITION)))
+    return {"forest": lambda: models.forest(names, **FOREST), "boosted": lambda: models.boosted(names, **BOOST)}[kind]().fit(rows)
 
 
 def _scored(kind: str, df: DataFrame, names: list[str] = NAMES) -> DataFrame:
