@@ -37,10 +37,10 @@ def block_shape(n: int) -> tuple[int, int]:
 
     Blocks of different texts meet by chance n * n / 2**bits times, so bits grow a little faster than log2(n). A pair at a
     similarity of 0.8 agrees in a bit with a chance of 0.849; blocks are as many as keep the expected number of shared
-    ones at 3.5.
+    ones at 4.6.
     """
     bits = max(8, round(1.15 * math.log2(max(n, 2)) - 4))
-    return bits, math.ceil(48 * 0.849 ** (16 - bits))
+    return bits, math.ceil(64 * 0.849 ** (16 - bits))
 
 
 def _fingerprints(longs: int, seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
