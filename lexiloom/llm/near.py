@@ -39,7 +39,7 @@ def block_shape(n: int) -> tuple[int, int]:
     similarity of 0.8 agrees in a bit with a chance of 0.849; blocks are as many as keep the expected number of shared
     ones at 4.6.
     """
-    bits = max(8, round(1.15 * math.log2(max(n, 2)) - 4))
+    bits = max(8, round(1.1 * math.log2(max(n, 2)) - 3.9))
     return bits, math.ceil(64 * 0.849 ** (16 - bits))
 
 
