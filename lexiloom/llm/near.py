@@ -39,7 +39,7 @@ def block_shape(n: int) -> tuple[int, int]:
     similarity of 0.8 agrees in a bit with a chance of 0.849; blocks are as many as keep the expected number of shared
     ones at 4.6.
     """
-    bits = max(8, round(1.1 * math.log2(max(n, 2)) - 3.9))
+    bits = max(8, round(1.15 * math.log2(max(n, 2)) - 4))
     return bits, math.ceil(64 * 0.849 ** (16 - bits))
 
 
@@ -95,7 +95,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 def _cross(df: DataFrame, columns: list[str], id_col: str, text_col: str, split_col: str, least: float, radius: int, radius_all: float, seed: int) -> tuple[DataFrame, DataFrame]:
     """Linked classes (a, b, similarity), a with train rows and b with val or test rows, and members (id, side, columns, class)."""
     bits, blocks = block_shape(df.count())
-    longs = -(-blocks * bits // 64)
+    longs = max(2, -(-blocks * bits // 64))
     side = split_name(F.col(split_col))
     rows = spread(df.select(F.col(id_col).cast("long").alias("id"), *columns, F.col(text_col).alias("text"), side.alias("side")).where("side in ('train', 'val', 'test') and text is not null"))
     own = [f for f in rows.schema if f.name != "text"]
@@ -104,24 +104,25 @@ def _cross(df: DataFrame, columns: list[str], id_col: str, text_col: str, split_
     per_side = cut(rows.select(*[f"`{f.name}`" for f in own], "text").mapInArrow(_fingerprints(longs, seed), f"{fields}, k1 long, k2 long, print array<long>"), "prints")
     # the fingerprint is a function of the key, so any value of a class is its value
     classes = cut(per_side.groupBy("k1", "k2").agg(F.min("id").alias("class"), F.max(train).alias("trains"), F.max(held).alias("holds"), F.first("print").alias("print")), "classes")
-    posted = classes.select("class", F.col("print")[0].alias("code"), "trains", "holds", F.explode(blocks_of(F.col("print"), bits, blocks)).alias("block"))
-    t = posted.where("trains").select("block", F.col("class").alias("a"), F.col("code").alias("code_a"))
-    e = posted.where("holds").select("block", F.col("class").alias("b"), F.col("code").alias("code_b"))
-    close = t.join(e, "block").where((F.col("a") != F.col("b")) & (F.bit_count(F.col("code_a").bitwiseXOR(F.col("code_b"))) <= radius))
+    posted = classes.select("class", F.col("print")[0].alias("code"), F.col("print")[1].alias("more"), "trains", "holds", F.explode(blocks_of(F.col("print"), bits, blocks)).alias("block"))
+    t = posted.where("trains").select("block", F.col("class").alias("a"), F.col("code").alias("code_a"), F.col("more").alias("more_a"))
+    e = posted.where("holds").select("block", F.col("class").alias("b"), F.col("code").alias("code_b"), F.col("more").alias("more_b"))
+    apart = F.bit_count(F.col("code_a").bitwiseXOR(F.col("code_b"))) + F.bit_count(F.col("more_a").bitwiseXOR(F.col("more_b")))
+    close = t.join(e, "block").where((F.col("a") != F.col("b")) & (apart <= radius))
     near = close.select("a", "b").distinct()
     wide = classes.select("class", "print")
     near = near.join(wide.select(F.col("class").alias("a"), F.col("print").alias("pa")), "a").join(wide.select(F.col("class").alias("b"), F.col("print").alias("pb")), "b")
-    near = cut(near.where(hamming(F.col("pa"), F.col("pb"), longs) <= int(radius_all * longs * 64)).select("a", "b"), "near", classes.count() * blocks * 32)
+    near = cut(near.where(hamming(F.col("pa"), F.col("pb"), longs) <= int(radius_all * longs * 64)).select("a", "b"), "near", classes.count() * blocks * 40)
     equal = classes.where("trains and holds").select(F.col("class").alias("b"), F.col("class").alias("a"), F.lit(1.0).alias("similarity"))
     linked = _verified(near, rows.select("id", "text"), least).unionByName(equal)
     return linked, per_side.drop("print").join(classes.select("k1", "k2", "class"), ["k1", "k2"]).drop("k1", "k2")
 
 
-def cross_split_pairs(df: DataFrame, id_col: str = "email_id", text_col: str = "text", split_col: str = "split", least: float = 0.8, radius: int = 21, radius_all: float = 0.215, seed: int = 11) -> DataFrame:
+def cross_split_pairs(df: DataFrame, id_col: str = "email_id", text_col: str = "text", split_col: str = "split", least: float = 0.8, radius: int = 38, radius_all: float = 0.215, seed: int = 11) -> DataFrame:
     """All pairs (train_id, eval_id, eval_split, similarity) of a train row and a val or test row at or above `least`.
 
     A SimHash is cut into blocks (block_shape). Classes of the two sides that share a block, differ in at most `radius` of
-    the first 64 bits and in a share `radius_all` of all bits are candidates; their texts are compared exactly.
+    the first 128 bits and in a share `radius_all` of all bits are candidates; their texts are compared exactly.
     """
     linked, member = _cross(df, [], id_col, text_col, split_col, least, radius, radius_all, seed)
     out = linked.join(member.where("side = 'train'").select(F.col("class").alias("a"), F.col("id").alias("train_id")), "a")
@@ -129,7 +130,7 @@ def cross_split_pairs(df: DataFrame, id_col: str = "email_id", text_col: str = "
     return out.select("train_id", "eval_id", "eval_split", "similarity")
 
 
-def overlap_counts(df: DataFrame, id_col: str = "email_id", text_col: str = "text", split_col: str = "split", source_col: str = "source", least: float = 0.8, radius: int = 21, radius_all: float = 0.215, seed: int = 11) -> DataFrame:
+def overlap_counts(df: DataFrame, id_col: str = "email_id", text_col: str = "text", split_col: str = "split", source_col: str = "source", least: float = 0.8, radius: int = 38, radius_all: float = 0.215, seed: int = 11) -> DataFrame:
     """(split, source, n_rows, n_pairs): per split and source of val and test rows, how many stand in train too and in how many pairs.
 
     Counted from the sizes of classes: no pair of rows is made, however many copies a text has.
