@@ -32,15 +32,25 @@ def split_name(split: Column) -> Column:
 # -- similarity-hash fingerprints across splits ---------------------------------------------------------------------
 
 
-def block_shape(n: int) -> tuple[int, int]:
+def apart_share(least: float) -> float:
+    """Share of bits in which SimHash fingerprints of two sets with Jaccard similarity `least` differ on average: their angle."""
+    return math.acos(2 * least / (1 + least)) / math.pi
+
+
+def block_shape(n: int, least: float = 0.8) -> tuple[int, int]:
     """Bits of a block and number of blocks for n texts.
 
-    Blocks of different texts meet by chance n * n / 2**bits times, so bits grow a little faster than log2(n). A pair at a
-    similarity of 0.8 agrees in a bit with a chance of 0.849; blocks are as many as keep the expected number of shared
-    ones at 4.6.
+    Blocks of different texts meet by chance n * n / 2**bits times, so bits grow a little faster than log2(n). Blocks are as
+    many as keep the expected number that a pair at `least` shares at 4.6, so that 99 of 100 such pairs share one.
     """
     bits = max(8, round(1.15 * math.log2(max(n, 2)) - 4))
-    return bits, math.ceil(64 * 0.849 ** (16 - bits))
+    return bits, math.ceil(4.6 / (1 - apart_share(least)) ** bits)
+
+
+def most_apart(bits: int, least: float, deviations: float) -> int:
+    """Differing bits of `bits` that a pair at `least` passes only by so many standard deviations."""
+    p = apart_share(least)
+    return math.ceil(bits * p + deviations * math.sqrt(bits * p * (1 - p)))
 
 
 def _fingerprints(longs: int, seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -92,9 +102,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return full.mapInArrow(run, f"{fields}, similarity double")
 
 
-def _cross(df: DataFrame, columns: list[str], id_col: str, text_col: str, split_col: str, least: float, radius: int, radius_all: float, seed: int) -> tuple[DataFrame, DataFrame]:
+def _cross(df: DataFrame, columns: list[str], id_col: str, text_col: str, split_col: str, least: float, deviations: float, seed: int) -> tuple[DataFrame, DataFrame]:
     """Linked classes (a, b, similarity), a with train rows and b with val or test rows, and members (id, side, columns, class)."""
-    bits, blocks = block_shape(df.count())
+    bits, blocks = block_shape(df.count(), least)
     longs = max(2, -(-blocks * bits // 64))
     side = split_name(F.col(split_col))
     rows = spread(df.select(F.col(id_col).cast("long").alias("id"), *columns, F.col(text_col).alias("text"), side.alias("side")).where("side in ('train', 'val', 'test') and text is not null"))
@@ -108,34 +118,35 @@ def _cross(df: DataFrame, columns: list[str], id_col: str, text_col: str, split_
     t = posted.where("trains").select("block", F.col("class").alias("a"), F.col("code").alias("code_a"), F.col("more").alias("more_a"))
     e = posted.where("holds").select("block", F.col("class").alias("b"), F.col("code").alias("code_b"), F.col("more").alias("more_b"))
     apart = F.bit_count(F.col("code_a").bitwiseXOR(F.col("code_b"))) + F.bit_count(F.col("more_a").bitwiseXOR(F.col("more_b")))
-    close = t.join(e, "block").where((F.col("a") != F.col("b")) & (apart <= radius))
+    close = t.join(e, "block").where((F.col("a") != F.col("b")) & (apart <= most_apart(128, least, deviations)))
     near = close.select("a", "b").distinct()
     wide = classes.select("class", "print")
     near = near.join(wide.select(F.col("class").alias("a"), F.col("print").alias("pa")), "a").join(wide.select(F.col("class").alias("b"), F.col("print").alias("pb")), "b")
-    near = cut(near.where(hamming(F.col("pa"), F.col("pb"), longs) <= int(radius_all * longs * 64)).select("a", "b"), "near", classes.count() * blocks * 40)
+    near = cut(near.where(hamming(F.col("pa"), F.col("pb"), longs) <= most_apart(longs * 64, least, deviations)).select("a", "b"), "near", classes.count() * blocks * 40)
     equal = classes.where("trains and holds").select(F.col("class").alias("b"), F.col("class").alias("a"), F.lit(1.0).alias("similarity"))
     linked = _verified(near, rows.select("id", "text"), least).unionByName(equal)
     return linked, per_side.drop("print").join(classes.select("k1", "k2", "class"), ["k1", "k2"]).drop("k1", "k2")
 
 
-def cross_split_pairs(df: DataFrame, id_col: str = "email_id", text_col: str = "text", split_col: str = "split", least: float = 0.8, radius: int = 38, radius_all: float = 0.215, seed: int = 11) -> DataFrame:
+def cross_split_pairs(df: DataFrame, id_col: str = "email_id", text_col: str = "text", split_col: str = "split", least: float = 0.8, deviations: float = 4.6, seed: int = 11) -> DataFrame:
     """All pairs (train_id, eval_id, eval_split, similarity) of a train row and a val or test row at or above `least`.
 
-    A SimHash is cut into blocks (block_shape). Classes of the two sides that share a block, differ in at most `radius` of
-    the first 128 bits and in a share `radius_all` of all bits are candidates; their texts are compared exactly.
+    A SimHash is cut into blocks (block_shape). Classes of the two sides that share a block are candidates if they differ in
+    no more of the first 128 bits, and then of all bits, than a pair at `least` does with `deviations` standard deviations to
+    spare; their texts are compared exactly.
     """
-    linked, member = _cross(df, [], id_col, text_col, split_col, least, radius, radius_all, seed)
+    linked, member = _cross(df, [], id_col, text_col, split_col, least, deviations, seed)
     out = linked.join(member.where("side = 'train'").select(F.col("class").alias("a"), F.col("id").alias("train_id")), "a")
     out = out.join(member.where("side <> 'train'").select(F.col("class").alias("b"), F.col("id").alias("eval_id"), F.col("side").alias("eval_split")), "b")
     return out.select("train_id", "eval_id", "eval_split", "similarity")
 
 
-def overlap_counts(df: DataFrame, id_col: str = "email_id", text_col: str = "text", split_col: str = "split", source_col: str = "source", least: float = 0.8, radius: int = 38, radius_all: float = 0.215, seed: int = 11) -> DataFrame:
+def overlap_counts(df: DataFrame, id_col: str = "email_id", text_col: str = "text", split_col: str = "split", source_col: str = "source", least: float = 0.8, deviations: float = 4.6, seed: int = 11) -> DataFrame:
     """(split, source, n_rows, n_pairs): per split and source of val and test rows, how many stand in train too and in how many pairs.
 
     Counted from the sizes of classes: no pair of rows is made, however many copies a text has.
     """
-    linked, member = _cross(df, [F.col(source_col).alias("source")], id_col, text_col, split_col, least, radius, radius_all, seed)
+    linked, member = _cross(df, [F.col(source_col).alias("source")], id_col, text_col, split_col, least, deviations, seed)
     member = cut(member, "members")
     trains = member.where("side = 'train'").groupBy(F.col("class").alias("a")).agg(F.count("*").alias("n"))
     per = linked.join(trains, "a").groupBy("b").agg(F.sum("n").alias("pairs"))
