@@ -3,9 +3,10 @@
 Documents are cut into paragraphs. Trusted labels are few: a document that is nothing but a stock notice (error page, stack
 trace, demand for scripts), one that holds nothing but stock filler under its title, a paragraph of Latin filler, an unfilled
 template field. Everything else is found by likeness: paragraphs get SimHash fingerprints of their five-word shingles, which
-are posted in partitioned tables; starting from trusted paragraphs, those that share a partition and are near by Hamming
-distance are candidates, the candidates of these too, and so on; the texts of all candidate pairs are compared exactly, and
-labels spread through the connected components of the pairs that are similar. A document is residue if one of its
+are partitioned by the shingles with the smallest hashes, at every size of the corpus by the same rule and so many that
+every pair at the threshold shares a partition; starting from trusted paragraphs, those that share a partition and are
+near by Hamming distance are candidates, the candidates of these too, and so on; the texts of all candidate pairs are
+compared exactly, and labels spread through the connected components of the pairs that are similar. A document is residue if one of its
 paragraphs is filler, or if all of them but a title are notices. So a notice under a title, or filler between good
 paragraphs, counts only if the corpus shows the same wording as residue of its own.
 
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.llm import kernels, words
-from lexiloom.llm.bits import bit_map, marked
+from lexiloom.llm.bits import bit_map, map_size, marked
 from lexiloom.operators.graph import components
 from lexiloom.runtime import cut, spread
 
@@ -144,10 +145,10 @@ def _sets(h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return s, per
 
 
-UNIT = "id long, block int, n int, label string, k1 long, k2 long, p array<long>"
+UNIT = "id long, block int, n int, label string, k1 long, k2 long, size int, parts array<int>, p array<long>"
 
 
-def _judged(seed: int):
+def _judged(seed: int, least: float):
     """Rows of UNIT: one for each content block that can be residue, and one of block -1 for a text with an unfilled field."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,56 +184,46 @@ def _judged(seed: int):
             lists = pa.ListArray.from_arrays(np.arange(0, prints.size // 8 + 1, PRINT_BYTES // 8, dtype=np.int32), prints.view(np.int64).ravel())
             ids = batch.column("id")
             yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(own[kept])), pa.array(number[kept].astype(np.int32)), pa.array(content[own[kept]].astype(np.int32)), pa.array(label, pa.string()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), lists], UNIT_NAMES
+                [ids.take(pa.array(own[kept])), pa.array(number[kept].astype(np.int32)), pa.array(content[own[kept]].astype(np.int32)), pa.array(label, pa.string()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(size[kept].astype(np.int32)), _prefixes(codes, size, per, kept, least), lists], UNIT_NAMES
             )
             opens = np.flatnonzero(as_mask(pc.match_substring_regex(batch.column("text"), _OPENS)))
             fields = [i for i, t in zip(opens, batch.column("text").take(pa.array(opens)).to_pylist()) if has_open_field(t)]
             if fields:
                 none = lambda kind: pa.nulls(len(fields), kind)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(fields)), pa.array([-1] * len(fields), pa.int32()), none(pa.int32()), pa.array(["field"] * len(fields)), none(pa.int64()), none(pa.int64()), none(pa.list_(pa.int64()))], UNIT_NAMES)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(fields)), pa.array([-1] * len(fields), pa.int32()), none(pa.int32()), pa.array(["field"] * len(fields)), none(pa.int64()), none(pa.int64()), none(pa.int32()), none(pa.list_(pa.int32())), none(pa.list_(pa.int64()))], UNIT_NAMES)
 
     return run
 
 
-UNIT_NAMES = ["id", "block", "n", "label", "k1", "k2", "p"]
+UNIT_NAMES = ["id", "block", "n", "label", "k1", "k2", "size", "parts", "p"]
 
 
-def _tables(n: int) -> tuple[int, list[tuple[int, ...]]]:
-    """How many bytes of the fingerprint make a partition key, and which: more and longer keys for more trusted classes.
+def _prefixes(codes: np.ndarray, size: np.ndarray, per: np.ndarray, kept: np.ndarray, least: float) -> pa.ListArray:
+    """The smallest codes of each kept set, so many that two sets at `least` share one: all but `least` of a set, and one.
 
-    A pair at 0.8 agrees in a bit with a chance of 0.849, in a byte of 0.27; the number of tables keeps the expected number
-    of shared partitions at 10.
+    Codes stand for shingles of more bits in the same order; `per` is the number of shingles, at least that of codes.
     """
-    width = 2 if n <= 1 << 13 else 3
-    count = {2: 144, 3: 520}[width]
-    rng = np.random.default_rng(29)
-    seen: set[tuple[int, ...]] = set()
-    while len(seen) < count:
-        seen.add(tuple(sorted(int(x) for x in rng.choice(PRINT_BYTES, width, replace=False))))
-    return width, sorted(seen)
+    most = np.minimum(size, per - np.ceil(per * least - 1e-9).astype(np.int64) + 1)[kept]
+    starts, ends = (np.cumsum(size) - size)[kept], np.cumsum(most)
+    at = np.arange(most.sum()) + np.repeat(starts - ends + most, most)
+    return pa.ListArray.from_arrays(np.concatenate([[0], ends]).astype(np.int32), pa.array(codes[at].view(np.int32)))
 
 
-def _posted(tables: list[tuple[int, ...]], keep: np.ndarray | None = None):
-    """(part, k1, k2, p): the partition keys of each class, or those only that the map `keep` holds."""
+def _posted(keep: np.ndarray | None = None):
+    """(part, k1, k2, size, p): the smallest shingles of each class, or those only that the map `keep` holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (whole.slice(i, 4096) for whole in batches for i in range(0, whole.num_rows, 4096)):
-            raw = batch.column("p").flatten().to_numpy().view(np.uint8).reshape(batch.num_rows, PRINT_BYTES)
-            rows, parts = [], []
-            for t, at in enumerate(tables):
-                part = np.full(batch.num_rows, t, np.int64)
-                for i in at:
-                    part = part << 8 | raw[:, i]
-                hit = np.arange(batch.num_rows) if keep is None else np.flatnonzero(marked(keep, part))
-                rows.append(hit)
-                parts.append(part[hit])
-            at = pa.array(np.concatenate(rows))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), *(batch.column(c).take(at) for c in ("k1", "k2", "p"))], ["part", "k1", "k2", "p"])
+        for batch in batches:
+            parts = batch.column("parts").flatten().to_numpy().astype(np.int64)
+            row = pc.list_parent_indices(batch.column("parts")).to_numpy()
+            hit = np.arange(len(parts)) if keep is None else np.flatnonzero(marked(keep, parts))
+            at = pa.array(row[hit])
+            yield pa.RecordBatch.from_arrays([pa.array(parts[hit]), *(batch.column(c).take(at) for c in ("k1", "k2", "size", "p"))], ["part", "k1", "k2", "size", "p"])
 
     return run
 
 
-POSTED = "part long, k1 long, k2 long, p array<long>"
+POSTED = "part long, k1 long, k2 long, size int, p array<long>"
 
 
 def _wanted_forms(wanted: np.ndarray):
@@ -276,31 +267,31 @@ def residue(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     """
     folded = words.folded(F.col(text_col))
     rows = spread(df.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), folded.alias("text")))
-    units = cut(rows.mapInArrow(_judged(seed), UNIT), "units")
+    units = cut(rows.mapInArrow(_judged(seed, least), UNIT), "units")
     worded = units.where("block >= 0")
     # one class for all paragraphs with the same words; any fingerprint of a class is its fingerprint
-    classes = worded.groupBy("k1", "k2").agg(F.first("p").alias("p"), F.min(F.when(F.col("id").isNotNull(), F.struct("id", "block"))).alias("at"), F.max(F.col("label").isNotNull()).alias("trusted"))
+    classes = worded.groupBy("k1", "k2").agg(F.first("size").alias("size"), F.first("parts").alias("parts"), F.first("p").alias("p"), F.min(F.when(F.col("id").isNotNull(), F.struct("id", "block"))).alias("at"), F.max(F.col("label").isNotNull()).alias("trusted"))
     classes = cut(classes, "classes")
-    found = cut(classes.where("trusted").select("k1", "k2", "p"), "reached")
+    found = cut(classes.where("trusted").select("k1", "k2", "size", "parts", "p"), "reached")
     frontier, near = found, None
-    width, tables = _tables(found.count())
     apart = sum((F.bit_count(F.col("p")[i].bitwiseXOR(F.col("q")[i])) for i in range(PRINT_BYTES // 8)), F.lit(0))
     while frontier is not None:
-        posted = cut(frontier.mapInArrow(_posted(tables), POSTED), "posted")
-        keep = bit_map(posted, "part", 25)
-        other = classes.mapInArrow(_posted(tables, keep), POSTED).select("part", F.col("k1").alias("l1"), F.col("k2").alias("l2"), F.col("p").alias("q"))
-        met = posted.join(other, "part").where(((F.col("k1") != F.col("l1")) | (F.col("k2") != F.col("l2"))) & (apart <= radius))
-        met = cut(met.select("k1", "k2", "l1", "l2", "q").dropDuplicates(["k1", "k2", "l1", "l2"]), "met")
-        near = met.drop("q") if near is None else near.unionByName(met.drop("q"))
-        new = met.select(F.col("l1").alias("k1"), F.col("l2").alias("k2"), F.col("q").alias("p")).dropDuplicates(["k1", "k2"]).join(found, ["k1", "k2"], "left_anti")
-        new = cut(new, "reached")
+        posted = cut(frontier.mapInArrow(_posted(), POSTED), "posted")
+        keep = bit_map(posted, "part", map_size(posted.count()))
+        other = classes.mapInArrow(_posted(keep), POSTED).select("part", F.col("k1").alias("l1"), F.col("k2").alias("l2"), F.col("size").alias("other"), F.col("p").alias("q"))
+        as_long = (F.col("size") >= F.col("other") * (least - 1e-9)) & (F.col("other") >= F.col("size") * (least - 1e-9))
+        met = posted.join(other, "part").where(((F.col("k1") != F.col("l1")) | (F.col("k2") != F.col("l2"))) & as_long & (apart <= radius))
+        met = cut(met.select("k1", "k2", "l1", "l2").distinct(), "met")
+        near = met if near is None else near.unionByName(met)
+        new = met.select(F.col("l1").alias("k1"), F.col("l2").alias("k2")).distinct().join(found, ["k1", "k2"], "left_anti")
+        new = cut(new.join(classes.select("k1", "k2", "size", "parts", "p"), ["k1", "k2"]), "reached")
         frontier = new if new.limit(1).count() else None
         found = found.unionByName(new)
     place = lambda x, k, m: classes.select(F.col("k1").alias(k), F.col("k2").alias(m), F.concat_ws(":", "k1", "k2").alias(x), F.col("at").alias(f"at_{x}"))
     pairs = near.join(place("a", "k1", "k2"), ["k1", "k2"]).join(place("b", "l1", "l2"), ["l1", "l2"]).where("at_a is not null and at_b is not null")
     pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("at_a")).otherwise(F.col("at_b")).alias("at_a"), F.when(F.col("a") < F.col("b"), F.col("at_b")).otherwise(F.col("at_a")).alias("at_b")).distinct(), "pairs")
     places = pairs.select("at_a.id").unionByName(pairs.select("at_b.id"))
-    forms = cut(rows.where("id is not null").mapInArrow(_wanted_forms(bit_map(places, "id", 22)), "id long, block int, form string"), "forms")
+    forms = cut(rows.where("id is not null").mapInArrow(_wanted_forms(bit_map(places, "id", map_size(2 * pairs.count()))), "id long, block int, form string"), "forms")
     form = lambda x: forms.select(F.struct("id", "block").alias(f"at_{x}"), F.col("form").alias(f"f{x}"))
     full = pairs.join(form("a"), "at_a").join(form("b"), "at_b")
     edges = cut(full.mapInArrow(_alike(least), "a string, b string").distinct(), "edges")
