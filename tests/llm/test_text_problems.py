@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -406,3 +407,18 @@ def test_a_model_of_nothing_finds_nothing(spark):
         assert model.names("Ask for Thandiwe Nkosi today.", []) == [] and model.given == []
     df = spark.createDataFrame([(i, t) for i, t in enumerate(HOSTILE)], "email_id long, text string")
     assert personal.name_model(df).given == [] and personal.name_model(df.limit(0)).given == []
+
+
+def test_residue_pairs_share_a_partition_at_every_size(spark):
+    """Partition keys follow from a paragraph alone, and two paragraphs at the threshold always share one."""
+    rng = np.random.default_rng(4)
+    for n in (1, 4, 5, 9, 10, 40, 333):
+        for _ in range(200):
+            shared = int(np.ceil(0.8 * n))  # the smaller set is part of the larger one: the worst case
+            x = rng.choice(1 << 32, n, replace=False).astype(np.uint32)
+            y = np.sort(rng.choice(x, shared, replace=False))
+            x = np.sort(x)
+            size = np.array([len(x), len(y)])
+            a, b = residue._prefixes(np.concatenate([x, y]), size, size, np.arange(2), 0.8).to_pylist()
+            assert set(a) & set(b) and len(a) == n - shared + 1
+    assert not hasattr(residue, "_tables")  # no shape that follows from the number of rows
