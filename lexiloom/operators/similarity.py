@@ -28,7 +28,7 @@ from lexiloom.runtime import cut, spread
 def representatives(df: DataFrame, id_col: str, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Members (id, rep) of texts with a key, and representatives (rep, key): the smallest id for each key."""
     keyed = spread(df.where(F.col(text_col).isNotNull())).select(F.col(id_col).alias("id"), X.alnum_key(F.col(text_col)).alias("key")).where("key <> ''")
-    keyed = keyed.withColumn("digest", F.sha1("key"))
+    keyed = cut(keyed.withColumn("digest", F.sha1("key")), "keyed")  # keys are made once, for members and representatives
     reps = cut(keyed.groupBy("digest").agg(F.min("id").alias("rep"), F.first("key").alias("key")), "reps")
     members = keyed.select("id", "digest").join(reps.select("digest", "rep"), "digest").select("id", "rep").distinct()
     return members, reps.select("rep", "key")
@@ -62,35 +62,43 @@ def _prefix_candidates(reps: DataFrame, least: float) -> DataFrame:
     return near.select("a", "b").distinct()
 
 
+WIDE = 128  # minima of the bands that the longer signature has besides the 96
+
+
 def _signed(bands: int, width: int, seed: int):
-    """(rep, s1, s2, s3, bands): two-bit signature of 96 minima and the band hashes of other minima."""
+    """(rep, s1, s2, s3, more, bands): two-bit signature of 96 minima, that of WIDE others, and the band hashes of these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in P.slices(whole, "key")):
             codes, counts = P.pieces(*P.keys(batch.column("key")))
-            m = M.minima(M.mixed(codes), counts, None, 96 + bands * width, seed)
-            sig, keys = M.low_bits(m[:, :96]), M.band_keys(m[:, 96:], bands, width)
-            lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, bands, dtype=np.int32), keys.ravel())
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), *(pa.array(sig[:, i].copy()) for i in range(3)), lists], ["rep", "s1", "s2", "s3", "bands"])
+            m = M.minima(M.mixed(codes), counts, None, 96 + max(bands * width, WIDE), seed)
+            sig, more, keys = M.low_bits(m[:, :96]), M.low_bits(m[:, 96 : 96 + WIDE]), M.band_keys(m[:, 96:], bands, width)
+            more, lists = (pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), x.ravel()) for x in (more, keys))
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), *(pa.array(sig[:, i].copy()) for i in range(3)), more, lists], ["rep", "s1", "s2", "s3", "more", "bands"])
 
     return run
 
 
 def _band_candidates(reps: DataFrame, least: float, seed: int = 3) -> DataFrame:
-    """(a, b) of pairs that share a band of minima and whose signatures promise `least`, 3.5 standard deviations allowed.
+    """(a, b) of pairs that share a band of minima and whose signatures promise `least`: that of 96 minima with
+    3.5 standard deviations allowed, then that of all 224 with 3.6.
 
     A pair at `least` shares a band with a chance of 0.998 or more. Bands get wider with the number of texts, so that chance
     meetings stay in proportion.
     """
     width = 3 + max(0, math.ceil(math.log10(max(reps.count(), 1) / 2**18)))
     bands = math.ceil(math.log(0.002) / math.log(1 - least**width))
-    signed = cut(reps.mapInArrow(_signed(bands, width, seed), "rep long, s1 long, s2 long, s3 long, bands array<int>"), "signed")
+    signed = cut(reps.mapInArrow(_signed(bands, width, seed), "rep long, s1 long, s2 long, s3 long, more array<long>, bands array<int>"), "signed")
     posted = signed.select("rep", "s1", "s2", "s3", F.posexplode("bands").alias("at", "band"))
     left, right = (posted.select("at", "band", F.col("rep").alias(x), *[F.col(f"s{i}").alias(f"{x}{i}") for i in (1, 2, 3)]) for x in "ab")
     apart = sum((M.unequal(F.col(f"a{i}"), F.col(f"b{i}")) for i in (1, 2, 3)), F.lit(0))
-    slack = 3.5 * math.sqrt((0.25 + 0.75 * least) * 0.75 * (1 - least) / 96) / 0.75
-    near = left.join(right, ["at", "band"]).where((F.col("a") < F.col("b")) & (M.estimate(apart, 96) >= least - slack))
-    return near.select("a", "b").distinct()
+    slack = lambda n, deviations: deviations * math.sqrt((0.25 + 0.75 * least) * 0.75 * (1 - least) / n) / 0.75
+    near = left.join(right, ["at", "band"]).where((F.col("a") < F.col("b")) & (M.estimate(apart, 96) >= least - slack(96, 3.5)))
+    near = near.select("a", "b", apart.alias("apart")).distinct()
+    for x in "ab":
+        near = near.join(signed.select(F.col("rep").alias(x), F.col("more").alias(f"m{x}")), x)
+    apart = sum((M.unequal(F.col("ma")[i], F.col("mb")[i]) for i in range(WIDE // 32)), F.col("apart"))
+    return near.where(M.estimate(apart, 96 + WIDE) >= least - slack(96 + WIDE, 3.6)).select("a", "b")
 
 
 def similar_pairs(reps: DataFrame, least: float = lexicons.JACCARD, exact: bool = False) -> DataFrame:
@@ -116,7 +124,7 @@ def clusters(df: DataFrame, id_col: str, text_col: str = "text", least: float =
     """(id, cluster) of every row with a text; the cluster is named by its smallest id."""
     members, reps = representatives(df, id_col, text_col)
     members = cut(members, "members")
-    linked = components(similar_pairs(reps, least), "a", "b")
+    linked = components(cut(similar_pairs(reps, least).select("a", "b"), "pairs"), "a", "b")  # read in both directions, compared once
     named = members.join(linked, members.rep == linked.node, "left").select("id", F.coalesce("component", "rep").alias("cluster"))
     rest = df.where(F.col(text_col).isNotNull() & (X.alnum_key(F.col(text_col)) == "")).select(F.col(id_col).alias("id"), F.col(id_col).alias("cluster")).distinct()
     return named.unionByName(rest)
