@@ -52,15 +52,15 @@ def _results(df: DataFrame, names: list[str] = NAMES) -> DataFrame:
     return reduce(DataFrame.unionByName, [_result(kind, df, names) for kind in MODELS])
 
 
-def _temporal(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _temporal(matrix: DataFrame) -> DataFrame:
     """Class 1 and the one year's mailboxes of class 0, balanced and split anew."""
-    df = _matrix(spark, sf_dir).where("label = 1 or source like 'mbox-2022%'").drop("split")
+    df = matrix.where("label = 1 or source like 'mbox-2022%'").drop("split")
     return cut(ranking.stratified_split(ranking.downsampled(df, "label", "email_id"), "label", "email_id"), "subset")
 
 
-def _grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _grouped(spark: SparkSession, sf_dir: str, matrix: DataFrame) -> DataFrame:
     """The matrix with a split that keeps similar texts together, and their cluster."""
-    df = _matrix(spark, sf_dir).drop("split")
+    df = matrix.drop("split")
     found = similarity.clusters(_emails(spark, sf_dir), "email_id")
     placed = similarity.grouped_split(df.select("email_id", "label"), "email_id", "label", found).select(F.col("id").alias("email_id"), "cluster", "split")
     return cut(df.join(placed, "email_id"), "grouped")
@@ -117,13 +117,13 @@ def ablation_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def temporal_subset_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _results(_temporal(spark, sf_dir))
+    return _results(_temporal(_matrix(spark, sf_dir)))
 
 
 @query
 def grouped_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M7: every model refitted on a split that keeps similar texts together."""
-    return _results(_grouped(spark, sf_dir))
+    return _results(_grouped(spark, sf_dir, _matrix(spark, sf_dir)))
 
 
 @query
@@ -195,10 +195,10 @@ def robustness_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     n_test = df.where("split = 'test'").agg(F.count("*").alias("n"))
     again = metrics.scores(made.select("model", "tn", "fp", "fn", "tp"))
     printed = made.select("model", *[F.bround(c, 3).alias(c) for c in ("precision", "recall", "f1", "auc", "accuracy")])
-    grouped, labelled = _grouped(spark, sf_dir), df.agg(F.count("*").alias("n"))
+    grouped, labelled = _grouped(spark, sf_dir, df), df.agg(F.count("*").alias("n"))
     test = grouped.where("split = 'test'")
     redone = similarity.grouped_split(df.select("email_id", "label"), "email_id", "label", grouped.select(F.col("email_id").alias("id"), "cluster")).groupBy("split").agg(F.count("*").alias("n"))
-    subset = _temporal(spark, sf_dir)
+    subset = _temporal(df)
     smaller = df.where("label = 1 or source like 'mbox-2022%'").groupBy("label").agg(F.count("*").alias("n")).agg(F.min("n").alias("n"))
     sizes = ranking.stratified_split(subset.drop("split"), "label", "email_id").groupBy("split").agg(F.count("*").alias("n"))
     kept = [n for n in NAMES if n not in CUES]
