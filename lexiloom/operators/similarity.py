@@ -149,6 +149,7 @@ def grouped_split(df: DataFrame, id_col: str, label_col: str, found: DataFrame,
     from lexiloom.operators.ranking import order_hash
 
     rows = df.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).join(found, "id")
+    rows = cut(rows, "rows")  # read three times below; making them may mean keys of all texts
     sizes = rows.groupBy("cluster").agg(F.count("*").alias("n"), F.bround(F.avg("label")).cast("int").alias("class"))
     sizes = sizes.withColumn("hash", order_hash(F.col("cluster"), seed)).withColumn("range", F.substring("hash", 1, 3))
     ranges = sizes.groupBy("class", "range").agg(F.sum("n").alias("m"))
