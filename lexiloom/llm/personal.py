@@ -3,7 +3,7 @@
 Items are sought in a shadow of the text without invisible characters, with look-alike letters folded and all blanks
 alike, so that obfuscation hides nothing; values are cut from the original at the same places. Names are found by given
 names (built-in, from display names of senders, and learned), by initials, titles, salutations and field labels, and by a
-model of their context that is fitted on a bounded sample of the corpus's own texts (names.py).
+model of their context that is fitted on all texts of the corpus (names.py).
 
 Surrogates are keyed permutations (surrogates.py): an item gets the same replacement wherever it stands (coreference), and
 two different items of a kind never share one. Given names are replaced by names of the same gender, words by words of the
@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 
 from lexiloom import lexicons
 from lexiloom.llm import encoding, names, surrogates
-from lexiloom.llm.names import NameModel, learned
+from lexiloom.llm.names import NameModel, Words, learned
 from lexiloom.llm.surrogates import Surrogates
-from lexiloom.runtime import spread
+from lexiloom.runtime import cut, spread
 
 # Given names in use across Europe, by gender.
 FEMALE = (
@@ -245,7 +245,9 @@ class Finder:
         """(start, end, kind) of all items in order, without overlaps."""
         if not text:
             return []
-        t, at = self.shadow(text)
+        return self._find(*self.shadow(text))
+
+    def _find(self, t: str, at: list[int] | None) -> list[tuple[int, int, str]]:
         found = list(self._emails(t))
         if _DIGITS.search(t):
             for run in _FIGURES.finditer(t):
@@ -314,41 +316,145 @@ def given_names(senders: DataFrame, sender_col: str = "sender") -> list[str]:
     return sorted(r["name"] for r in rows.collect())  # grows with the distinct given names, not with the rows
 
 
+FOUND = "id long, text string, starts array<int>, ends array<int>, kinds array<string>, open boolean, a int, b int, language string, word string, small long, large long, inside boolean"
+_PIECE = re.compile(r"\S+")
+_WORDS = 200_000  # words that a task counts before it passes them on
+
+
+def found(df: DataFrame, given: list[str] | None = None, id_col: str = "email_id", text_col: str = "text", ordinary: set[str] | None = None) -> DataFrame:
+    """Every text with the items that need no model and whether a model may add some; runs of uncommon words (with a
+    language, NameModel.runs) and counts of words (with a word) as rows of their own.
+
+    items, pseudonymised and name_model take this table in place of the texts, so that these are searched once.
+    """
+    plain = NameModel(names.vocabulary() if ordinary is None else ordinary)
+    schema = pa.schema([("id", pa.int64()), ("text", pa.string()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("kinds", pa.list_(pa.string())), ("open", pa.bool_()), ("a", pa.int32()), ("b", pa.int32()), ("language", pa.string()), ("word", pa.string()), ("small", pa.int64()), ("large", pa.int64()), ("inside", pa.bool_())])
+
+    def filled(made: dict, n: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) if f.name in made else pa.nulls(n, f.type) for f in schema], schema=schema)
+
+    def told(rows: list[tuple], columns: tuple[str, ...]) -> pa.RecordBatch:
+        return filled(dict(zip(columns, zip(*rows))) if rows else {}, len(rows))
+
+    def parted(own: list[list[tuple]]) -> dict[str, list]:
+        return {c: [[x[i] for x in row] for row in own] for i, c in enumerate(("starts", "ends", "kinds"))}
+
+    def may_add(t: str, items: list[tuple[int, int, str]]) -> bool:
+        """Whether a run holds two words in capitals outside the items."""
+        outside = lambda at: not any(x <= at < y for x, y, _ in items)
+        return any(sum(w.group()[0].isupper() and outside(w.start()) for w in _PIECE.finditer(t, a, b)) > 1 for a, b in plain.spans(t))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder, words = Finder(given), Words(plain)
+        for batch in batches:
+            own, may, runs = [], [], []
+            texts = batch.column("text").to_pylist()
+            for text in texts:
+                if not text:
+                    own.append([])
+                    may.append(False)
+                    continue
+                words.add(text)
+                t, at = finder.shadow(text)
+                own.append(finder._find(t, at))
+                met = plain.runs(text, own[-1])
+                for r in met:
+                    words.meet(r[0][r[1] : r[2]])
+                runs += met
+                if t == text:
+                    may.append(bool(met) and may_add(t, own[-1]))
+                else:
+                    other = plain.spans(t)
+                    for a, b in other:
+                        words.meet(t[a:b])
+                    may.append(bool(other) and (at is not None or may_add(t, own[-1])))
+            yield filled({"id": batch.column("id"), "text": texts, "open": may} | parted(own), len(texts))
+            if runs:
+                near, a, b, items, language = zip(*runs)
+                yield filled({"text": near, "a": a, "b": b, "language": language} | parted(list(items)), len(runs))
+            if len(words.small) + len(words.large) > _WORDS:
+                yield told(list(words.taken()), ("word", "small", "large", "inside"))
+        yield told(list(words.taken()), ("word", "small", "large", "inside"))
+
+    rows = spread(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")))
+    return cut(rows.mapInArrow(run, FOUND), "found")
+
+
 def name_model(df: DataFrame, given: list[str] | None = None, id_col: str = "email_id", text_col: str = "text") -> NameModel:
-    """What the corpus itself tells about names: learned from a bounded sample of its texts (names.SAMPLE)."""
-    return learned(df, Finder(given).find, id_col, text_col)
+    """What the corpus itself tells about names, learned from all its texts; df holds texts or is what found() made of them."""
+    return learned(df if "starts" in df.columns else found(df, given, id_col, text_col), names.vocabulary())
+
+
+class _Rest:
+    """Items of texts, or what the model adds to those of found()."""
+
+    def __init__(self, given: list[str] | None, model: NameModel | None):
+        self.finder = Finder(given, model)
+        new = self.finder.given - Finder(given).given
+        self.exact, self.loose = (ahocorasick.Automaton() for _ in range(2))
+        for v in new:
+            self.exact.add_word(v, len(v))
+            self.loose.add_word(v.lower(), len(v.lower()))
+        self.exact.make_automaton()
+        self.loose.make_automaton()
+
+    def _changed(self, t: str) -> bool:
+        """Whether a word may begin with a given name that the model adds."""
+        if not len(self.exact):
+            return False
+        caseless = not _LOWER.search(t) or not _UPPER.search(t)
+        return any(last < size or not _INKED.match(t[last - size : last + 1 - size]) for last, size in (self.loose.iter(t.lower()) if caseless else self.exact.iter(t)))
+
+    def of(self, batch: pa.RecordBatch) -> Iterator[tuple[str | None, list[tuple[int, int, str]]]]:
+        """(text, items) of each row."""
+        texts = batch.column("text").to_pylist()
+        if "starts" not in batch.schema.names:
+            yield from ((text, self.finder.find(text)) for text in texts)
+            return
+        for text, own, may_add in zip(texts, names.spans(batch), batch.column("open").to_pylist()):
+            if text and (may_add or len(self.exact)):
+                t, at = self.finder.shadow(text)
+                if self._changed(t) or may_add and at is not None:
+                    own = self.finder._find(t, at)
+                elif may_add and self.finder.model:
+                    own = sorted(own + [(a, b, "NAME") for a, b in self.finder.model.names(t, [(a, b) for a, b, _ in own])])
+            yield text, own
+
+
+def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    if "starts" in df.columns:
+        return df.where("word is null and language is null").select("id", "text", "starts", "ends", "kinds", "open")
+    return spread(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")))
 
 
 def items(df: DataFrame, id_col: str = "email_id", text_col: str = "text", given: list[str] | None = None, model: NameModel | None = None) -> DataFrame:
     """(id, kind, value): one row per distinct item of a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Finder(given, model)
+        rest = _Rest(given, model)
         for batch in batches:
             ids, kinds, values = [], [], []
-            for i, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
-                for kind, value in dict.fromkeys((kind, text[a:b]) for a, b, kind in finder.find(text)):
+            for i, (text, own) in zip(batch.column("id").to_pylist(), rest.of(batch)):
+                for kind, value in dict.fromkeys((kind, text[a:b]) for a, b, kind in own):
                     ids.append(i)
                     kinds.append(kind)
                     values.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(kinds, pa.string()), pa.array(values, pa.string())], ["id", "kind", "value"])
 
-    rows = spread(df.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")))
-    return rows.mapInArrow(run, "id long, kind string, value string").select(F.col("id").alias(id_col), "kind", "value")
+    made = _rows(df, id_col, text_col).where("text is not null").mapInArrow(run, "id long, kind string, value string")
+    return made.select(F.col("id").alias(id_col), "kind", "value")
 
 
 def pseudonymised(df: DataFrame, key: str, id_col: str = "email_id", text_col: str = "text", given: list[str] | None = None, model: NameModel | None = None) -> DataFrame:
     """(id, text, items): every text with its items replaced, and how many places were replaced."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder, made = Finder(given, model), Surrogates(key.encode(), FEMALE, MALE)
+        rest, made = _Rest(given, model), Surrogates(key.encode(), FEMALE, MALE)
         for batch in batches:
             texts, counts = [], []
-            for text in batch.column("text").to_pylist():
-                found = finder.find(text) if text else []
-                texts.append(replaced(text, found, made) if found else text)
-                counts.append(len(found))
+            for text, own in rest.of(batch):
+                texts.append(replaced(text, own, made) if own else text)
+                counts.append(len(own))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(texts, pa.string()), pa.array(counts, pa.int32())], ["id", "text", "n_items"])
 
-    rows = spread(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")))
-    return rows.mapInArrow(run, "id long, text string, n_items int").select(F.col("id").alias(id_col), "text", "n_items")
+    return _rows(df, id_col, text_col).mapInArrow(run, "id long, text string, n_items int").select(F.col("id").alias(id_col), "text", "n_items")

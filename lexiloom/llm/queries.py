@@ -39,13 +39,15 @@ def p2_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     emails = table(spark, sf_dir, "emails")
     given = personal.given_names(emails)
-    return personal.items(emails, given=given, model=personal.name_model(emails, given))
+    found = personal.found(emails, given)
+    return personal.items(found, given=given, model=personal.name_model(found, given))
 
 
 def p3_pseudonymised(spark: SparkSession, sf_dir: str) -> DataFrame:
     emails = table(spark, sf_dir, "emails")
     given = personal.given_names(emails)
-    return personal.pseudonymised(emails, key="lexiloom", given=given, model=personal.name_model(emails, given))
+    found = personal.found(emails, given)
+    return personal.pseudonymised(found, key="lexiloom", given=given, model=personal.name_model(found, given))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

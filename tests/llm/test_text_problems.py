@@ -409,6 +409,21 @@ def test_a_model_of_nothing_finds_nothing(spark):
     assert personal.name_model(df).given == [] and personal.name_model(df.limit(0)).given == []
 
 
+def test_all_texts_teach_names(spark):
+    """The model of a corpus is what all its texts make together, however few of many tell; each text is searched once."""
+    rng = random.Random(6)
+    told = _letters(rng, 300, personal.FEMALE + personal.MALE) + _letters(rng, 40, UNKNOWN)
+    texts = [t for t, _ in told] + ["We wrote in May.", None, "", "ASK FOR THANDIWE BRESKATOL\n\nDear Siobhan,\n", "Ask\u00a0for  Takeshi Skatolvik today.  "] + ["the bills of this month are due"] * 13_000
+    rng.shuffle(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "email_id long, text string").repartition(7).cache()
+    want = personal.names.fit([t for t in texts if t], personal.Finder().find, personal.names.vocabulary())
+    found = personal.found(df)
+    model = personal.name_model(found)
+    assert want.given and model.given == want.given and model.least == want.least and (model.weights == want.weights).all()
+    assert sorted(personal.items(found, model=model).collect()) == sorted(personal.items(df, model=want).collect())
+    assert sorted(personal.pseudonymised(found, "k", model=model).collect()) == sorted(personal.pseudonymised(df, "k", model=want).collect())
+
+
 def test_residue_pairs_share_a_partition_at_every_size(spark):
     """Partition keys follow from a paragraph alone, and two paragraphs at the threshold always share one."""
     rng = np.random.default_rng(4)
