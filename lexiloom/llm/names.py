@@ -116,9 +116,8 @@ class NameModel:
         """Runs of capitalised words with two uncommon ones; more common words never give more of them."""
         return [m.span() for m in RUN.finditer(text) if sum(not self.common(w) for w in m.group().split() if w[0].isupper()) >= 2] if _CASED.search(text) else []
 
-    def runs(self, text: str, items: list[tuple[int, int, str]]) -> list[tuple]:
-        """(surroundings, start and end in them, items that it meets, language) of each of spans(): all that candidates in it are judged by."""
-        met = self.spans(text)
+    def runs(self, text: str, items: list[tuple[int, int, str]], met: list[tuple[int, int]]) -> list[tuple]:
+        """(surroundings, start and end in them, items that it meets, language) of each of `met`, the spans(): all that candidates in it are judged by."""
         language = _language(text.lower().split()) if met else ""
         lows = [max(0, a - 60) for a, _ in met]
         return [(text[low : b + 41], a - low, b - low, [(x - low, y - low, kind) for x, y, kind in items if x <= b and a < y], language) for low, (a, b) in zip(lows, met)]
@@ -157,6 +156,12 @@ class Words:
         known = self.model.ordinary
         if len(self.seen) > 1 << 18:
             self.seen.clear()
+        if piece.isascii() and (piece.isalpha() and (piece.islower() or piece.istitle()) or piece.lower() == piece.upper()):  # what the patterns below say of it
+            low = piece.lower()
+            new = low != piece.upper() and low not in known
+            made = (0, (piece,) if new and len(piece) > 1 else (), ()) if low == piece else (int(len(piece) > 1), (), (piece,) if new else ())
+            self.seen[piece] = made = made if any(made) else _NONE
+            return made
         small = tuple(w for w in _SMALL.findall(piece) if w not in known)
         large = tuple(w for w in _WORD.findall(piece) if w[0].isupper() and w.lower() not in known)
         made = (len(_CASED.findall(piece)), small, large)
@@ -216,7 +221,7 @@ def fit(texts: list[str], known, ordinary: set[str]) -> NameModel:
     for text in texts:
         words.add(text)
     model.ordinary |= {w for w, n, large, _ in words.taken() if n > 1 and n * 10 >= large}
-    runs = [run for t in texts for run in model.runs(t, known(t))]
+    runs = [run for t in texts for run in model.runs(t, known(t), model.spans(t))]
     openers = Counter(w for run in runs for w in model.openers(*run))
     model.ordinary |= {w.lower() for w, n in openers.items() if n > 2}
     rows = [row for run in runs for row in model.rows(*run)]

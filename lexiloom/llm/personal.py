@@ -91,7 +91,7 @@ _ID = re.compile(
 _NUMBERED = re.compile(r"(?i)(?:number|confirm|nummer|documento|\bnot\S{1,4})\s?[:=]?\s?\Z")
 _STREET = r"(?:Street|Road|Avenue|Lane|Close|Terrace|Drive|Way|Court|Place|Square|Crescent|Boulevard|Gardens|Grove|Row|Hill|Mews|Park|STREET|ROAD|AVENUE|LANE|CLOSE|TERRACE|DRIVE|WAY|COURT|PLACE|street|road|avenue|lane|close|terrace|drive|way|court|place|(?i:St|Rd|Ave|Ln|Dr|Blvd|Cres|Sq)\b\.?)"
 _UNIT = r"(?i:Flat|Unit|Apt|Apartment|Suite|Room|Floor)\.?\s\d{1,4}[A-Za-z]?"
-_NUMBER = re.compile(r"(?<![\w/.,\-])\d{1,4}[a-zA-Z]?(?!\w)(?![.,]\d)|(?<=/)\d{1,4}[a-zA-Z]?(?![\w/])")
+_NUMBER = re.compile(r"\d(?:(?<![\w/.,\-]\d)\d{0,3}[a-zA-Z]?(?!\w)(?![.,]\d)|(?<=/\d)\d{0,3}[a-zA-Z]?(?![\w/]))")  # begins with what is rare
 _UNIT_BEFORE = re.compile(rf"(?<![\w]){_UNIT}(?:,\s|/|\s)\Z")
 _UNIT_NUMBER = re.compile(r"(?i)\b(?:flat|unit|apt|apartment|suite|room|floor)\.?\s\Z")
 _ENGLISH = re.compile(rf"(?:\s{_INK}+){{1,3}}?\s{_STREET}(?![\w-])(?:,\s{_UNIT}(?!\w))?")
@@ -272,7 +272,7 @@ class Finder:
 
 
 _BLANKS = " \t\r\x0b\x0c\u00a0\u2009\u202f"
-_UNEVEN = re.compile(f"[{lexicons.INVISIBLE}]|[{_BLANKS}][{_BLANKS}\n]|\n[{_BLANKS}]")
+_UNEVEN = re.compile(f"[{lexicons.INVISIBLE}{_BLANKS}\n](?:(?<=[{lexicons.INVISIBLE}])|(?<=[{_BLANKS}])[{_BLANKS}\n]|(?<=\n)[{_BLANKS}])")
 _FOLD = str.maketrans(lexicons.LOOKALIKE_FROM + "   \t\r", lexicons.LOOKALIKE_TO + "     ")
 _FOLDED = re.compile("[\\u00a0\\u2009\\u202f\t\r" + lexicons.LOOKALIKE_FROM + "]")
 _LETTERED = re.compile(r"[A-Za-z].*[A-Za-z]|[^\W\d_]{3}")
@@ -339,10 +339,10 @@ def found(df: DataFrame, given: list[str] | None = None, id_col: str = "email_id
     def parted(own: list[list[tuple]]) -> dict[str, list]:
         return {c: [[x[i] for x in row] for row in own] for i, c in enumerate(("starts", "ends", "kinds"))}
 
-    def may_add(t: str, items: list[tuple[int, int, str]]) -> bool:
+    def may_add(t: str, items: list[tuple[int, int, str]], met: list[tuple[int, int]]) -> bool:
         """Whether a run holds two words in capitals outside the items."""
         outside = lambda at: not any(x <= at < y for x, y, _ in items)
-        return any(sum(w.group()[0].isupper() and outside(w.start()) for w in _PIECE.finditer(t, a, b)) > 1 for a, b in plain.spans(t))
+        return any(sum(w.group()[0].isupper() and outside(w.start()) for w in _PIECE.finditer(t, a, b)) > 1 for a, b in met)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder, words = Finder(given), Words(plain)
@@ -357,17 +357,12 @@ def found(df: DataFrame, given: list[str] | None = None, id_col: str = "email_id
                 words.add(text)
                 t, at = finder.shadow(text)
                 own.append(finder._find(t, at))
-                met = plain.runs(text, own[-1])
-                for r in met:
-                    words.meet(r[0][r[1] : r[2]])
-                runs += met
-                if t == text:
-                    may.append(bool(met) and may_add(t, own[-1]))
-                else:
-                    other = plain.spans(t)
-                    for a, b in other:
-                        words.meet(t[a:b])
-                    may.append(bool(other) and (at is not None or may_add(t, own[-1])))
+                met = plain.spans(text)
+                runs += plain.runs(text, own[-1], met)
+                other = met if t == text else plain.spans(t)
+                for said in {text[a:b] for a, b in met} | {t[a:b] for a, b in other}:
+                    words.meet(said)
+                may.append(bool(other) and (at is not None or may_add(t, own[-1], other)))
             yield filled({"id": batch.column("id"), "text": texts, "open": may} | parted(own), len(texts))
             if runs:
                 near, a, b, items, language = zip(*runs)
