@@ -71,7 +71,7 @@ def counted(df: DataFrame, text_col: str = "text") -> DataFrame:
         "v": F.col("__c_stats.v"), "hapax": F.col("__c_stats.v") - F.col("__c_stats.twice"), "dis": F.col("__c_stats.twice") - F.col("__c_stats.thrice"), "sq": F.col("__c_stats.sq"),
         "len": F.col("__c_stats.len"), "len2": F.col("__c_stats.len2"), "syllables": syllables(low),
         "comma": _count(t, ","), "period": _count(t, "[.]"), "exclamation": _count(t, "!"), "question": _count(t, "[?]"), "punctuation": _count(t, "[,.;:!?'\"()-]"),
-        "upper": _count(t, r"\p{IsUppercase}"), "digit": _count(t, rf"[\p{{Nd}}{_OTHER_DIGITS}]"), "url": _count(t, lexicons.URL), "email": _count(t, lexicons.EMAIL),
+        "upper": _count(t, r"\p{IsUppercase}"), "digit": _count(t, rf"[[0-9[^\x00-\x7f]]&&[\p{{Nd}}{_OTHER_DIGITS}]]"), "url": _count(t, lexicons.URL), "email": F.when(F.contains(t, F.lit("@")), _count(t, lexicons.EMAIL)).otherwise(F.lit(0).cast("long")),
         "urgent": F.size(F.filter("__c_words", lambda w: w.isin(lexicons.URGENCY_WORDS))).cast("long"),
     }
     # one expression for all function words: a projection of 70 would be too large for compiled code

@@ -12,7 +12,7 @@ from lexiloom import lexicons
 from lexiloom.functions import style
 from lexiloom.functions import text as X
 from lexiloom.operators import checks, dedupe, metrics, models, ranking, screen, similarity
-from lexiloom.plans.queries import _emails, _labelled, _reasoned, query
+from lexiloom.plans.queries import _class_means, _emails, _labelled, _reasoned, query
 from lexiloom.runtime import cut, shared_dir, table
 from lexiloom.sources import readers, writers
 
@@ -31,6 +31,15 @@ def _matrix(spark: SparkSession, sf_dir: str, digits: int | None = None) -> Data
     return cut(style.features(ranking.stratified_split(rows, "label", "email_id"), digits=digits).drop("text"), "matrix")
 
 
+def _described(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All labelled texts, copies included, with their features, and the matrix, whose rows are taken from these."""
+    rows = style.features(_emails(spark, sf_dir, "label", "source").where("label in (0, 1)")).withColumn("__row", F.monotonically_increasing_id())
+    rows = cut(rows, "described")
+    kept = dedupe.loader_dedupe(rows.select("email_id", "text", "label", "source", "__row"), "email_id")
+    split = ranking.stratified_split(kept.drop("text"), "label", "email_id").select("__row", "split")
+    return rows, cut(rows.drop("text").join(split, "__row").drop("__row"), "matrix")
+
+
 def _fit(kind: str, train: DataFrame, names: list[str]):
     """A model of the training part; class weights come from that part alone."""
     rows = models.weighted(train, positive_only=kind == "boosted")
@@ -229,14 +238,13 @@ def robustness_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def feature_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class means written as JSON and as a table of six decimals agree when read again (J6); both importances share what they say they share."""
-    from lexiloom.plans.queries import queries as registered
-
-    means = cut(registered()["class_means"](spark, sf_dir), "means")
+    rows, matrix = _described(spark, sf_dir)
+    means = cut(_class_means(rows.select("label", *[F.round(c, 6).alias(c) for c in style.FOCUS])), "means")
     path = f"{shared_dir(spark)}/means-{uuid.uuid4().hex}"
     writers.write_json(means, f"{path}-json")
     writers.write_table_csv(means, f"{path}-csv")
     said, shown = readers.read_json(spark, f"{path}-json", lines=True), spark.read.csv(f"{path}-csv", header=True)
-    impurity, top = (cut(x, "ranked") for x in _importances(_matrix(spark, sf_dir)))
+    impurity, top = (cut(x, "ranked") for x in _importances(matrix))
     agreed = metrics.spearman(impurity, top, "feature")
     common = impurity.join(top.where("rank <= 20"), "feature").agg(F.count("*").alias("n"))
     return checks.report([

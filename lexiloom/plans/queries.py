@@ -107,8 +107,11 @@ def feature_vector_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def class_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Means of the 16 focus features by class, features as rows; each value is rounded so that sums are stable to 4 digits."""
-    rows = _style(_emails(spark, sf_dir, "label").where("label in (0, 1)"), *style.FOCUS).drop("text")
-    long = rows.unpivot(["label"], style.FOCUS, "feature", "value")
+    return _class_means(_style(_emails(spark, sf_dir, "label").where("label in (0, 1)"), *style.FOCUS).drop("text"))
+
+
+def _class_means(rows: DataFrame) -> DataFrame:
+    long = rows.select("label", *style.FOCUS).unpivot(["label"], style.FOCUS, "feature", "value")
     mean = lambda v: F.round(F.avg(F.when(F.col("label") == v, F.col("value"))), 4)
     return long.groupBy("feature").agg(mean(0).alias("class_0"), mean(1).alias("class_1"))
 

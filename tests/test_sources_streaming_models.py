@@ -161,3 +161,20 @@ def test_descent_against_plain_numpy(spark):
     assert [r["score"] for r in sorted(scored, key=lambda r: r["id"])] == pytest.approx((1 / (1 + np.exp(-(z @ w + b)))).tolist())
     with pytest.raises(ValueError, match="no rows"):
         models.descent(df.limit(0), ["a"])
+
+
+def test_feature_checks_describe_each_text_once(spark, tmp_path):
+    """Means and matrix come from one table of features and equal those of the queries; ids may repeat."""
+    from lexiloom.functions import style
+    from lexiloom.plans import model_queries
+    from lexiloom.plans import queries as core
+
+    texts = ["Please pay 5 EUR to a@b.com now.", "please  pay 5 EUR to a@b.com now.", "We met in ٣ rooms, m² and so on!", "", " ", None, "Is it the one?", "Nobody knows why it rains."]
+    rows = [(i % 30, f"{t} {i % 9}" if t and t.strip() else t, i % 3, f"s{i % 2}") for i, t in enumerate(texts * 6)]
+    spark.createDataFrame(rows, "email_id long, text string, label int, source string").write.parquet(f"{tmp_path}/emails.parquet")
+    found, matrix = model_queries._described(spark, str(tmp_path))
+    want = model_queries._matrix(spark, str(tmp_path))
+    as_set = lambda df: sorted(map(repr, df.select(*want.columns).collect()))
+    assert as_set(matrix) == as_set(want) and want.count() > 5
+    means = core._class_means(found.select("label", *[F.round(c, 6).alias(c) for c in style.FOCUS]))
+    assert sorted(map(repr, means.collect())) == sorted(map(repr, core.queries()["class_means"](spark, str(tmp_path)).collect()))
