@@ -29,6 +29,8 @@ FOCUS = (
 # Superscript, subscript and circled digits, which count as digits besides decimal digits.
 _OTHER_DIGITS = "²³¹⁰⁴-⁹₀-₉①-⑨⑴-⑼⒈-⒐⓪⓵-⓽⓿❶-❾➀-➈➊-➒"
 _CONSONANTS = "bcdfghjklmnpqrstvwxz'"
+#: An address can begin only at the end of the last one or at the first of the characters that its name may hold; looked for nowhere else.
+_EMAIL = rf"(?:\G|(?<![A-Za-z0-9._%+-])){lexicons.EMAIL}"
 
 
 def _count(text: Column, pattern: str) -> Column:
@@ -41,7 +43,7 @@ def _ratio(a: Column, b: Column) -> Column:
 
 def syllables(low: Column) -> Column:
     """Vowel groups of all words of a lower-case text: one less for words of several groups that end in e, one for words without any."""
-    silent = f"(?<![a-z'])[a-z']*[aeiouy][{_CONSONANTS}][a-z']*e(?![a-z'])"
+    silent = f"(?<![a-z'])(?=[a-z']++(?<=e))[a-z']*[aeiouy][{_CONSONANTS}][a-z']*e(?![a-z'])"
     mute = f"(?<![a-z'])[{_CONSONANTS}]+(?![a-z'])"
     return _count(low, "[aeiouy]+") - _count(low, silent) + _count(low, mute)
 
@@ -50,6 +52,7 @@ def counted(df: DataFrame, text_col: str = "text") -> DataFrame:
     """df with the integer counts that all features are made of, in columns whose names begin with `__c_`."""
     t = F.coalesce(F.col(text_col), F.lit(""))
     low = F.lower(t)
+    wide = F.regexp_replace(t, r"[\x00-\x7f]+", "")  # few texts have many such characters; classes beyond ASCII are slow to test
     out = df.withColumn("__c_words", F.sort_array(X.words(t)))
     start = F.struct(*[F.lit(v).cast(k).alias(n) for n, v, k in (("last", "", "string"), ("run", 0, "long"), ("v", 0, "long"), ("twice", 0, "long"), ("thrice", 0, "long"), ("sq", 0, "long"), ("len", 0, "long"), ("len2", 0, "long"))])
 
@@ -71,7 +74,7 @@ def counted(df: DataFrame, text_col: str = "text") -> DataFrame:
         "v": F.col("__c_stats.v"), "hapax": F.col("__c_stats.v") - F.col("__c_stats.twice"), "dis": F.col("__c_stats.twice") - F.col("__c_stats.thrice"), "sq": F.col("__c_stats.sq"),
         "len": F.col("__c_stats.len"), "len2": F.col("__c_stats.len2"), "syllables": syllables(low),
         "comma": _count(t, ","), "period": _count(t, "[.]"), "exclamation": _count(t, "!"), "question": _count(t, "[?]"), "punctuation": _count(t, "[,.;:!?'\"()-]"),
-        "upper": _count(t, r"\p{IsUppercase}"), "digit": _count(t, rf"[[0-9[^\x00-\x7f]]&&[\p{{Nd}}{_OTHER_DIGITS}]]"), "url": _count(t, lexicons.URL), "email": F.when(F.contains(t, F.lit("@")), _count(t, lexicons.EMAIL)).otherwise(F.lit(0).cast("long")),
+        "upper": _count(t, r"\p{IsUppercase}"), "digit": _count(t, "[0-9]") + _count(wide, rf"[\p{{Nd}}{_OTHER_DIGITS}]"), "url": _count(t, lexicons.URL), "email": F.when(F.contains(t, F.lit("@")), _count(t, _EMAIL)).otherwise(F.lit(0).cast("long")),
         "urgent": F.size(F.filter("__c_words", lambda w: w.isin(lexicons.URGENCY_WORDS))).cast("long"),
     }
     # one expression for all function words: a projection of 70 would be too large for compiled code

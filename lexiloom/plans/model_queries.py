@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,12 +26,29 @@ MODELS = ("logreg", "forest", "boosted")
 FOREST = {"numTrees": 200, "maxDepth": 10}
 BOOST = {"maxIter": 100, "maxDepth": 3}
 ROWS_PER_PARTITION = 20_000
+MOST_ROWS_PER_PARTITION = 500_000
+
+
+def _at_once(spark: SparkSession, *made: Callable) -> list:
+    """Results of functions that run Spark jobs, run side by side: where jobs of one leave cores idle, those of another use them."""
+    with ThreadPoolExecutor(len(made)) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(f)) for f in made]]
+
+
+def _unique(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All labelled texts without copies."""
+    return dedupe.loader_dedupe(_emails(spark, sf_dir, "label", "source").where("label in (0, 1)"), "email_id")
 
 
 def _matrix(spark: SparkSession, sf_dir: str, digits: int | None = None) -> DataFrame:
     """Features and split of all labelled texts; copies are dropped before the split."""
-    rows = dedupe.loader_dedupe(_emails(spark, sf_dir, "label", "source").where("label in (0, 1)"), "email_id")
-    return cut(style.features(ranking.stratified_split(rows, "label", "email_id"), digits=digits).drop("text"), "matrix")
+    return cut(style.features(ranking.stratified_split(_unique(spark, sf_dir), "label", "email_id"), digits=digits).drop("text"), "matrix")
+
+
+def _unsplit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matrix without a split, in even parts: features take far more time than the shuffle before them, whose parts adaptive execution would join by bytes."""
+    parts = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return cut(style.features(_unique(spark, sf_dir).repartition(parts, "email_id")).drop("text"), "matrix")
 
 
 def _described(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -41,12 +61,19 @@ def _described(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _fit(kind: str, train: DataFrame, names: list[str]):
-    """A model of the training part; class weights come from that part alone."""
-    rows = models.weighted(train, positive_only=kind == "boosted")
-    if kind == "logreg":  # an iteration is a pass over all partitions, so small ones cost more than they save
-        n = train.count()
-        return models.logistic(names, n).fit(rows.coalesce(max(1, n // ROWS_PER_PARTITION)))
-    return {"forest": lambda: models.forest(names, **FOREST), "boosted": lambda: models.boosted(names, **BOOST)}[kind]().fit(rows)
+    """A model of the training part; class weights come from that part alone.
+
+    Every iteration is a pass over all partitions, and from each partition a forest sends the statistics of all its nodes,
+    whatever the number of rows; so there are no more partitions than cores unless they would get very large.
+    """
+    rows, n = models.weighted(train, positive_only=kind == "boosted"), train.count()
+    cores, least = train.sparkSession.sparkContext.defaultParallelism, n // MOST_ROWS_PER_PARTITION
+    few = max(1, min(cores, n // ROWS_PER_PARTITION), least)
+    if kind == "logreg":
+        return models.logistic(names, n).fit(rows.coalesce(few))
+    if kind == "forest":
+        return models.forest(names, **FOREST).fit(rows.repartition(max(cores, least), "email_id"))
+    return models.boosted(names, **BOOST).fit(rows.repartition(few, "email_id"))
 
 
 def _scored(kind: str, df: DataFrame, names: list[str] = NAMES) -> DataFrame:
@@ -58,7 +85,8 @@ def _result(kind: str, df: DataFrame, names: list[str] = NAMES) -> DataFrame:
 
 
 def _results(df: DataFrame, names: list[str] = NAMES) -> DataFrame:
-    return reduce(DataFrame.unionByName, [_result(kind, df, names) for kind in MODELS])
+    """All models' results; the models are fitted side by side."""
+    return reduce(DataFrame.unionByName, _at_once(df.sparkSession, *[lambda kind=kind: _result(kind, df, names) for kind in MODELS]))
 
 
 def _temporal(matrix: DataFrame) -> DataFrame:
@@ -67,10 +95,10 @@ def _temporal(matrix: DataFrame) -> DataFrame:
     return cut(ranking.stratified_split(ranking.downsampled(df, "label", "email_id"), "label", "email_id"), "subset")
 
 
-def _grouped(spark: SparkSession, sf_dir: str, matrix: DataFrame) -> DataFrame:
-    """The matrix with a split that keeps similar texts together, and their cluster."""
-    df = matrix.drop("split")
-    found = similarity.clusters(_emails(spark, sf_dir), "email_id")
+def _grouped(spark: SparkSession, sf_dir: str, matrix: DataFrame | None = None) -> DataFrame:
+    """The matrix, made beside the clusters if not given, with a split that keeps similar texts together, and their cluster."""
+    made, found = _at_once(spark, lambda: _unsplit(spark, sf_dir) if matrix is None else matrix, lambda: similarity.clusters(_emails(spark, sf_dir), "email_id"))
+    df = made.drop("split")
     placed = similarity.grouped_split(df.select("email_id", "label"), "email_id", "label", found).select(F.col("id").alias("email_id"), "cluster", "split")
     return cut(df.join(placed, "email_id"), "grouped")
 
@@ -132,7 +160,7 @@ def temporal_subset_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def grouped_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M7: every model refitted on a split that keeps similar texts together."""
-    return _results(_grouped(spark, sf_dir, _matrix(spark, sf_dir)))
+    return _results(_grouped(spark, sf_dir))
 
 
 @query
