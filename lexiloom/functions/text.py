@@ -38,7 +38,7 @@ def loader_form(text: Column) -> Column:
 
 def alnum_key(text: Column) -> Column:
     """Lower case, a-z and 0-9 only."""
-    return F.regexp_replace(F.lower(text), "[^a-z0-9]", "")
+    return F.regexp_replace(F.lower(text), "[^a-z0-9]+", "")
 
 
 @F.pandas_udf(StringType())
