@@ -14,12 +14,15 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +31,7 @@ from lexiloom.runtime import cut
 
 VOCABULARIES = ("/opt/tokenizers/byte_bpe_50k.tiktoken", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
 _CELLS = 1 << 14
+_KEPT, _RUNS = 1 << 18, 1 << 16  # pieces, and words or runs, that a task remembers
 _UNIT = 1 << 20  # chances and slopes are added up in units of 1 / _UNIT
 _ROWS = 200_000  # distinct rows a task of a round, which costs little but its start
 _PART = r"(?:(?:van|von|de|del|der|den|di|da|la|le|ter|ten|bin|al|dos|du|zu|zur)\s)"
@@ -36,6 +40,10 @@ RUN = regex.compile(rf"(?<![\w@.'’/&-])(?:\p{{Lu}}\. )*{_CAP}(?:[^\S\n]{_PART}
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}'’-]*")
 _SMALL = regex.compile(r"(?<![\w@./:'’&=?_-])\p{Ll}[\p{Ll}\p{M}]+(?![\w@/:&=_-]|\.\w)")  # no parts of addresses
 _CASED = regex.compile(r"\p{Lu}\p{Ll}")
+# The same for pieces of ASCII only.
+_SMALL_ASCII = re.compile(r"(?<![\w@./:'&=?_-])[a-z][a-z]+(?![\w@/:&=_-]|\.\w)", re.ASCII)
+_WORD_ASCII = re.compile(r"[A-Za-z][A-Za-z'-]*")
+_CASED_ASCII = re.compile(r"[A-Z][a-z]")
 # Frequent words that tell the language of a text.
 _TELLS = {"de": {"und", "die", "der", "nicht", "für", "ist"}, "fr": {"et", "les", "des", "vous", "est", "pour"}, "es": {"y", "los", "las", "que", "por", "el"}, "en": {"the", "and", "of", "to", "is", "for"}}
 
@@ -57,7 +65,12 @@ _TOLD = {w: tuple(k for k, own in _TELLS.items() if w in own) for own in _TELLS.
 
 
 def _language(words: list[str]) -> str:
-    found = Counter(k for w in words if w in _TOLD for k in _TOLD[w])
+    """The language that words in small letters tell."""
+    return _most(map(_TOLD.__getitem__, filter(_TOLD.__contains__, words)))
+
+
+def _most(told: Iterable[tuple[str, ...]]) -> str:
+    found = Counter(chain.from_iterable(told))
     return max(found, key=lambda k: (found[k], k)) if found else ""
 
 
@@ -65,8 +78,24 @@ class NameModel:
     def __init__(self, ordinary: set[str], weights: np.ndarray | None = None, least: float = 0.75):
         self.ordinary, self.weights, self.least = ordinary, weights, least
         self.given: list[str] = []
+        self._common: dict[str, bool] = {}
+        self._inner: dict[str, list[tuple[int, int]]] = {}
+
+    def more(self, words: set[str]) -> None:
+        """These words are ordinary too."""
+        self.ordinary |= words
+        self._common.clear()
+        self._inner.clear()
 
     def common(self, word: str) -> bool:
+        made = self._common.get(word)
+        if made is None:
+            if len(self._common) > _RUNS:
+                self._common.clear()
+            made = self._common[word] = self._is_common(word)
+        return made
+
+    def _is_common(self, word: str) -> bool:
         low = word.lower().strip("'’-")
         return low in self.ordinary or any(len(p) > 1 and p in self.ordinary for p in low.replace("’", "-").replace("'", "-").split("-"))
 
@@ -75,10 +104,23 @@ class NameModel:
         return [span for m in RUN.finditer(text) for span in self._within(text, *m.span())] if _CASED.search(text) else []
 
     def _within(self, text: str, start: int, end: int) -> list[tuple[int, int]]:
+        run = text[start:end]
+        made = self._inner.get(run)
+        if made is None:
+            if len(self._inner) > _RUNS:
+                self._inner.clear()
+            made = self._inner[run] = self._parts(run)
+        return [(start + a, start + b) for a, b in made]
+
+    def _two(self, run: str) -> bool:
+        return sum(not self.common(w) for w in run.split() if w[0].isupper()) >= 2
+
+    def _parts(self, text: str) -> list[tuple[int, int]]:
+        """The candidates of a run."""
         out: list[tuple[int, int]] = []
-        if sum(not self.common(w) for w in text[start:end].split() if w[0].isupper()) < 2:
+        if not self._two(text):
             return out
-        words = [w for w in _WORD.finditer(text, start, end) if w.group()[0].isupper()]
+        words = [w for w in _WORD.finditer(text) if w.group()[0].isupper()]
         good = [len(w.group()) == 1 or not self.common(w.group()) for w in words]
         i = 0
         while i < len(words):
@@ -114,11 +156,12 @@ class NameModel:
 
     def spans(self, text: str) -> list[tuple[int, int]]:
         """Runs of capitalised words with two uncommon ones; more common words never give more of them."""
-        return [m.span() for m in RUN.finditer(text) if sum(not self.common(w) for w in m.group().split() if w[0].isupper()) >= 2] if _CASED.search(text) else []
+        return [m.span() for m in RUN.finditer(text) if self._two(m.group())] if _CASED.search(text) else []
 
-    def runs(self, text: str, items: list[tuple[int, int, str]], met: list[tuple[int, int]]) -> list[tuple]:
+    def runs(self, text: str, items: list[tuple[int, int, str]], met: list[tuple[int, int]], language: str | None = None) -> list[tuple]:
         """(surroundings, start and end in them, items that it meets, language) of each of `met`, the spans(): all that candidates in it are judged by."""
-        language = _language(text.lower().split()) if met else ""
+        if met and language is None:
+            language = _language(text.lower().split())
         lows = [max(0, a - 60) for a, _ in met]
         return [(text[low : b + 41], a - low, b - low, [(x - low, y - low, kind) for x, y, kind in items if x <= b and a < y], language) for low, (a, b) in zip(lows, met)]
 
@@ -141,6 +184,37 @@ class NameModel:
 _NONE: tuple = (0, (), ())
 
 
+class _Pieces(dict):
+    """(parts in mixed case, new words in small letters, those in capitals, languages told) of pieces between blanks; None if nothing."""
+
+    def __init__(self, ordinary: set[str]):
+        super().__init__()
+        self.ordinary = ordinary
+
+    def __missing__(self, piece: str) -> tuple | None:
+        if len(self) > _KEPT:
+            self.clear()
+        made = (*self._of(piece), _TOLD.get(piece.lower(), ()))
+        self[piece] = made = made if any(made) else None
+        return made
+
+    def _of(self, piece: str) -> tuple[int, tuple[str, ...], tuple[str, ...]]:
+        known = self.ordinary
+        if piece.strip("£€“”–…").isascii():
+            low, high = piece.lower(), piece.upper()
+            if low == high:
+                return _NONE
+            if piece.isalpha() and (piece == low or piece.istitle()):  # what the patterns below say of it
+                new = low not in known
+                return (0, (piece,) if new and len(piece) > 1 else (), ()) if low == piece else (int(len(piece) > 1), (), (piece,) if new else ())
+            small = tuple(w for w in (_SMALL_ASCII.findall(piece) if piece != high else ()) if w not in known)
+            large = tuple(w for w in (_WORD_ASCII.findall(piece) if piece != low else ()) if w[0].isupper() and w.lower() not in known)
+            return len(_CASED_ASCII.findall(piece)) if low != piece != high else 0, small, large
+        small = tuple(w for w in _SMALL.findall(piece) if w not in known)
+        large = tuple(w for w in _WORD.findall(piece) if w[0].isupper() and w.lower() not in known)
+        return len(_CASED.findall(piece)), small, large
+
+
 class Words:
     """In how many texts a word stands in small letters, in how many forms and texts in capitals, and whether in runs.
 
@@ -149,33 +223,25 @@ class Words:
     """
 
     def __init__(self, model: NameModel):
-        self.model, self.small, self.large, self.inside = model, Counter(), Counter(), set()
-        self.seen: dict[str, tuple] = {}
-
-    def _of(self, piece: str) -> tuple[int, tuple[str, ...], tuple[str, ...]]:
-        known = self.model.ordinary
-        if len(self.seen) > 1 << 18:
-            self.seen.clear()
-        if piece.isascii() and (piece.isalpha() and (piece.islower() or piece.istitle()) or piece.lower() == piece.upper()):  # what the patterns below say of it
-            low = piece.lower()
-            new = low != piece.upper() and low not in known
-            made = (0, (piece,) if new and len(piece) > 1 else (), ()) if low == piece else (int(len(piece) > 1), (), (piece,) if new else ())
-            self.seen[piece] = made = made if any(made) else _NONE
-            return made
-        small = tuple(w for w in _SMALL.findall(piece) if w not in known)
-        large = tuple(w for w in _WORD.findall(piece) if w[0].isupper() and w.lower() not in known)
-        made = (len(_CASED.findall(piece)), small, large)
-        self.seen[piece] = made = made if any(made) else _NONE
-        return made
+        self.small, self.large, self.inside = Counter(), Counter(), set()
+        self.pieces, self.met, self.said = _Pieces(model.ordinary), set(), []
 
     def add(self, text: str) -> None:
-        seen = self.seen.get
-        said = [x for p in text.split() if (x := seen(p) or self._of(p)) is not _NONE]
-        if sum(x[0] for x in said) > 5:
+        self.said = said = list(filter(None, map(self.pieces.__getitem__, text.split())))
+        if sum([x[0] for x in said]) > 5:
             self.small.update({w for x in said if x[1] for w in x[1]})
-            self.large.update(w.lower() for w in {w for x in said if x[2] for w in x[2]})
+            self.large.update(map(str.lower, {w for x in said if x[2] for w in x[2]}))
+
+    def language(self) -> str:
+        """The language of the text that was added last."""
+        return _most([x[3] for x in self.said if x[3]])
 
     def meet(self, run: str) -> None:
+        if run in self.met:
+            return
+        if len(self.met) > _RUNS:
+            self.met.clear()
+        self.met.add(run)
         for word in run.split():
             low = word.lower().strip("'’-")
             self.inside.update({low, *low.replace("’", "-").replace("'", "-").split("-")})
@@ -184,7 +250,7 @@ class Words:
         """(word, small, large, inside) of all words, which are forgotten."""
         for word in self.small.keys() | self.large.keys() | self.inside:
             yield word, self.small[word], self.large[word], word in self.inside
-        self.small, self.large, self.inside = Counter(), Counter(), set()
+        self.small, self.large, self.inside, self.met = Counter(), Counter(), set(), set()
 
 
 def _chance(x: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -220,10 +286,10 @@ def fit(texts: list[str], known, ordinary: set[str]) -> NameModel:
     words = Words(model)
     for text in texts:
         words.add(text)
-    model.ordinary |= {w for w, n, large, _ in words.taken() if n > 1 and n * 10 >= large}
+    model.more({w for w, n, large, _ in words.taken() if n > 1 and n * 10 >= large})
     runs = [run for t in texts for run in model.runs(t, known(t), model.spans(t))]
     openers = Counter(w for run in runs for w in model.openers(*run))
-    model.ordinary |= {w.lower() for w, n in openers.items() if n > 2}
+    model.more({w.lower() for w, n in openers.items() if n > 2})
     rows = [row for run in runs for row in model.rows(*run)]
     y = np.array([known for _, known, _ in rows], np.float64)
     if not len(y) or not 0 < y.sum() < len(y):
@@ -240,8 +306,9 @@ def fit(texts: list[str], known, ordinary: set[str]) -> NameModel:
 
 def spans(batch: pa.RecordBatch) -> Iterator[list[tuple[int, int, str]]]:
     """The items (start, end, kind) of each row."""
-    for a, b, k in zip(*(batch.column(c).to_pylist() for c in ("starts", "ends", "kinds"))):
-        yield list(zip(a, b, k))
+    items = zip(*(batch.column(c).flatten().to_pylist() for c in ("starts", "ends", "kinds")))
+    for n in pc.list_value_length(batch.column("starts")).fill_null(0).to_pylist():
+        yield list(islice(items, n))
 
 
 def learned(found: DataFrame, ordinary: set[str]) -> NameModel:
@@ -252,7 +319,7 @@ def learned(found: DataFrame, ordinary: set[str]) -> NameModel:
     """
     model = NameModel(set(ordinary))
     words = found.where("word is not null").groupBy("word").agg(F.sum("small").alias("n"), F.sum("large").alias("large"), F.max("inside").alias("inside"))
-    model.ordinary |= {r["word"] for r in words.where("inside and n > 1 and n * 10 >= large").select("word").toLocalIterator()}
+    model.more({r["word"] for r in words.where("inside and n > 1 and n * 10 >= large").select("word").toLocalIterator()})
     runs = found.where("language is not null").select("text", "a", "b", "starts", "ends", "kinds", "language")
 
     def told(batch: pa.RecordBatch) -> Iterator[tuple]:
@@ -266,7 +333,7 @@ def learned(found: DataFrame, ordinary: set[str]) -> NameModel:
 
     openers = runs.mapInArrow(opened, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 2")
     more = {r["word"].lower() for r in openers.toLocalIterator()}
-    model.ordinary |= more
+    model.more(more)
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

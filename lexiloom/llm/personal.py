@@ -26,7 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom import lexicons
-from lexiloom.llm import encoding, names, surrogates
+from lexiloom.llm import encoding, hints, names, surrogates
+from lexiloom.llm.hints import ANY, May
 from lexiloom.llm.names import NameModel, Words, learned
 from lexiloom.llm.surrogates import Surrogates
 from lexiloom.runtime import cut, spread
@@ -98,7 +99,6 @@ _ENGLISH = re.compile(rf"(?:\s{_INK}+){{1,3}}?\s{_STREET}(?![\w-])(?:,\s{_UNIT}(
 _FRENCH = regex.compile(rf"(?:\s?(?:bis|ter))?,?\s(?i:rue|avenue|boulevard|place|chemin|impasse|all{_INK}{{1,4}}e|quai|cours|route)\s(?:(?i:de la|de l['’]|du|des|de|d['’])\s?)?{_INK}+(?:\s(?=\p{{Lu}}){_INK}+)?")
 _GERMAN = re.compile(rf"(?<![\w-])(?!\d){_INK}{{2,}}?(?i:stra(?:ß|ss|{_INK}{{1,4}})e|str\.|weg|gasse|platz|allee|damm|ufer|ring)\s\Z")
 _GERMAN_ENDS = ("e", "str.", "weg", "gasse", "platz", "damm", "ufer", "ring")
-_SPANISH_CUES = ("calle", "avenida", "avda", "plaza", "paseo", "camino", "ronda", "c/")
 _SPANISH = re.compile(rf"(?<![\w-])(?i:calle|avenida|avda\.|plaza|paseo|camino|ronda|c/)\s(?:(?i:de la|de los|de las|del|de)\s)?(?:{_INK}+\s){{1,3}}?(?:n\.º\s)?\Z")
 
 
@@ -148,54 +148,63 @@ class Finder:
         """The text to search, and the place of each of its characters in the original if any was dropped."""
         at = None
         if _UNEVEN.search(text):
-            at, kept = [], []
-            for i, c in enumerate(text):
-                if c in lexicons.INVISIBLE:
-                    continue
-                if c in _BLANKS:
-                    c = " "
-                    if kept and kept[-1] in " \n":
+            at, kept, last = [], [], 0
+            for m in _GAP.finditer(text):
+                at += range(last, m.start())
+                kept.append(text[last : m.start()])
+                last, own = m.end(), []
+                for i, c in enumerate(m.group(), m.start()):
+                    if c in lexicons.INVISIBLE:
                         continue
-                elif c == "\n" and kept and kept[-1] == " ":
-                    kept.pop()
-                    at.pop()
-                at.append(i)
-                kept.append(c)
-            text = "".join(kept)
-        return (text.translate(_FOLD) if _FOLDED.search(text) else text), at
-
-    def _emails(self, t: str) -> Iterator[tuple[int, int, str]]:
-        low = t.lower()
-        spelled = any(x in low for x in _SPELLED)
-        for m in _AT.finditer(t) if spelled else _SIGN.finditer(t):
+                    if c in _BLANKS:
+                        if own and own[-1] in " \n":
+                            continue
+                        c = " "
+                    elif own and own[-1] == " ":
+                        own.pop()
+                        at.pop()
+                    at.append(i)
+                    own.append(c)
+                kept += own
+            at += range(last, len(text))
+            text = "".join(kept) + text[last:]
+            text = _BLANK.sub(" ", text)
+        return _FOLDED.sub(lambda m: m.group().translate(_FOLD), text), at
+
+    def shadows(self, texts: pa.Array) -> Iterator[tuple[str | None, list[int] | None]]:
+        """The shadow of each text; one that is even and holds nothing to fold is its own."""
+        for text, other in zip(texts.to_pylist(), hints.told(texts, _OTHER)):
+            yield self.shadow(text) if other else (text, None)
+
+    def _emails(self, t: str, spelled: bool = True) -> Iterator[tuple[int, int, str]]:
+        low = t.lower() if spelled else ""
+        for m in _AT.finditer(t) if any(x in low for x in _SPELLED) else _SIGN.finditer(t):
             a, host = m.start(), _HOST.match(t, m.end())
             while host and a and t[a - 1] not in _OUTSIDE:
                 a -= 1
             if host and a < m.start():
                 yield a, host.end(), "EMAIL"
 
-    def _addresses(self, t: str) -> Iterator[tuple[int, int, str]]:
-        low = t.lower()
-        spanish = any(x in low for x in _SPANISH_CUES)
+    def _addresses(self, t: str, may: May = ANY) -> Iterator[tuple[int, int, str]]:
         for m in _NUMBER.finditer(t):
             a, b = m.span()
-            far = _ENGLISH.match(t, b)
+            far = _ENGLISH.match(t, b) if may.english else None
             if far:
                 unit = _UNIT_BEFORE.search(t, max(0, a - 20), a)
                 if unit or not _UNIT_NUMBER.search(t, max(0, a - 12), a) and t[a - 1 : a] != "/":
                     yield unit.start() if unit else a, far.end(), "ADDRESS"
                 continue
-            far = _FRENCH.match(t, b)
+            far = _FRENCH.match(t, b) if may.french else None
             if far:
                 yield a, far.end(), "ADDRESS"
                 continue
             if a and t[a - 1].isspace():
-                near = _GERMAN.search(t, _words_back(t, a, 2), a) if t[max(0, a - 8) : a - 1].lower().endswith(_GERMAN_ENDS) else None
-                near = near or (_SPANISH.search(t, _words_back(t, a, 8), a) if spanish else None)
+                near = _GERMAN.search(t, _words_back(t, a, 2), a) if may.german and t[max(0, a - 8) : a - 1].lower().endswith(_GERMAN_ENDS) else None
+                near = near or (_SPANISH.search(t, _words_back(t, a, 8), a) if may.spanish else None)
                 if near:
                     yield near.start(), b, "ADDRESS"
 
-    def _names(self, t: str) -> Iterator[tuple[int, int]]:
+    def _names(self, t: str, may: May = ANY) -> Iterator[tuple[int, int]]:
         caseless = not _LOWER.search(t) or not _UPPER.search(t)
         after, before = (_AFTER_ANY, _BEFORE_ANY) if caseless else (_AFTER, _BEFORE)
         spans: dict[int, int] = {}
@@ -220,14 +229,15 @@ class Finder:
             if _ALONE_AFTER.match(t, b) and _ALONE_BEFORE.search(t, max(0, a - 3), a):
                 yield a, b
         initials = _REVERSED.finditer(t) if _TURNED.search(t) else ()
-        low = t.lower()
+        low = t.lower() if may.titled else ""
         titled = _TITLE.finditer(t) if any(x in low for x in _TITLED) else ()
-        for m in (*_INITIALS.finditer(t), *initials, *titled):
+        for m in (*(_INITIALS.finditer(t) if may.initials else ()), *initials, *titled):
             if m.group(2).rstrip("'’").lower() not in _STOP:
                 yield m.start(1), m.end(1) if not m.group(1).endswith(("'", "’", "-")) else m.end(1) - 1
-        for m in filter(None, (_SALUTE.match(t, h.start()) for h in _HAIL.finditer(t))):
+        for m in filter(None, (_SALUTE.match(t, at) for at in self._hails(t))) if may.hail else ():
             if self._named(m.group(1), caseless):
                 yield m.start(1), m.end(1)
+        low = t.lower() if may.holder else ""
         for m in _HOLDER.finditer(t) if any(x in low for x in _HOLDERS) else ():
             if self._named(m.group(1), caseless):
                 end = m.end(1)
@@ -235,6 +245,15 @@ class Finder:
                     end -= 1
                 yield m.start(1), end
 
+    def _hails(self, t: str) -> Iterator[int]:
+        """Where a line begins as salutations do."""
+        at = 0
+        while at >= 0:
+            h = _HAIL.match(t, at)
+            if h:
+                yield at
+            at = t.find("\n", h.end() if h else at + 1)
+
     def _named(self, said: str, caseless: bool) -> bool:
         parts = [x.strip(",.") for x in said.split()]
         known = any(x in self.given or caseless and x.lower() in self.low for x in parts)
@@ -247,18 +266,19 @@ class Finder:
             return []
         return self._find(*self.shadow(text))
 
-    def _find(self, t: str, at: list[int] | None) -> list[tuple[int, int, str]]:
-        found = list(self._emails(t))
+    def _find(self, t: str, at: list[int] | None, may: May = ANY) -> list[tuple[int, int, str]]:
+        found = list(self._emails(t, may.spelled))
         if _DIGITS.search(t):
-            for run in _FIGURES.finditer(t):
-                if len(_DIGITS.findall(run.group())) >= 6:
+            for run in _FIGURES.finditer(t) if may.figures else ():
+                if run.end() - run.start() >= 6 and len(_DIGITS.findall(run.group())) >= 6:
                     a, b = max(0, run.start() - 6), run.end() + 4
                     found += [(m.start(), m.end(), "ID") for m in _ID.finditer(t, a, b)]
                     if run.end() - run.start() == 9 and _NUMBERED.search(t, max(0, run.start() - 30), run.start()) and not t[run.end() : run.end() + 1].isalnum():
                         found.append((run.start(), run.end(), "ID"))
                     found += [(m.start(), m.end(), "PHONE") for m in _PHONE.finditer(t, a, b) if 8 <= sum(c.isdigit() for c in m.group()) <= 15]
-            found += self._addresses(t)
-        found += [(a, b, "NAME") for a, b in self._names(t)]
+            if may.english or may.french or may.german or may.spanish:
+                found += self._addresses(t, may)
+        found += [(a, b, "NAME") for a, b in self._names(t, may)]
         rank = {"EMAIL": 0, "ID": 1, "PHONE": 2, "ADDRESS": 3, "NAME": 4}
         out, last = [], -1
         for a, b, kind in sorted(found, key=lambda x: (x[0], -x[1], rank[x[2]])):
@@ -273,8 +293,12 @@ class Finder:
 
 _BLANKS = " \t\r\x0b\x0c\u00a0\u2009\u202f"
 _UNEVEN = re.compile(f"[{lexicons.INVISIBLE}{_BLANKS}\n](?:(?<=[{lexicons.INVISIBLE}])|(?<=[{_BLANKS}])[{_BLANKS}\n]|(?<=\n)[{_BLANKS}])")
+_GAP = re.compile(f"[{lexicons.INVISIBLE}{_BLANKS}\n]{{2,}}|[{lexicons.INVISIBLE}]")
+_BLANK = re.compile(f"[{_BLANKS[1:]}]")
 _FOLD = str.maketrans(lexicons.LOOKALIKE_FROM + "   \t\r", lexicons.LOOKALIKE_TO + "     ")
 _FOLDED = re.compile("[\\u00a0\\u2009\\u202f\t\r" + lexicons.LOOKALIKE_FROM + "]")
+#: What _UNEVEN and _FOLDED find, for whole arrays.
+_OTHER = f"[{lexicons.INVISIBLE}\u00a0\u2009\u202f\t\r{lexicons.LOOKALIKE_FROM}]|[{_BLANKS}][{_BLANKS}\n]|\n[{_BLANKS}]"
 _LETTERED = re.compile(r"[A-Za-z].*[A-Za-z]|[^\W\d_]{3}")
 _INKED = re.compile(_INK)
 _TURNED = re.compile(r", [^\W\d_a-z]\.")
@@ -349,21 +373,21 @@ def found(df: DataFrame, given: list[str] | None = None, id_col: str = "email_id
         for batch in batches:
             own, may, runs = [], [], []
             texts = batch.column("text").to_pylist()
-            for text in texts:
+            shadows = list(finder.shadows(batch.column("text")))
+            for text, (t, at), hint in zip(texts, shadows, hints.may(pa.array([t for t, _ in shadows], pa.string()))):
                 if not text:
                     own.append([])
                     may.append(False)
                     continue
                 words.add(text)
-                t, at = finder.shadow(text)
-                own.append(finder._find(t, at))
+                own.append(finder._find(t, at, hint))
                 met = plain.spans(text)
-                runs += plain.runs(text, own[-1], met)
+                runs += plain.runs(text, own[-1], met, words.language() if met else "")
                 other = met if t == text else plain.spans(t)
                 for said in {text[a:b] for a, b in met} | {t[a:b] for a, b in other}:
                     words.meet(said)
                 may.append(bool(other) and (at is not None or may_add(t, own[-1], other)))
-            yield filled({"id": batch.column("id"), "text": texts, "open": may} | parted(own), len(texts))
+            yield filled({"id": batch.column("id"), "text": batch.column("text"), "open": may} | parted(own), len(texts))
             if runs:
                 near, a, b, items, language = zip(*runs)
                 yield filled({"text": near, "a": a, "b": b, "language": language} | parted(list(items)), len(runs))
@@ -385,7 +409,7 @@ class _Rest:
 
     def __init__(self, given: list[str] | None, model: NameModel | None):
         self.finder = Finder(given, model)
-        new = self.finder.given - Finder(given).given
+        self.new = new = self.finder.given - Finder(given).given
         self.exact, self.loose = (ahocorasick.Automaton() for _ in range(2))
         for v in new:
             self.exact.add_word(v, len(v))
@@ -395,24 +419,25 @@ class _Rest:
 
     def _changed(self, t: str) -> bool:
         """Whether a word may begin with a given name that the model adds."""
-        if not len(self.exact):
-            return False
         caseless = not _LOWER.search(t) or not _UPPER.search(t)
         return any(last < size or not _INKED.match(t[last - size : last + 1 - size]) for last, size in (self.loose.iter(t.lower()) if caseless else self.exact.iter(t)))
 
     def of(self, batch: pa.RecordBatch) -> Iterator[tuple[str | None, list[tuple[int, int, str]]]]:
         """(text, items) of each row."""
         texts = batch.column("text").to_pylist()
+        shadows = list(self.finder.shadows(batch.column("text")))
+        folded = pa.array([t for t, _ in shadows], pa.string())
         if "starts" not in batch.schema.names:
-            yield from ((text, self.finder.find(text)) for text in texts)
+            yield from ((text, self.finder._find(t, at, hint) if text else []) for text, (t, at), hint in zip(texts, shadows, hints.may(folded)))
             return
-        for text, own, may_add in zip(texts, names.spans(batch), batch.column("open").to_pylist()):
-            if text and (may_add or len(self.exact)):
-                t, at = self.finder.shadow(text)
-                if self._changed(t) or may_add and at is not None:
-                    own = self.finder._find(t, at)
-                elif may_add and self.finder.model:
-                    own = sorted(own + [(a, b, "NAME") for a, b in self.finder.model.names(t, [(a, b) for a, b, _ in own])])
+        may_add = batch.column("open").to_pylist()
+        again = [i for i, ((t, at), begun) in enumerate(zip(shadows, hints.may_begin(folded, self.new))) if t and (begun and self._changed(t) or may_add[i] and at is not None)]
+        hint = dict(zip(again, hints.may(folded.take(pa.array(again, pa.int32())))))
+        for i, (text, own, (t, at)) in enumerate(zip(texts, names.spans(batch), shadows)):
+            if i in hint:
+                own = self.finder._find(t, at, hint[i])
+            elif may_add[i] and text and self.finder.model:
+                own = sorted(own + [(a, b, "NAME") for a, b in self.finder.model.names(t, [(a, b) for a, b, _ in own])])
             yield text, own
 
 
